@@ -1,5 +1,5 @@
 """The modules that hold queries and their SQL."""
 
-from millrace.plans import hotkeys
+from millrace.plans import curation, hotkeys, metrics, packing, routing, scheduling
 
-MODULES = [hotkeys]
+MODULES = [hotkeys, curation, routing, packing, scheduling, metrics]
