@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from millrace.session import spread, stored_path
 SHARD_BYTES = 96 << 20  # text in one index; an index takes about 3 bytes a byte of text in memory
 
 
-def _load(path: str, shard: int) -> list[WordIndex]:
+def _load(path: str, shard: int) -> WordIndex:
     """A shard's index, read from the shared folder once per worker; an older one is dropped first."""
     kept = sys.__dict__.setdefault("_millrace_index", {})
     if (path, shard) not in kept:
@@ -37,24 +36,47 @@ def _load(path: str, shard: int) -> list[WordIndex]:
 
         kept.clear()
         system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        found = ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=["part", "raw"], filter=ds.field("shard") == shard).sort_by("part")
-        kept[path, shard] = [WordIndex.loads(b"".join(x.as_py() for x in found["raw"]))] if found.num_rows else []
+        data = ds.dataset(folder, filesystem=system, format="parquet")
+        batches = data.to_batches(filter=ds.field("shard") == shard, batch_size=1, batch_readahead=0, fragment_readahead=0)
+        kept[path, shard] = WordIndex.of_pieces((r["array"], r["kind"], r["length"], r["at"], r["raw"]) for b in batches for r in b.to_pylist())
     return kept[path, shard]
 
 
 def build_indexes(texts: DataFrame, shards: int, path: str) -> None:
-    """Write the index of each shard of (cls, text) as rows (shard, part, raw) below path."""
+    """Write the index of each shard of (cls, text) as rows (shard, array, kind, length, at, raw) below path.
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        shard = int(group["shard"].iloc[0])
-        labels = group["cls"].to_numpy(dtype=np.int64)
-        hashes, sizes = word_hashes(group.pop("text"))
-        raw = WordIndex.build(hashes, sizes, labels).dumps()
-        step = 8 << 20
-        return pd.DataFrame({"shard": shard, "part": range(-(-len(raw) // step)), "raw": [raw[i : i + step] for i in range(0, len(raw), step)]})
+    A task reads its shards one after the other and keeps words, not texts, while it reads.
+    """
 
-    sharded = texts.withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int"))
-    sharded.groupBy("shard").applyInPandas(build, "shard int, part int, raw binary").write.option("compression", "zstd").parquet(path)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, labels, hashes, sizes = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            index = WordIndex.build(np.concatenate(hashes), np.concatenate(sizes), np.concatenate(labels))
+            for piece in index.pieces():
+                row = dict(zip(("array", "kind", "length", "at", "raw"), piece), shard=now)
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(shard)) + 1
+            for a, b in zip([0, *edges], [*edges, len(shard)]):
+                if b > a:
+                    if now is not None and shard[a] != now:
+                        yield from done()
+                        labels, hashes, sizes = [], [], []
+                    now = int(shard[a])
+                    h, n = word_hashes(batch.column(2).slice(a, b - a).to_pylist())
+                    hashes.append(h)
+                    sizes.append(n)
+                    labels.append(batch.column(1).slice(a, b - a).to_numpy())
+        if now is not None:
+            yield from done()
+
+    schema = pa.schema([("shard", pa.int32()), ("array", pa.string()), ("kind", pa.string()), ("length", pa.int64()), ("at", pa.int64()), ("raw", pa.binary())])
+    sharded = texts.select(F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"), "cls", "text")
+    placed = sharded.repartition(shards, "shard").sortWithinPartitions("shard")
+    placed.mapInArrow(build, "shard int, array string, kind string, length bigint, at bigint, raw binary").write.option("compression", "zstd").parquet(path)
 
 
 def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, width: int, num: int, den: int, least_words: int) -> dict[str, np.ndarray]:
@@ -151,10 +173,9 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
             for whole in batches:
                 for i in range(0, whole.num_rows, 2000):
                     batch = whole.slice(i, 2000)
-                    for index in _load(path, shard):
-                        hashes, sizes = word_hashes(batch.column(1).to_pylist())
-                        out = match_texts(index, batch.column(0).to_numpy(), hashes, sizes, width, num, den, least_words)
-                        yield pa.RecordBatch.from_pydict({k: pa.array(v, type=pa.int64()) for k, v in out.items()})
+                    hashes, sizes = word_hashes(batch.column(1).to_pylist())
+                    out = match_texts(_load(path, shard), batch.column(0).to_numpy(), hashes, sizes, width, num, den, least_words)
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v, type=pa.int64()) for k, v in out.items()})
 
         return spread(rows).mapInArrow(run, "key bigint, cls bigint, shared bigint, total bigint, spans bigint, longest bigint")
 

@@ -7,78 +7,106 @@ for any number of patterns at once. Beside it stand the text of each suffix and
 
 from __future__ import annotations
 
-import io
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array, by prefix doubling; settled suffixes leave the sort."""
+    """The suffix array, by prefix doubling; settled suffixes leave the sort. Ranks are 32-bit, as an index is bounded in size."""
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols, kind="stable").astype(np.int32)
+    first = np.ones(n, dtype=bool)
     ordered = symbols[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
-    size = np.diff(np.append(np.flatnonzero(first), n))
+    first[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    rank = np.empty(n, dtype=np.int32)
+    starts = np.flatnonzero(first).astype(np.int32)
+    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+    size = np.diff(np.append(starts, n))
     open_ = order[np.repeat(size > 1, size)]
+    del first, order
     width = 1
     while len(open_):
-        ahead = open_ + width
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank[open_] * (n + 1) + second
-        by = np.argsort(key, kind="stable")
+        key = rank[open_].astype(np.int64) * (n + 1)
+        ahead = open_.astype(np.int64) + width
+        inside = ahead < n
+        key[inside] += rank[ahead[inside]].astype(np.int64) + 1
+        del ahead, inside
+        by = np.argsort(key, kind="stable").astype(np.int32)
         open_, key = open_[by], key[by]
-        old = key // (n + 1)
-        at = np.arange(len(open_))
-        new_old = np.concatenate([[True], old[1:] != old[:-1]])
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        group, sub = at[new_old][np.cumsum(new_old) - 1], at[new][np.cumsum(new) - 1]
-        rank[open_] = old + (sub - group)
-        size = np.diff(np.append(np.flatnonzero(new), len(open_)))
+        del by
+        new = np.ones(len(open_), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        key //= n + 1
+        new_old = np.ones(len(open_), dtype=bool)
+        new_old[1:] = key[1:] != key[:-1]
+        at, sub = np.flatnonzero(new_old), np.flatnonzero(new)
+        size = np.diff(np.append(sub, len(open_)))
+        step = np.repeat(sub, size) - np.repeat(at, np.diff(np.append(at, len(open_))))
+        rank[open_] = key + step
         open_ = open_[np.repeat(size > 1, size)]
         width *= 2
-    order[rank] = np.arange(n)
+    order = np.empty(n, dtype=np.int32)
+    order[rank] = np.arange(n, dtype=np.int32)
     return order
 
 
 class WordIndex:
     """Index of texts given as 64-bit word hashes; texts are numbered from 0."""
 
+    KINDS = {"vocabulary": "uint64", "symbols": "int32", "of_suffix": "int32", "places": "int32", "begin": "int64", "labels": "int64"}
+
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.parts = parts
         self.vocabulary, self.symbols, self.of_suffix = parts["vocabulary"], parts["symbols"], parts["of_suffix"]
         self.begin, self.labels = parts["begin"], parts["labels"]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.symbols, minlength=len(self.vocabulary) + 1))])
         self.wide = len(self.symbols) + 1
-        of_row = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first))
-        of_row *= self.wide
-        of_row += parts["places"]
-        self.rows = of_row
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """symbol * wide + place of every place, ascending: what backward search looks up. The places themselves go."""
+        rows = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first))
+        rows *= self.wide
+        rows += self.parts.pop("places")
+        return rows
 
     @classmethod
     def build(cls, hashes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> WordIndex:
         vocabulary, ids = np.unique(hashes, return_inverse=True)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        symbols = np.zeros(begin[-1], dtype=np.int32)
-        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
         inside = np.ones(begin[-1], dtype=bool)
         inside[begin[1:] - 1] = False
+        symbols = np.zeros(begin[-1], dtype=np.int32)
         symbols[inside] = ids + 1
+        del ids, inside
         order = suffix_order(symbols)
-        before = symbols[order - 1]  # the transform; the suffix at 0 is preceded by the last separator
+        of_suffix = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[order]
+        order -= 1
+        before = symbols[order]  # the transform; the suffix at 0 is preceded by the last separator
+        del order
         places = np.argsort(before, kind="stable").astype(np.int32)
-        return cls({"vocabulary": vocabulary, "symbols": symbols, "of_suffix": text[order], "places": places, "begin": begin, "labels": labels})
+        del before
+        return cls({"vocabulary": vocabulary, "symbols": symbols, "of_suffix": of_suffix, "places": places, "begin": begin, "labels": labels})
 
-    def dumps(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **self.parts)
-        return out.getvalue()
+    def pieces(self, step: int = 8 << 20) -> Iterator[tuple[str, str, int, int, bytes]]:
+        """(array, type, length, offset, bytes): the index in pieces of at most `step` bytes."""
+        for name, array in self.parts.items():
+            raw = memoryview(np.ascontiguousarray(array)).cast("B")
+            for at in range(0, len(raw), step):
+                yield name, str(array.dtype), len(array), at, bytes(raw[at : at + step])
 
     @classmethod
-    def loads(cls, raw: bytes) -> WordIndex:
-        with np.load(io.BytesIO(raw)) as parts:
-            return cls({k: parts[k] for k in parts.files})
+    def of_pieces(cls, pieces: Iterable[tuple[str, str, int, int, bytes]]) -> WordIndex:
+        """The index of its pieces, in any order."""
+        parts = {name: np.zeros(0, dtype=kind) for name, kind in cls.KINDS.items()}
+        for name, kind, length, at, raw in pieces:
+            if len(parts[name]) != length:
+                parts[name] = np.empty(length, dtype=kind)
+            memoryview(parts[name]).cast("B")[at : at + len(raw)] = raw
+        return cls(parts)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The index's symbols of the words; -1 for words that no indexed text holds."""
