@@ -152,7 +152,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     are fitted, on labels_used labelled documents at most, chosen by hash; a document labelled twice counts with both labels.
     """
     rows = _readable(documents, key, text, lang)
-    chosen = labels.select(labels[key].cast("bigint").alias("k"), labels["level"].cast("int").alias("level")).where("k IS NOT NULL AND level BETWEEN 1 AND 3").orderBy(F.xxhash64("k"), "level").limit(labels_used)
+    chosen = labels.select(labels[key].cast("bigint").alias("k"), labels["level"].cast("int").alias("level")).where("k IS NOT NULL AND level BETWEEN 1 AND 3").orderBy(F.xxhash64("k"), "level").limit(labels_used)  # 12 bytes a row
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * _STEPS), pa.array(counts.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["k", "level", "counts"])
 
-    known = rows.join(chosen, "k").select("k", "level", "t").mapInArrow(measure, "k bigint, level int, counts array<bigint>").orderBy("k", "level").collect()
+    known = rows.join(F.broadcast(chosen), "k").select("k", "level", "t").mapInArrow(measure, "k bigint, level int, counts array<bigint>").orderBy("k", "level").collect()
     counts = np.array([r.counts for r in known], dtype=np.int64).reshape(len(known), _STEPS)
     low, high = fit_cuts(counts, np.array([r.level for r in known], dtype=np.int64))
 
