@@ -275,9 +275,9 @@ class Classifier:
 def train(records: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", labelled: int = LABELLED) -> Classifier:
     """The classifier, trained on the driver from at most `labelled` labelled documents chosen by hash of the key."""
     named = labels.select(labels[key].cast("bigint").alias("k"), labels["subject"].alias("subject")).where("k IS NOT NULL AND subject IS NOT NULL")
-    chosen = named.groupBy("k").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("k")).limit(labelled)
+    chosen = named.groupBy("k").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("k")).limit(labelled)  # a key and its few subjects a row
     rows = records.select(records[key].cast("bigint").alias("k"), "text", "domain", "lang").where("text IS NOT NULL")
-    known = rows.join(chosen, "k").dropDuplicates(["k"]).orderBy("k").collect()
+    known = rows.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).orderBy("k").collect()
     names = [r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]
     return Classifier([(r.text, r.domain, r.lang, set(r.subjects)) for r in known], names)
 
