@@ -65,9 +65,10 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str = "position", ra
 
     Rows are range-partitioned by (key, *order), so a key that holds a third of all rows is numbered by many tasks; what meets in one task is the
     table of counts by (range, key), a row for each key and range. Ties in order columns are broken by nothing: give a unique order
-    for a defined result. Null keys form one key, null order values come first; repeated rows are numbered each; an empty table stays empty.
+    for a defined result. Columns named like the results are replaced. Null keys form one key, null order values come first; repeated rows are numbered each; an empty table stays empty.
     """
     spark = df.sparkSession
+    df = df.drop(*({rank, "key_rows", "_range"} - {key, *order}))
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # written once, so both passes see the same ranges
     placed = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order).withColumn("_range", F.spark_partition_id())
