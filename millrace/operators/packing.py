@@ -87,18 +87,18 @@ def interval_join(left: DataFrame, right: DataFrame, width: int, l_from: str = "
 
 
 def exploded_positions(df: DataFrame, key: str, ids: str, eos: int) -> DataFrame:
-    """(key, i, id, position, label_id, label_mask) of every token but the last of each sequence.
+    """(key, i, token_id, position, label_id, label_mask) of every token but the last of each sequence.
 
     Positions restart at 0 after each eos; label is the next token; the mask is false where the label opens a document. The window holds
     one sequence, whose length is bounded by its packing. Null and empty sequences give nothing.
     """
-    rows = df.select(key, F.posexplode(ids).alias("i", "id"))
+    rows = df.select(key, F.posexplode(ids).alias("i", "token_id"))
     w = W.partitionBy(key).orderBy("i")
-    opened = F.coalesce(F.lag("id").over(w) == eos, F.lit(True))
+    opened = F.coalesce(F.lag("token_id").over(w) == eos, F.lit(True))
     start = F.last(F.when(F.col("_open"), F.col("i")), ignorenulls=True).over(w)
     rows = rows.withColumn("_open", opened).withColumn("position", F.col("i") - start)
-    rows = rows.withColumn("label_id", F.lead("id").over(w)).withColumn("label_mask", F.lead("position").over(w) != 0)
-    return rows.where("label_id IS NOT NULL").select(key, "i", "id", "position", "label_id", "label_mask")
+    rows = rows.withColumn("label_id", F.lead("token_id").over(w)).withColumn("label_mask", F.lead("position").over(w) != 0)
+    return rows.where("label_id IS NOT NULL").select(key, "i", "token_id", "position", "label_id", "label_mask")
 
 
 def left_padded_positions(ids: Column, pad: int) -> Column:

@@ -36,15 +36,16 @@ def write_token_files(sequences: DataFrame, path: str, group: str, ids: str = "i
     kind = "<u2" if token_bytes == 2 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        handle, now, count, tokens = None, None, 0, 0
+        handle, now, count, tokens, kind_of_group = None, None, 0, 0, None
 
         def done():
             handle.close()
             os.replace(handle.name, handle.name[: -len(suffix)])
-            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([count]), pa.array([tokens])], names=[group, "file", "sequences", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], type=kind_of_group), pa.array([now[1]]), pa.array([count]), pa.array([tokens])], names=[group, "file", "sequences", "tokens"])
 
         suffix = f".{os.getpid()}.tmp"
         for batch in batches:
+            kind_of_group = batch.schema.field(0).type
             for g, f, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if (g, f) != now:
                     if handle:
