@@ -28,7 +28,7 @@ _STEPS = 128
 
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿ"
 _GROUP = re.compile(f"[{_VOWELS}]+")
-_HIATUS = re.compile("(?<![tsc])i[ao]|e[ou](?!s$)|u[ao]|ii|io(?!n)|ye[^s]|yi")
+_HIATUS = re.compile("(?<![tsc])i[ao]|e[ou](?!s$)|u[ao]|ii|io(?!n)|ye[^s]|yi|(?<=[aeiou][^aeiou])ea$")
 _SILENT = re.compile("[^aeiouyl]e$|[^aeioutd]ed$|[^aeiouscgzxj]es$|[aeiou]le$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,]*")
 _BREAK = re.compile(r"(?<=[.!?…])[\"”»'’)]*\s+(?=\S)|(?<=[.!?])(?=<)|\n\s*(?=[^a-zß-ÿ\s])|\n\s*\n\s*")
