@@ -51,9 +51,9 @@ def test_reworded_needs_consistent_slots(spark):
     df = spark.createDataFrame([(1, good), (2, bad), (3, other)], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS[:1], "item_id bigint, text string")
     got = {r.doc_id: (r.verbatim, r.reworded) for r in leaked_items(df, items).collect()}
-    assert got[1][0] == 0 and got[1][1] == 11  # of 22 words
-    assert 3 not in {d for d, v in got.items() if v[1]}
-    assert got.get(2, (0, 0))[1] == 0
+    # of 11 windows: all are renamed one to one in the first; the second names three keepers alike, so only the last 5 windows agree;
+    # the third changes a word that is no slot, so only the window before it agrees
+    assert {d: v[1] for d, v in got.items()} == {1: 11, 2: 5, 3: 1} and not any(v[0] for v in got.values())
 
 
 def test_template_symbols():
