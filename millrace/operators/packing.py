@@ -103,8 +103,11 @@ def exploded_positions(df: DataFrame, key: str, ids: str, eos: int) -> DataFrame
 
 def left_padded_positions(ids: Column, pad: int) -> Column:
     """0 up to the last token of the leading padding, then 0, 1, 2, ...; null for null."""
-    lead = F.coalesce(F.aggregate(F.transform(ids, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), F.lit(0), lambda n, s: F.when((s["x"] == pad) & (s["i"] == n), n + 1).otherwise(n)), F.lit(0))
-    return F.when(ids.isNotNull(), F.transform(ids, lambda x, i: F.greatest(i - lead, F.lit(0))))
+    first = F.array_position(F.transform(ids, lambda x: x != pad), True)  # 0 if all is padding
+    lead = F.when(first > 0, first - 1).otherwise(F.size(ids)).cast("int")
+    rest = F.size(ids) - lead
+    counted = F.when(rest > 0, F.sequence(F.lit(0), rest - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(ids.isNotNull(), F.concat(F.array_repeat(F.lit(0), lead), counted))
 
 
 def supervised(df: DataFrame, prompt: str, completion: str, length: int) -> DataFrame:

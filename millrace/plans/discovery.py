@@ -137,7 +137,7 @@ def tokenizer_manifests(spark: SparkSession, folder: str) -> DataFrame:
     (SELECT source, unnest([0, 1, 2]) AS k, unnest([len(regexp_extract_all(text, '[A-Za-z]+')), length(text), octet_length(encode(text))]) AS t FROM documents WHERE text IS NOT NULL) GROUP BY 1""")
 def method_columns(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").where("text IS NOT NULL")
-    each = F.array(F.struct(F.lit("word").alias("m"), F.regexp_count("text", F.lit("[A-Za-z]+")).cast("bigint").alias("t")), F.struct(F.lit("char"), F.char_length("text").cast("bigint")), F.struct(F.lit("byte"), F.octet_length("text").cast("bigint")))
+    each = F.array(F.struct(F.lit("word").alias("m"), F.regexp_count("text", F.lit("[A-Za-z]+")).cast("bigint").alias("t")), F.struct(F.lit("char").alias("m"), F.char_length("text").cast("bigint").alias("t")), F.struct(F.lit("byte").alias("m"), F.octet_length("text").cast("bigint").alias("t")))
     long = rows.select("source", F.explode(each).alias("e")).select("source", "e.*").groupBy("source", "m").agg(F.sum("t").alias("t"))
     return writers.document_counts(long, "source", "m", "t", ["word", "char", "byte"])
 

@@ -1,5 +1,5 @@
 """The modules that hold queries and their SQL."""
 
-from millrace.plans import curation, hotkeys, metrics, packing, routing, scheduling
+from millrace.plans import curation, discovery, hotkeys, metrics, packing, routing, scheduling, selection
 
-MODULES = [hotkeys, curation, routing, packing, scheduling, metrics]
+MODULES = [hotkeys, curation, routing, packing, scheduling, metrics, selection, discovery]

@@ -95,3 +95,23 @@ def append_report(df: DataFrame, path: str) -> None:
 def document_counts(df: DataFrame, key: str, method: str, tokens: str, methods: list[str]) -> DataFrame:
     """Per-document token counts with a column for each method."""
     return df.groupBy(key).pivot(method, methods).agg(F.first(tokens))
+
+
+def convert_tokenizer(json_text: str, folder: str, fields: dict) -> dict:
+    """Write a tokenizer and its manifest; its four special tokens must exist and its vocabulary must be as large when read again."""
+    from tokenizers import Tokenizer
+
+    from millrace.functions.tokenizers import SPECIAL_TOKENS, fingerprint
+
+    own = Tokenizer.from_str(json_text)
+    missing = [t for t in SPECIAL_TOKENS if own.token_to_id(t) is None]
+    if missing:
+        raise ValueError(f"special tokens are missing: {missing}")
+    os.makedirs(folder, exist_ok=True)
+    own.save(os.path.join(folder, "tokenizer.json"))
+    again = Tokenizer.from_file(os.path.join(folder, "tokenizer.json"))
+    if again.get_vocab_size() != own.get_vocab_size():
+        raise ValueError("the vocabulary changed when read again")
+    out = fields | {"format_version": 1, "original_vocab_size": own.get_vocab_size(), "special_token_ids": {t: own.token_to_id(t) for t in SPECIAL_TOKENS}, "tokenizer_fingerprint": fingerprint(folder)}
+    write_manifest(os.path.join(folder, "manifest.json"), out)
+    return out

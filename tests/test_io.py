@@ -125,3 +125,14 @@ def test_first_seen(spark, tmp_path):
 def test_synthetic(spark):
     rows = readers.synthetic_rows(spark, 9, 1)
     assert rows.where(F.size(F.split("text", " ")) == 60).count() == 9 and readers.dummy_batches(spark, 2, 12, 50, 1).first().position_ids == [0, 1, 2, 3, 0, 1, 2, 3, 4, 5, 0, 1]
+
+
+def test_converted_tokenizer(tmp_path):
+    from millrace.functions.tokenizers import fit_bpe
+
+    out = K.convert_tokenizer(fit_bpe(["some text"], 300), str(tmp_path / "t"), {"tokenizer_name": "x"})
+    assert out["special_token_ids"]["<eos>"] == 3 and K.read_manifest(str(tmp_path / "t" / "manifest.json")) == out
+    from tokenizers import Tokenizer, models
+
+    with pytest.raises(ValueError):
+        K.convert_tokenizer(Tokenizer(models.BPE()).to_str(), str(tmp_path / "u"), {})
