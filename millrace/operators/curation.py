@@ -69,10 +69,10 @@ def source_quotas(sources: DataFrame, total: int) -> DataFrame:
     return share.withColumn("quota", F.when(last, F.col("quota") + total - F.sum("quota").over(w)).otherwise(F.col("quota")))
 
 
-def interleaved(df: DataFrame, order: list[str], batch: int = 1) -> DataFrame:
-    """df with `turn` and `place`: sources take turns of `batch` rows, so the global order is (turn, source, place)."""
-    n = F.row_number().over(W.partitionBy("source").orderBy(*order)) - 1
-    return df.withColumn("place", n.cast("bigint")).withColumn("turn", F.floor(F.col("place") / batch))
+def interleaved(df: DataFrame, order: str, batch: int = 1) -> DataFrame:
+    """df with `turn` and `place`: sources take turns of `batch` rows in order of a whole number, so the global order is (turn, source, place)."""
+    ran = running_before(df.withColumn("_one", F.lit(1)), ["source"], range_bucket(order, 4096), [order], "_one", "place")
+    return ran.withColumn("place", F.col("place").cast("bigint")).withColumn("turn", F.floor(F.col("place") / batch)).drop("_one")
 
 
 def truncate_tokens(text: Column | str, budget: int) -> Column:

@@ -111,7 +111,10 @@ def fit_experts(df: DataFrame, key: str, text: str, experts: int, options: Optio
     rows = rows.withColumn("n", repeats(F.col("w"), options.oversample, key, options.seed)).withColumn("h", F.xxhash64(F.lit(options.seed), key))
     from pyspark.sql import Window as W
 
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("e").orderBy(F.desc(F.col("n") > 0), "h"))).where(F.col("r") <= options.sample)
+    # first within hash buckets, so that no task ranks all documents of a large expert
+    best = [F.desc(F.col("n") > 0), F.col("h")]
+    own = rows.withColumn("b", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(W.partitionBy("e", "b").orderBy(*best))).where(F.col("r") <= options.sample)
+    ranked = own.withColumn("r", F.row_number().over(W.partitionBy("e").orderBy(*best))).where(F.col("r") <= options.sample)
     least = max(1, round(options.least_frequency * options.oversample))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:

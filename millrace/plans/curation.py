@@ -73,7 +73,7 @@ def source_quotas(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT source, doc_id, n AS place, n // 4 AS turn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)")
 def interleave(spark: SparkSession, folder: str) -> DataFrame:
-    return C.interleaved(_documents(spark, folder).select("source", "doc_id"), ["doc_id"], 4).select("source", "doc_id", "place", "turn")
+    return C.interleaved(_documents(spark, folder).select("source", "doc_id"), "doc_id", 4).select("source", "doc_id", "place", "turn")
 
 
 @query(f"SELECT doc_id, {sql_strip(f'''regexp_extract({_T}, '^(?:(?:{SPACE_RUN})?(?:{BUDGET_TOKEN})){{0,64}}')''')} AS text FROM documents WHERE text IS NOT NULL")

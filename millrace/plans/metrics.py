@@ -169,12 +169,12 @@ def manifest_check(spark: SparkSession, folder: str) -> DataFrame:
     return j.select(F.coalesce("id", "k").alias("tokenizer_id"), F.col("id").isNotNull().alias("registered"), F.col("k").isNotNull().alias("present"), (F.col("tokenizer_name_or_path").isNull() & F.col("id").isNotNull()).alias("unresolved"))
 
 
-@query("""SELECT sha256(string_agg(h, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT ord // 4096 AS block, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY ord)) AS h, count(*) AS n FROM (SELECT ord, any_value(text) AS text FROM curated GROUP BY ord) GROUP BY 1)""")
+@query("""SELECT sha256(string_agg(h, '' ORDER BY block)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT ord // 4096 AS block, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY ord)) AS h, count(*) AS n FROM (SELECT ord, any_value(text) AS text FROM curated GROUP BY ord) GROUP BY 1)""")
 def stream_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """Two levels: a digest of each block of 4,096 ordinals in order, then of the blocks' digests; one task holds a block, never the stream."""
+    """Three levels: digests of the texts, of each block of 4,096 of them in order, and of the blocks; a task holds a block's digests, never its texts."""
     once_ = table(spark, folder, "curated").groupBy("ord").agg(F.first("text").alias("text"))
     joined = lambda c, key, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, c))), lambda s: s[c]), sep)
-    blocks = once_.select("ord", F.coalesce("text", F.lit("")).alias("text")).groupBy(F.expr("ord div 4096").alias("block")).agg(F.sha2(joined("text", "ord", "\n"), 256).alias("h"), F.count("*").alias("n"))
+    blocks = once_.select("ord", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")).groupBy(F.expr("ord div 4096").alias("block")).agg(F.sha2(joined("text", "ord", ""), 256).alias("h"), F.count("*").alias("n"))
     return blocks.agg(F.sha2(joined("h", "block", ""), 256).alias("digest"), F.sum("n").alias("rows"))
 
 
