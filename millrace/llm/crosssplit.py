@@ -24,6 +24,7 @@ from millrace.llm.neardup import text_classes
 from millrace.llm.words import distinct, needed, shingles, word_hashes
 from millrace.session import spread, stored_path
 
+_OCCURRENCES = 4_000_000  # located at once
 SHARD_BYTES = 96 << 20  # text in one index; an index takes about 3 bytes a byte of text in memory
 
 
@@ -118,12 +119,22 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
     order = order[position < take[group]]
     order = order[times[order] > 0]
     span = times[order]
-    located = np.repeat(low[inverse[order]] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-    other = index.of_suffix[located].astype(np.int64)
-    pair, hits = np.unique(np.repeat(text_d[order], span) * len(index.labels) + other, return_counts=True)
-    mine, theirs = pair // len(index.labels), pair % len(index.labels)
-    keep = hits >= (take - slack)[mine]
-    mine, theirs = mine[keep], theirs[keep]
+    mine, theirs = [], []
+    # a few texts at a time: their occurrences bound the memory, however many there are in all
+    ends = np.flatnonzero(np.diff(text_d[order], append=-1)) + 1
+    filled, begin = np.cumsum(span), 0
+    while begin < len(order):
+        last = np.searchsorted(filled[ends - 1], (filled[begin - 1] if begin else 0) + _OCCURRENCES, "right")
+        end = int(ends[max(last - 1, np.searchsorted(ends, begin, "right"))])
+        part, n_part = order[begin:end], span[begin:end]
+        located = np.repeat(low[inverse[part]] - np.concatenate([[0], np.cumsum(n_part)[:-1]]), n_part) + np.arange(n_part.sum())
+        pair, hits = np.unique(np.repeat(text_d[part], n_part) * len(index.labels) + index.of_suffix[located], return_counts=True)
+        m, t = pair // len(index.labels), pair % len(index.labels)
+        keep = hits >= (take - slack)[m]
+        mine.append(m[keep])
+        theirs.append(t[keep])
+        begin = end
+    mine, theirs = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (mine, theirs))
     if not len(mine):
         return none
     out = {k: [] for k in none}
@@ -152,6 +163,16 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
     return {k: np.array(v, dtype=np.int64) for k, v in out.items()}
 
 
+def copied(found: dict[str, np.ndarray], which: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Results by number of a distinct text given to every key that holds it; which has each key's text."""
+    by = np.argsort(which, kind="stable")
+    first, last = np.searchsorted(which[by], found["key"]), np.searchsorted(which[by], found["key"], "right")
+    times = last - first
+    row = np.repeat(np.arange(len(times)), times)
+    place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+    return {k: keys[by[place]] if k == "key" else v[row] for k, v in found.items()}
+
+
 def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc_id", train_key: str = "ord", text: str = "text", width: int = 3, num: int = 3, den: int = 5, least_words: int = 30, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(eval_key, train_key, shared, total, spans, longest): all cross-split pairs of similarity num/den or more.
 
@@ -173,9 +194,10 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
             for whole in batches:
                 for i in range(0, whole.num_rows, 2000):
                     batch = whole.slice(i, 2000)
-                    hashes, sizes = word_hashes(batch.column(1).to_pylist())
-                    out = match_texts(_load(path, shard), batch.column(0).to_numpy(), hashes, sizes, width, num, den, least_words)
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v, type=pa.int64()) for k, v in out.items()})
+                    column = batch.column(1).dictionary_encode()  # copies are searched once
+                    hashes, sizes = word_hashes(column.dictionary.to_pylist())
+                    out = match_texts(_load(path, shard), np.arange(len(sizes)), hashes, sizes, width, num, den, least_words)
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v, type=pa.int64()) for k, v in copied(out, column.indices.to_numpy(), batch.column(0).to_numpy()).items()})
 
         return spread(rows).mapInArrow(run, "key bigint, cls bigint, shared bigint, total bigint, spans bigint, longest bigint")
 

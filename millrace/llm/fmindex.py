@@ -131,13 +131,3 @@ class WordIndex:
             a, b = self.extend(words[go, k], low[go], high[go])
             low[go], high[go] = a, b
         return low, high
-
-    def maximal(self, ids: np.ndarray, end: int) -> tuple[int, int, int]:
-        """(start, low, high) of the longest run of words that ends before `end` and occurs in the index."""
-        at, low, high = end, 0, len(self.symbols)
-        while at > 0 and ids[at - 1] > 0:
-            a, b = self.extend(ids[at - 1 : at], np.array([low]), np.array([high]))
-            if a[0] >= b[0]:
-                break
-            at, low, high = at - 1, int(a[0]), int(b[0])
-        return at, low, high
