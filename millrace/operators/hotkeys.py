@@ -20,7 +20,7 @@ from millrace.session import stored
 
 
 def once(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Each record once by its key, with the smallest value of every column; records written again hold equal values."""
+    """Each record once by its key, with the smallest value of every column; records written again hold equal values. Records with a null key are one record; an empty table stays empty; other columns are dropped."""
     return df.groupBy(*key).agg(*(F.min(c).alias(c) for c in columns))
 
 

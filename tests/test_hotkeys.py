@@ -28,8 +28,9 @@ def test_heavy_keys_leave_nulls_out(spark):
 
 
 def test_records_written_again_count_once(spark):
-    rows = spark.createDataFrame([(1, 5), (1, 5), (2, None)], "id int, v int")
-    assert sorted((r.id, r.v) for r in once(rows, ["id"], ["v"]).collect()) == [(1, 5), (2, None)]
+    rows = spark.createDataFrame([(1, 5, "x"), (1, 5, "y"), (2, None, "z"), (None, 7, None), (None, 7, None)], "id int, v int, other string")
+    assert sorted(((r.id or 0), (r.v or 0)) for r in once(rows, ["id"], ["v"]).collect()) == [(0, 7), (1, 5), (2, 0)]
+    assert once(rows.limit(0), ["id"], ["v"]).count() == 0
 
 
 def test_positions_of_a_hot_key_run_over_many_ranges(spark):
