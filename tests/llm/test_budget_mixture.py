@@ -55,7 +55,7 @@ def test_sainte_lague_equals_the_loop(spark):
 def test_mixture_respects_targets_and_caps(spark):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randint(0, 300), rng.choice(["a"] * 7 + ["b", "b", "c"])) for i in range(1500)] + [(5000, None, "a"), (5001, "y", None), (5002, "y", "untargeted")]
-    df = spark.createDataFrame(rows + rows[:50], "doc_id bigint, text string, source string")
+    df = spark.createDataFrame([(*r, "c", -1, None) for r in rows + rows[:50]], "doc_id bigint, text string, source string, bytes string, bucket int, turn bigint")
     targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.5, 4), ("c", 0.15, 1), ("none", 0.05, 2)], "source string, target_weight double, max_repeats int")
     out = mixture.mixture(df, targets).collect()
     size = {i: len(t or "") for i, t, _ in rows}
@@ -75,6 +75,12 @@ def test_mixture_respects_targets_and_caps(spark):
     assert mixture.mixture(df.limit(0), targets).count() == 0 and mixture.mixture(df, targets.limit(0)).count() == 0
 
 
+def test_null_keys_are_one_record(spark):
+    df = spark.createDataFrame([(None, "abc", "a"), (None, "abc", "a"), (1, " é ", "a")], "doc_id bigint, text string, source string")
+    assert sorted((r.doc_id or 0, r.bytes) for r in mixture.sized_records(df).collect()) == [(0, 3), (1, 2)]
+    assert budget.slice_totals(df.selectExpr("*", "'en' AS lang", "'x' AS domain")).first().records == 2
+
+
 def test_no_partition_gets_a_hot_source(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("zz").alias("text"), F.lit("hot").alias("source"))
     targets = spark.createDataFrame([("hot", 1.0, 1)], "source string, target_weight double, max_repeats int")
