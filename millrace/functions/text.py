@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, with x evaluated once however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def strip(x: str | Column) -> Column:
     """Without white space at both ends, Unicode white space included."""
     return F.btrim(col(x), F.lit(SPACES))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import BUDGET_TOKEN, SPACE_RUN, budget_tokens, byte_length, col, strip
 from millrace.operators.prefix import hex_bucket, range_bucket, running_before
+from millrace.session import stored
 
 # Defaults of the published runs.
 SALT, MIN_BYTES, EVAL_FRACTION = "dclm-stack-v1", 128, 0.01
@@ -129,7 +130,7 @@ def held_out(df: DataFrame, training: DataFrame, budget: int, key: str = "doc_id
     rows = rows.withColumn("digest", F.sha2("text", 256))
     seen = training.select(F.sha2(strip(training["text"]), 256).alias("digest")).where("digest IS NOT NULL").distinct()
     first = rows.groupBy("source", "digest").agg(F.min(key).alias(key), F.first(byte_length("text")).alias("bytes"))
-    fresh = first.join(seen, "digest", "left_anti")
+    fresh = stored(first.join(seen, "digest", "left_anti"), "fresh")  # read twice; without texts
     ran = running_before(fresh, ["source"], range_bucket(key, 4096), [key], "bytes").where(F.col("before") < budget)
     cut = ran.select("source", key, "digest", (F.lit(budget) - F.col("before")).alias("room"))
     texts = rows.select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("digest").alias("_d"), "text").dropDuplicates(["_k", "_s", "_d"])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 
 def likelihood(df: DataFrame, by: list[str], nats: str = "nll_sum_nats", tokens: str = "predicted_tokens", bytes_: str = "source_bytes") -> DataFrame:
     """Sums and nats per token, perplexity (null from 80 nats on), nats and bits per byte, at every level of by's roll-up.
@@ -113,11 +115,9 @@ def cross_entropy(df: DataFrame, by: str, logit: str, target: Column, z_weight:
 
 def top_k_routing(values: Column, k: int) -> Column:
     """[{expert, weight}]: softmax in double precision, then the k largest, heaviest first; ties to the lowest expert."""
-    top = F.array_max(values)
-    raw = F.transform(values, lambda v: F.exp(v.cast("double") - top))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    keyed = F.transform(raw, lambda v, i: F.struct((-v / total).alias("w"), i.alias("e")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: F.struct(s["e"].alias("expert"), (-s["w"]).alias("weight")))
+    raw = let(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v.cast("double") - top)))
+    share = let(raw, lambda r: let(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(r, lambda v, i: F.struct((-v / total).alias("w"), i.alias("e")))))
+    return F.transform(F.slice(F.array_sort(share), 1, k), lambda s: F.struct(s["e"].alias("expert"), (-s["w"]).alias("weight")))
 
 
 def masked_mean(value: Column, mask: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import budget_tokens, byte_length, col
+from millrace.functions.text import budget_tokens, byte_length, col, let
+from millrace.session import stored
 
 EXPERTS = ("word", "char", "byte")
 
@@ -66,27 +67,33 @@ def soft_weights(costs: Column, temperature: float, top: int = 2) -> Column:
     Ties at the edge of the top go to the lowest expert. With temperature 0 or one expert all weight is the cheapest's.
     """
     if temperature <= 0 or top <= 1:
-        best = F.array_position(costs, F.array_min(costs))
-        return F.transform(costs, lambda c, i: F.when(i + 1 == best, 1.0).otherwise(0.0))
-    least = F.array_min(costs)
-    logit = F.transform(costs, lambda c: -((c - least) / F.greatest(least, F.lit(1.0))) / temperature)
-    order = F.slice(F.array_sort(F.transform(logit, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), 1, top)
-    kept = F.transform(order, lambda s: s["i"])
-    raw = F.transform(logit, lambda x, i: F.when(F.array_contains(kept, i), F.exp(x)).otherwise(0.0))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raw, lambda x: x / total)
+        return let(costs, lambda c: let(F.array_position(c, F.array_min(c)), lambda best: F.transform(c, lambda _, i: F.when(i + 1 == best, 1.0).otherwise(0.0))))
+
+    def logits(c: Column) -> Column:
+        return let(F.array_min(c), lambda least: F.transform(c, lambda x: -((x - least) / F.greatest(least, F.lit(1.0))) / temperature))
+
+    def raw(logit: Column) -> Column:
+        order = F.slice(F.array_sort(F.transform(logit, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), 1, top)
+        return let(F.transform(order, lambda s: s["i"]), lambda kept: F.transform(logit, lambda x, i: F.when(F.array_contains(kept, i), F.exp(x)).otherwise(0.0)))
+
+    def normal(r: Column) -> Column:
+        return let(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(r, lambda x: x / total))
+
+    return let(costs, lambda c: let(logits(c), lambda g: let(raw(g), normal)))
 
 
 def expert_summary(df: DataFrame, experts: int) -> DataFrame:
     """Of rows (expert_id, weights, bytes, tokens): documents, responsibility mass, overlap documents (weight without the route),
     bytes, tokens and bytes per token of every expert; experts without documents have zeros."""
     ids = df.sparkSession.range(experts).select(F.col("id").cast("int").alias("expert_id"))
-    own = df.groupBy("expert_id").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"))
-    soft = df.select("expert_id", F.posexplode("weights").alias("k", "w")).groupBy(F.col("k").alias("expert_id")).agg(
-        F.sum("w").alias("mass"), F.sum(((F.col("w") > 0) & (F.col("k") != F.col("expert_id"))).cast("int")).alias("overlap")
+    each = df.select(F.col("expert_id").alias("own"), "bytes", "tokens", F.posexplode("weights").alias("expert_id", "w"))
+    mine = F.col("own") == F.col("expert_id")
+    sums = each.groupBy("expert_id").agg(
+        F.sum(mine.cast("int")).alias("documents"), F.sum("w").alias("mass"), F.sum(((F.col("w") > 0) & ~mine).cast("int")).alias("overlap"),
+        F.sum(F.when(mine, F.col("bytes"))).alias("bytes"), F.sum(F.when(mine, F.col("tokens"))).alias("tokens"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = ids.join(own, "expert_id", "left").join(soft, "expert_id", "left").select("expert_id", zero("documents"), zero("mass"), zero("overlap"), zero("bytes"), zero("tokens"))
+    out = ids.join(sums, "expert_id", "left").select("expert_id", *map(zero, ("documents", "mass", "overlap", "bytes", "tokens")))
     return out.withColumn("bytes_per_token", F.col("bytes") / F.greatest("tokens", F.lit(1)))
 
 
@@ -135,6 +142,7 @@ def merge_proxies(df: DataFrame, experts: int, label: str = "expert_id", costs:
     One pass of partial sums (a row for each label and expert), paired afterwards.
     """
     sums = df.select(label, F.posexplode(costs).alias("k", "c"), F.get(costs, F.col(label)).alias("own")).groupBy(F.col(label).alias("l"), "k").agg(F.sum(F.col("c") - F.col("own")).alias("extra"))
+    sums = stored(sums, "sums")  # a row for each label and expert
     left = sums.select(F.col("l").alias("a"), F.col("k").alias("b"), F.col("extra").alias("x")).where("a < b")
     right = sums.select(F.col("l").alias("b"), F.col("k").alias("a"), F.col("extra").alias("y")).where("a < b")
     return left.join(right, ["a", "b"]).select("a", "b", (F.col("x") + F.col("y")).alias("proxy"))
@@ -146,10 +154,12 @@ def domain_markers(df: DataFrame, pattern: str, label: str = "expert_id", key: s
     score = ln(((c + .5) / (n_k + 1)) / ((g + .5) / (N + 1))), c and g the label's and all documents with the marker. Order: score, count, marker, all descending.
     """
     marks = F.array_distinct(F.transform(F.regexp_extract_all(F.substring(text, 1, characters), F.lit(pattern), F.lit(0)), F.lower))
-    rows = df.where(F.col(text).isNotNull())
-    local = rows.select(label, F.explode(marks).alias("marker")).groupBy(label, "marker").agg(F.count("*").alias("count"))
+    # one pass over the texts: beside its markers each document has a null one, which counts the label's documents
+    marked = df.where(F.col(text).isNotNull()).select(label, F.explode(F.concat(marks, F.array(F.lit(None).cast("string")))).alias("marker"))
+    counts = stored(marked.groupBy(label, "marker").agg(F.count("*").alias("count")), "markers")
+    local = counts.where("marker IS NOT NULL")
     everywhere = local.groupBy("marker").agg(F.sum("count").alias("g"))
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
+    sizes = counts.where("marker IS NULL").select(label, F.col("count").alias("n"))
     total = sizes.agg(F.sum("n").alias("_all"))
     joined = local.where(F.col("count") >= least).join(everywhere, "marker").join(sizes, label).crossJoin(F.broadcast(total))  # one row
     score = F.round(F.ln(((F.col("count") + 0.5) / (F.col("n") + 1)) / ((F.col("g") + 0.5) / (F.col("_all") + 1))), 9)

@@ -9,7 +9,7 @@ from millrace.functions.text import BUDGET_TOKEN, SPACE_RUN, budget_tokens, byte
 from millrace.operators import curation as C
 from millrace.operators.hotkeys import ranked
 from millrace.operators.prefix import hex_bucket
-from millrace.session import spread, table
+from millrace.session import spread, stored, table
 
 QUERIES, SQL = {}, {}
 
@@ -62,6 +62,7 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
 def mixture_quota(spark: SparkSession, folder: str) -> DataFrame:
     rows = C.split_documents(spread(_documents(spark, folder).select("doc_id", "source", "lang", "text")), 0.1)
     counted = rows.select("doc_id", "partition", "lang", "document_id", budget_tokens(strip("text")).alias("n"))
+    counted = stored(counted, "counted")  # tokenized once; without texts
     return C.quota_cut(counted, ["partition", "lang"], "n", 5000, ["document_id", "doc_id"], hex_bucket("document_id")).select("doc_id", "partition", "lang", "document_id", "kept")
 
 

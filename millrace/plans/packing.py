@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import budget_tokens, sql_budget_tokens
 from millrace.operators import packing as P
 from millrace.operators.hotkeys import once, ranked
-from millrace.session import spread, table
+from millrace.session import spread, stored, table
 
 QUERIES, SQL = {}, {}
 
@@ -25,11 +25,11 @@ def query(sql: str | None = None):
 
 def _routed(spark: SparkSession, folder: str, extra: int = 1) -> DataFrame:
     rows = once(table(spark, folder, "routed_documents"), ["route_id"], ["tokenizer_id", "n_tokens"]).where("tokenizer_id IS NOT NULL")
-    return P.token_offsets(rows, ["tokenizer_id"], "route_id", "n_tokens", extra)
+    return stored(P.token_offsets(stored(rows, "routes"), ["tokenizer_id"], "route_id", "n_tokens", extra), "offsets")  # numbers only
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    return P.token_offsets(once(table(spark, folder, "curated"), ["ord"], ["token_count"]), [], "ord", "token_count", 0)
+    return stored(P.token_offsets(stored(once(table(spark, folder, "curated"), ["ord"], ["token_count"]), "counts"), [], "ord", "token_count", 0), "offsets")
 
 
 def _sql_routed(extra: int = 1) -> str:

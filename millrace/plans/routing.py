@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import byte_length, sql_budget_tokens
 from millrace.operators import routing as R
-from millrace.session import spread, table
+from millrace.session import spread, stored, table
 
 QUERIES, SQL = {}, {}
 
@@ -107,7 +107,7 @@ def soft_assign(spark: SparkSession, folder: str) -> DataFrame:
     SELECT k.expert_id, coalesce(documents, 0) AS documents, round(coalesce(mass, 0), 6) AS mass, CAST(coalesce(overlap, 0) AS BIGINT) AS overlap, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens,
     round(coalesce(bytes, 0) / greatest(coalesce(tokens, 0), 1), 9) AS bytes_per_token FROM {_K} k LEFT JOIN o ON o.expert_id = k.expert_id LEFT JOIN m ON m.expert_id = k.expert_id""")
 def expert_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _routed(spark, folder).withColumn("weights", R.soft_weights(F.col("costs").cast("array<double>"), 0.2))
+    rows = stored(_routed(spark, folder), "routed").withColumn("weights", R.soft_weights(F.col("costs").cast("array<double>"), 0.2))
     return R.expert_summary(rows, 3).withColumn("mass", F.round(F.col("mass").cast("double"), 6)).withColumn("bytes_per_token", F.round("bytes_per_token", 9))
 
 
@@ -116,7 +116,7 @@ _LEARN = f"""SELECT r.*, m.learned, r.costs[m.learned + 1] AS learned_tokens, r.
 
 
 def _learned(spark: SparkSession, folder: str) -> DataFrame:
-    r = _routed(spark, folder)
+    r = stored(_routed(spark, folder), "routed")  # encoded once
     m = R.majority_router(r, "source", "expert_id")
     j = r.join(m, "source")
     return j.withColumn("learned_tokens", R.cost_of("costs", "learned")).withColumn("small", F.get("costs", F.lit(0))).withColumn("large", F.get("costs", F.lit(2)))
