@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.hotkeys import eager_join_totals, heavy_keys, once, ranked
-from millrace.session import table
+from millrace.session import stored, table
 
 
 def _routes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -34,6 +34,8 @@ def _totals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     routed = eager_join_totals(_routes(spark, folder), _curated(spark, folder), ["source_document_index"], ["tokenizer_id"], ["partition"])
     scored = eager_join_totals(_scores(spark, folder), _evaluation(spark, folder), ["doc_id"], ["endpoint_id"], ["split"])
+    # each is read twice and has a row for each key and part
+    routed, scored = stored(routed, "routed"), stored(scored, "scored")
     parts = [heavy_keys(t, k).select(F.lit(k).alias("key_field"), "key_value") for t, k in ((routed, "tokenizer_id"), (scored, "endpoint_id"))]
     return parts[0].unionByName(parts[1])
 
@@ -50,7 +52,12 @@ def p2_positions(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(rows, "tokenizer_id", ["routed_at", "route_id"]).select("route_id", "tokenizer_id", F.col("position").cast("bigint").alias("position"), "key_rows")
 
 
-QUERIES = {"p2_found": p2_found, "p2_totals": p2_totals, "p2_positions": p2_positions}
+def p2_endpoint_positions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scores(spark, folder, "scored_at").where("endpoint_id IS NOT NULL")
+    return ranked(rows, "endpoint_id", ["scored_at", "run_name", "doc_id"]).select("run_name", "doc_id", "endpoint_id", F.col("position").cast("bigint").alias("position"), "key_rows")
+
+
+QUERIES = {"p2_found": p2_found, "p2_totals": p2_totals, "p2_positions": p2_positions, "p2_endpoint_positions": p2_endpoint_positions}
 
 _R = "SELECT route_id, min(source_document_index) AS i, min(tokenizer_id) AS k, min(raw_bytes) AS b, min(n_tokens) AS t, min(routed_at) AS w FROM routed_documents GROUP BY route_id"
 _N = "SELECT run_name, doc_id, min(endpoint_id) AS k, min(source_bytes) AS b, min(predicted_tokens) AS t FROM nll_documents GROUP BY run_name, doc_id"
@@ -74,4 +81,7 @@ SQL = {
         WITH r AS ({_R})
         SELECT route_id, k AS tokenizer_id, row_number() OVER (PARTITION BY k ORDER BY w, route_id) AS position, count(*) OVER (PARTITION BY k) AS key_rows
         FROM r WHERE k IS NOT NULL""",
+    "p2_endpoint_positions": """
+        SELECT run_name, doc_id, k AS endpoint_id, row_number() OVER (PARTITION BY k ORDER BY w, run_name, doc_id) AS position, count(*) OVER (PARTITION BY k) AS key_rows
+        FROM (SELECT run_name, doc_id, min(endpoint_id) AS k, min(scored_at) AS w FROM nll_documents GROUP BY run_name, doc_id) WHERE k IS NOT NULL""",
 }
