@@ -36,7 +36,7 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    totals = slice_totals(table(spark, folder, "evaluation_documents"))
+    totals = stored(slice_totals(table(spark, folder, "evaluation_documents")), "slices")  # read twice; a row a slice
     return slice_shortfalls(totals, table(spark, folder, "slice_budgets")).where("short").select("source", "lang", "domain")
 
 
