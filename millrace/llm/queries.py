@@ -50,7 +50,7 @@ def p3_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     sized = sized_records(table(spark, folder, "evaluation_documents"))
-    blocks = sized.groupBy("source", "bucket").agg(F.sum("bytes").alias("bytes"))
+    blocks = stored(sized.groupBy("source", "bucket").agg(F.sum("bytes").alias("bytes")), "blocks")  # read twice; at most BUCKETS rows a source
     return capacities(blocks, table(spark, folder, "mixture_targets")).where("capped").select("source")
 
 
