@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import budget_tokens, clean_lang
 from millrace.llm.bpe import TOKENIZER_DIR, count_column, worker_encoder
-from millrace.session import spread
 
 
 def _counted(texts: DataFrame, vocabulary: str | None, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.fmindex import WordIndex
 from millrace.llm.neardup import text_classes
-from millrace.llm.words import distinct, needed, shingles, word_hashes
+from millrace.llm.words import needed, shingles, word_hashes
 from millrace.session import spread, stored_path
 
 _OCCURRENCES = 4_000_000  # located at once
