@@ -136,3 +136,13 @@ def test_converted_tokenizer(tmp_path):
 
     with pytest.raises(ValueError):
         K.convert_tokenizer(Tokenizer(models.BPE()).to_str(), str(tmp_path / "u"), {})
+
+
+def test_event_totals_count_late_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = ["2031-03-03T00:01:00", "2031-03-03T00:12:00", "2031-03-03T00:02:00", "2031-03-03T05:00:00"]
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps({"ts": t, "event_type": "a", "value": 2.0}) + "\n" for t in rows))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").json(str(tmp_path / "in"))
+    query = streams.event_totals(stream).writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.events, r.value) for r in spark.table("totals").collect()) == [(1, 2.0), (1, 2.0), (2, 4.0)]

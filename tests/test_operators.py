@@ -244,3 +244,14 @@ def test_infilling(spark):
     assert sorted(out) == [-3, -2, -1, 5, 6, 7]
     spans = I.sentence_spans(frame(spark, [(1, [10, 10, 10, 10, 10]), (2, [600, 3]), (3, [4]), (4, None)], "id int, z array<int>"), "id", "z", 20, 0.0).orderBy("span").collect()
     assert [(r.id, r["first"], r["last"]) for r in spans] == [(1, 0, 2), (1, 2, 5)]
+
+
+def test_nucleus_and_draws(spark):
+    rows = frame(spark, [("a", i, math.log(p)) for i, p in enumerate([0.5, 0.3, 0.15, 0.05])] + [("b", 0, 1.0)], "g string, i int, x double")
+    kept = I.nucleus(rows, "g", "i", "x", 0.9)
+    assert sorted(r.i for r in kept.where("g = 'a'").collect()) == [0, 1, 2] and kept.where("g = 'b'").first().probability == 1.0
+    assert sorted(r.i for r in I.nucleus(rows, "g", "i", "x", 0.01).where("g = 'a'").collect()) == [0]
+    assert I.nucleus(rows, "g", "i", "x", 1.0, 2).where("g = 'a'").count() == 2
+    many = spark.range(4000).select(F.col("id").alias("g"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in ((0, 0.7), (1, 0.3), (2, 0.0))])).alias("s")).select("g", "s.*")
+    share = I.drawn(many, "g", "i", "p").groupBy("i").count().collect()
+    assert {r.i for r in share} == {0, 1} and abs(next(r["count"] for r in share if r.i == 0) / 4000 - 0.7) < 0.04
