@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -148,13 +149,22 @@ def fill_shards(df: DataFrame, order: str, count: str, budget: int) -> DataFrame
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = 0, 0
         for batch in batches:
-            out = []
-            for n in batch.column(1).to_pylist():
-                if held > 0 and held + n > budget:
+            n = batch.column(1).to_numpy()
+            upto = np.cumsum(n)
+            out, at = np.empty(len(n), dtype=np.int64), 0
+            while at < len(n):
+                # rows up to `end` fit; the next one opens a shard, or has this one to itself if it holds nothing
+                done = upto[at - 1] if at else 0
+                end = int(np.searchsorted(upto, budget - held + done, "right"))
+                if end <= at and held == 0:
+                    end = at + 1
+                end = max(end, at)
+                out[at:end] = shard
+                held += int(upto[end - 1] - done) if end > at else 0
+                at = end
+                if at < len(n) and held > 0:
                     shard, held = shard + 1, 0
-                held += n
-                out.append(shard)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=pa.int64())], names=[order, count, "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=[order, count, "shard"])
 
     pairs = df.select(F.col(order).cast("bigint").alias(order), F.coalesce(F.col(count), F.lit(0)).cast("bigint").alias(count))
     return pairs.repartition(1).sortWithinPartitions(order).mapInArrow(fold, f"`{order}` bigint, `{count}` bigint, shard bigint")

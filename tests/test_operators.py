@@ -73,6 +73,17 @@ def test_shards_fold_next_fit(spark):
         want.append(shard)
     assert got == want
     assert C.fill_shards(frame(spark, [], "o int, n int"), "o", "n", 10).count() == 0
+    rng = random.Random(7)
+    for budget in (1, 10, 57):
+        counts = [rng.choice([0, 0, 1, 5, 10, 11, 60]) for _ in range(400)]
+        got = [r.shard for r in C.fill_shards(frame(spark, list(enumerate(counts)), "o int, n int"), "o", "n", budget).orderBy("o").collect()]
+        want, shard, held = [], 0, 0
+        for n in counts:
+            if held > 0 and held + n > budget:
+                shard, held = shard + 1, 0
+            held += n
+            want.append(shard)
+        assert got == want
 
 
 def test_quota_is_filled_exactly(spark):
