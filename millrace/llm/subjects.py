@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,11 +290,12 @@ def document_subjects(records: DataFrame, labels: DataFrame, subjects: DataFrame
     Code has share 1 of software, the shares of its other subjects are of its lines that deal with any subject.
     """
     model = train(records, labels, subjects, key, labelled)
-    held = records.sparkSession.sparkContext.broadcast(model)  # bounded by `labelled`
+    # bounded by `labelled`; as bytes, so that workers need no copy of this package
+    held = records.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     rows = records.select(records[key].cast("bigint").alias("k"), records["text"].alias("t"), records["domain"].cast("string").alias("d"), records["lang"].cast("string").alias("l")).where("k IS NOT NULL AND t IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = held.value
+        found = cloudpickle.loads(held.value)
         names = np.array(found.subjects, dtype=object)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
