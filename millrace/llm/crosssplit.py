@@ -183,7 +183,7 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
     """
     spark = evaluation.sparkSession
     texts, members = text_classes(evaluation, eval_key, text)
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = evaluation.agg(F.coalesce(F.sum(F.octet_length(evaluation[text])), F.lit(0))).first()[0]  # copies too, so a shard may hold less
     shards = max(1, -(-int(size) // shard_bytes))
     path = stored_path(spark, "index")
     build_indexes(texts, shards, path)

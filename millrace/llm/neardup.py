@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import U, distinct, shingles, splitmix, word_hashes
-from millrace.session import cut, spread, stored
+from millrace.session import cut, stored
 
 ROWS, BANDS = 4, 48  # at similarity 0.6 a pair shares a band with probability 0.9987, at 0.7 0.999997, at 0.8 1 - 3e-11
 BLOCK = 256  # members of a bucket that meet in one unit of work
@@ -89,9 +89,10 @@ def text_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     """
     rows = df.select(df[key].cast("bigint").alias(key), df[text].alias("text")).where(f"`{key}` IS NOT NULL AND text IS NOT NULL")
     marked = rows.withColumn("h", F.md5("text"))
+    # the members come from a pass of their own over keys and hashes, so the texts are stored nowhere
+    classes = marked.groupBy("h").agg(F.min(key).alias("cls"))
+    members = marked.select(key, "h").distinct().join(classes, "h").select(key, "cls")
     texts = marked.groupBy("h").agg(F.min(key).alias("cls"), F.first("text").alias("text"))
-    texts = stored(texts, "classes")
-    members = marked.select(key, "h").distinct().join(texts.select("h", "cls"), "h").select(key, "cls")
     return texts.select("cls", "text"), members
 
 
@@ -125,7 +126,7 @@ def verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFram
 
 def _signed(df: DataFrame, key: str, text: str, width: int, least_words: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
     texts, members = text_classes(df, key, text)
-    return stored(signed_texts(spread(texts), width, least_words, weighted=weighted), "signed"), members
+    return stored(signed_texts(texts, width, least_words, weighted=weighted), "signed"), members
 
 
 def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 3, den: int = 5, least_words: int = 30) -> DataFrame:
