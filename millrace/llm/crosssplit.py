@@ -53,7 +53,7 @@ def build_indexes(texts: DataFrame, shards: int, path: str) -> None:
         now, labels, hashes, sizes = None, [], [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            index = WordIndex.build(np.concatenate(hashes), np.concatenate(sizes), np.concatenate(labels))
+            index = WordIndex.build(hashes, np.concatenate(sizes), np.concatenate(labels))
             for piece in index.pieces():
                 row = dict(zip(("array", "kind", "length", "at", "raw"), piece), shard=now)
                 yield pa.RecordBatch.from_pylist([row], schema=schema)

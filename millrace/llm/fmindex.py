@@ -39,13 +39,16 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         del by
         new = np.ones(len(open_), dtype=bool)
         new[1:] = key[1:] != key[:-1]
-        key //= n + 1
+        old = (key // (n + 1)).astype(np.int32)
+        del key
         new_old = np.ones(len(open_), dtype=bool)
-        new_old[1:] = key[1:] != key[:-1]
-        at, sub = np.flatnonzero(new_old), np.flatnonzero(new)
-        size = np.diff(np.append(sub, len(open_)))
-        step = np.repeat(sub, size) - np.repeat(at, np.diff(np.append(at, len(open_))))
-        rank[open_] = key + step
+        new_old[1:] = old[1:] != old[:-1]
+        at, sub = np.flatnonzero(new_old).astype(np.int32), np.flatnonzero(new).astype(np.int32)
+        size = np.diff(np.append(sub, np.int32(len(open_))))
+        old += np.repeat(sub, size)
+        old -= np.repeat(at, np.diff(np.append(at, np.int32(len(open_)))))
+        rank[open_] = old
+        del old, new, new_old, at, sub
         open_ = open_[np.repeat(size > 1, size)]
         width *= 2
     order = np.empty(n, dtype=np.int32)
@@ -74,13 +77,20 @@ class WordIndex:
         return rows
 
     @classmethod
-    def build(cls, hashes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> WordIndex:
-        vocabulary, ids = np.unique(hashes, return_inverse=True)
+    def build(cls, hashes: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> WordIndex:
+        """hashes: word hashes in portions, which are used up."""
+        vocabulary = np.unique(np.concatenate([np.unique(h) for h in hashes] or [np.zeros(0, dtype=np.uint64)]))
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
         inside = np.ones(begin[-1], dtype=bool)
         inside[begin[1:] - 1] = False
+        ids = np.empty(int(sizes.sum()), dtype=np.int32)
+        at = 0
+        while hashes:
+            portion = hashes.pop(0)
+            ids[at : at + len(portion)] = np.searchsorted(vocabulary, portion) + 1
+            at += len(portion)
         symbols = np.zeros(begin[-1], dtype=np.int32)
-        symbols[inside] = ids + 1
+        symbols[inside] = ids
         del ids, inside
         order = suffix_order(symbols)
         of_suffix = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[order]

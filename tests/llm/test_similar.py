@@ -102,7 +102,7 @@ def test_suffixes_and_backward_search():
         assert suffix_order(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
     texts = [" ".join(rng.choice(WORDS[:6], 30)) for _ in range(20)] + [""]
     hashes, sizes = word_hashes(texts)
-    index = WordIndex.of_pieces(WordIndex.build(hashes, sizes, np.arange(len(texts))).pieces(64))
+    index = WordIndex.of_pieces(WordIndex.build([hashes[:7], hashes[7:]], sizes, np.arange(len(texts))).pieces(64))
     ids = index.ids(hashes)
     for width in (1, 2, 3):
         words = np.stack([ids[k : len(ids) - width + 1 + k] for k in range(width)], axis=1)[:40]
