@@ -72,13 +72,13 @@ def slice_shortfalls(totals: DataFrame, budgets: DataFrame) -> DataFrame:
 def stage_consumption(stages: DataFrame) -> DataFrame:
     """(tokenizer_id, consumed): tokens consumed per tokenizer over all runs and stages.
 
-    Counters are cumulative inside a stage, so each stage's latest checkpoint counts (by last step, then save time, then id);
-    repeated rows don't matter. Null and empty maps, and keys that are no number, add nothing.
+    Counters are cumulative inside a stage, so each tokenizer's latest counter of a stage counts (by last step, then save time, then id),
+    also where the stage's later checkpoints leave it out or have it null; repeated rows don't matter. Null and empty maps, null
+    counters, and keys that are no number, add nothing.
     """
-    last = stages.groupBy("run_name", "name", "start_training_step").agg(
-        F.max_by("consumed_tokens_per_tokenizer", F.struct("last_train_step", "saved_at", "checkpoint_id")).alias("m")
-    )
-    pairs = last.select(F.explode("m").alias("k", "v")).select(F.expr("try_cast(k AS bigint)").alias("tokenizer_id"), "v")
+    each = stages.select("run_name", "name", "start_training_step", F.struct("last_train_step", "saved_at", "checkpoint_id").alias("at"), F.explode("consumed_tokens_per_tokenizer").alias("k", "v"))
+    last = each.where("v IS NOT NULL").groupBy("run_name", "name", "start_training_step", "k").agg(F.max_by("v", "at").alias("v"))
+    pairs = last.select(F.expr("try_cast(k AS bigint)").alias("tokenizer_id"), "v")
     return pairs.where("tokenizer_id IS NOT NULL").groupBy("tokenizer_id").agg(F.sum("v").alias("consumed"))
 
 

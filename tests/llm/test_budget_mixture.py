@@ -39,6 +39,12 @@ def test_consumption_takes_the_last_checkpoint(spark):
     assert {r.tokenizer_id: r.consumed for r in budget.stage_consumption(df).collect()} == {0: 107, 1: 2}
 
 
+def test_consumption_keeps_counters_that_the_last_checkpoint_lacks(spark):
+    rows = [(1, "r", "s", 1, 10, {"0": 5, "1": 4}), (2, "r", "s", 1, 20, {"0": 7, "1": None}), (3, "r", "s", 1, 30, {"0": 9}), (4, "r", "t", 31, 40, {"2": 6}), (5, "r", "t", 31, 50, None), (6, "r", "u", 51, 60, {"1": 3}), (7, "r", "u", 51, 70, {})]
+    df = spark.createDataFrame([(*r, None) for r in rows], "checkpoint_id bigint, run_name string, name string, start_training_step bigint, last_train_step bigint, consumed_tokens_per_tokenizer map<string,bigint>, saved_at timestamp")
+    assert {r.tokenizer_id: r.consumed for r in budget.stage_consumption(df).collect()} == {0: 9, 1: 7, 2: 6}
+
+
 def test_sainte_lague_equals_the_loop(spark):
     rng = random.Random(2)
     for n, seats in ((1, 5), (3, 7), (8, 100), (20, 1000)):
