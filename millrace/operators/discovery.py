@@ -1,7 +1,7 @@
 """Discovery of tokenizer domains: features, clusters, experts fitted in turns with assignments, splits and merges, learned routers.
 
 Documents stay distributed; what the driver holds is one tokenizer for each expert and the sums of each round. Experts are fitted one task each
-on a bounded, documented sample of their documents; costs, assignments, priors and the objective cover all documents.
+on all their documents, which stream through it; costs, assignments, priors and the objective cover all documents.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from millrace.session import cut
 
 @dataclass
 class Options:
-    """Defaults of the published runs, apart from sample: documents an expert is fitted on at most, by hash."""
+    """Defaults of the published runs. sample: documents an expert is fitted on at most, by hash; None for all."""
 
     max_experts: int = 8
     vocabulary: int = 8192
@@ -42,7 +41,7 @@ class Options:
     least_split: int = 20
     features: int = 256
     seed: int = 17
-    sample: int = 20_000
+    sample: int | None = None
 
 
 @dataclass
@@ -103,26 +102,44 @@ def repeats(weight: F.Column, oversample: float, key: str, seed: int):
 
 
 def fit_experts(df: DataFrame, key: str, text: str, experts: int, options: Options) -> list[str]:
-    """A tokenizer for each expert, from (key, text, weights): one task each, on at most options.sample documents a expert by hash.
+    """A tokenizer for each expert, from (key, text, weights): one task each, on all its documents or at most options.sample by hash.
 
-    Texts repeat by their weight; an expert without a repeat gets its heaviest document.
+    Texts stream through the task and repeat by their weight; an expert without a repeat gets its heaviest document.
     """
     rows = df.select(key, text, F.posexplode("weights").alias("e", "w")).where(f"w > 0 AND `{text}` IS NOT NULL")
-    rows = rows.withColumn("n", repeats(F.col("w"), options.oversample, key, options.seed)).withColumn("h", F.xxhash64(F.lit(options.seed), key))
-    from pyspark.sql import Window as W
-
-    # first within hash buckets, so that no task ranks all documents of a large expert
-    best = [F.desc(F.col("n") > 0), F.col("h")]
-    own = rows.withColumn("b", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(W.partitionBy("e", "b").orderBy(*best))).where(F.col("r") <= options.sample)
-    ranked = own.withColumn("r", F.row_number().over(W.partitionBy("e").orderBy(*best))).where(F.col("r") <= options.sample)
+    rows = rows.withColumn("n", repeats(F.col("w"), options.oversample, key, options.seed))
+    if options.sample is not None:
+        from pyspark.sql import Window as W
+
+        # first within hash buckets, so that no task ranks all documents of a large expert
+        best = [F.desc(F.col("n") > 0), F.col("h")]
+        rows = rows.withColumn("h", F.xxhash64(F.lit(options.seed), key)).withColumn("b", F.pmod("h", F.lit(64)))
+        own = rows.withColumn("r", F.row_number().over(W.partitionBy("e", "b").orderBy(*best))).where(F.col("r") <= options.sample)
+        rows = own.withColumn("r", F.row_number().over(W.partitionBy("e").orderBy(*best))).where(F.col("r") <= options.sample)
     least = max(1, round(options.least_frequency * options.oversample))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([key])
-        texts = [t for t, n in zip(group[text], group["n"]) for _ in range(n)] or [group.sort_values(["w", key], ascending=[False, True])[text].iloc[0]]
-        return pd.DataFrame({"e": [int(group["e"].iloc[0])], "tokenizer": [fit_bpe(texts, options.vocabulary, least)]})
-
-    found = {r.e: r.tokenizer for r in ranked.groupBy("e").applyInPandas(fit, "e int, tokenizer string").collect()}
+    vocabulary = options.vocabulary
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                for k, t, e, w, n in zip(*(c.to_pylist() for c in batch.columns)):
+                    seen["e"] = e
+                    if n > 0:
+                        seen["some"] = True
+                        yield from [t] * n
+                    elif "some" not in seen and ("heaviest" not in seen or (-w, k) < seen["heaviest"][0]):
+                        seen["heaviest"] = ((-w, k), t)
+            if "some" not in seen and "heaviest" in seen:
+                yield seen["heaviest"][1]
+
+        tokenizer = fit_bpe(texts(), vocabulary, least)
+        if "e" in seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen["e"]], pa.int32()), pa.array([tokenizer])], names=["e", "tokenizer"])
+
+    each = rows.select(key, text, "e", "w", "n").repartitionById(experts, F.col("e"))
+    found = {r.e: r.tokenizer for r in each.mapInArrow(fit, "e int, tokenizer string").collect()}
     empty = fit_bpe([], options.vocabulary, least)
     return [found.get(e, empty) for e in range(experts)]
 

@@ -60,13 +60,9 @@ def char_ngram_features(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.size(F.filter("features", lambda x: x > 0)).alias("dimensions"), F.round(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 5).alias("norm"))
 
 
-def _options() -> D.Options:
-    return D.Options(max_experts=3, vocabulary=512, rounds=1, passes=1, features=64, sample=500, split_candidates=1, merge_candidates=1)
-
-
 @query()
 def discover_domains(spark: SparkSession, folder: str) -> DataFrame:
-    found = D.discover_domains(_texts(spark, folder), options=_options())
+    found = D.discover_domains(_texts(spark, folder))
     return found.documents.select("doc_id", "expert_id", F.get("costs", F.col("expert_id")).alias("tokens"))
 
 

@@ -245,6 +245,19 @@ def test_discovery_finds_the_regimes(spark):
     assert both.where("learned = expert_id").count() >= 88
 
 
+def test_experts_are_fitted_on_all_documents(spark, monkeypatch):
+    from millrace.plans import discovery as plans
+
+    used = []
+    monkeypatch.setattr(plans, "_texts", lambda spark, folder: None)
+    monkeypatch.setattr(D, "discover_domains", lambda df, options=None: used.append(options or D.Options()) or D.Discovery(spark.createDataFrame([(1, 0, [3])], "doc_id bigint, expert_id int, costs array<bigint>"), [""], 0.0, 0.0, True))
+    assert plans.discover_domains(spark, "").count() == 1 and used == [D.Options()] and used[0].sample is None
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}xyz {i}" for i in range(400)]
+    rows = frame(spark, [(i, t, [1.0, 0.0, 0.01 if i in (3, 5) else 0.0]) for i, t in enumerate(texts)], "doc_id bigint, text string, weights array<double>")
+    options = D.Options(vocabulary=700, oversample=1.0, seed=1)
+    assert D.fit_experts(rows, "doc_id", "text", 4, options) == [fit_bpe(texts, 700), fit_bpe([], 700), fit_bpe([texts[3]], 700), fit_bpe([], 700)]
+
+
 def test_infilling(spark):
     rows = frame(spark, [(1, [5, 6, 7, 0, 8, 9]), (2, []), (3, None), (4, [0, 0])], "id int, ids array<int>")
     same = {r.id: r.input_ids for r in I.infilled(rows, "id", "ids", 0, -1, -2, -3, -4, rate=0.0).collect()}
