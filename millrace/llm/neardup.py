@@ -51,7 +51,7 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def signed_texts(df: DataFrame, width: int, least_words: int, rows: int = ROWS, bands: int = BANDS, weighted: bool = False) -> DataFrame:
+def signed_texts(df: DataFrame, width: int, least_words: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(cls, grams ARRAY<BIGINT> ascending, bands ARRAY<BIGINT>) of each (cls, text) with enough words and one shingle at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,14 +60,13 @@ def signed_texts(df: DataFrame, width: int, least_words: int, rows: int = ROWS,
                 batch = whole.slice(i, 500)
                 hashes, sizes = word_hashes(batch.column(1).to_pylist())
                 text, _, value = shingles(hashes, sizes, width)
-                text, value, times = distinct(text, value)
+                text, value, _ = distinct(text, value)
                 good = (sizes >= least_words)[text]
-                text, value, times = text[good], value[good], times[good]
+                text, value = text[good], value[good]
                 kept, dense, count = np.unique(text, return_inverse=True, return_counts=True)
                 if not len(kept):
                     continue
-                weight = times.astype(np.float64) if weighted else np.ones(len(text))
-                keys = band_keys(probminhash(dense, value, weight, len(kept), rows * bands), rows, bands)
+                keys = band_keys(probminhash(dense, value, np.ones(len(text)), len(kept), rows * bands), rows, bands)
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -124,9 +123,9 @@ def verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").where(similar("grams_a", "grams_b", num, den)).select("a", "b")
 
 
-def _signed(df: DataFrame, key: str, text: str, width: int, least_words: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
+def _signed(df: DataFrame, key: str, text: str, width: int, least_words: int) -> tuple[DataFrame, DataFrame]:
     texts, members = text_classes(df, key, text)
-    return stored(signed_texts(texts, width, least_words, weighted=weighted), "signed"), members
+    return stored(signed_texts(texts, width, least_words), "signed"), members
 
 
 def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 3, den: int = 5, least_words: int = 30) -> DataFrame:
@@ -138,7 +137,7 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     written again counts once; equal texts under different keys are partners; very long texts are used
     whole; an empty table gives an empty result; other columns are ignored.
     """
-    signed, members = _signed(df, key, text, width, least_words, False)
+    signed, members = _signed(df, key, text, width, least_words)
     links = verified(bucket_pairs(signed.select(F.explode("bands").alias("bucket"), "cls")).distinct(), signed, num, den)
     members = stored(members.join(signed.select("cls"), "cls", "left_semi"), "members")
     a, b = members.select(F.col("cls").alias("a"), F.col(key).alias("x")), members.select(F.col("cls").alias("b"), F.col(key).alias("y"))
@@ -187,11 +186,10 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     """(key, group_id, copies): the group of every record with a text; group_id is the smallest key of the group.
 
     A group is a component of the graph of verified links; copies is the number of records with exactly this
-    text. Shingles weigh by their number of occurrences when candidates are sought, sets are compared when they are
-    verified. A text too short for a shingle is alone with its copies. Null keys and texts give no row;
+    text. Candidates are sought and verified by the similarity of sets, so a repeated passage counts once. A text too short for a shingle is alone with its copies. Null keys and texts give no row;
     records written again count once; empty tables give an empty result.
     """
-    signed, members = _signed(df, key, text, width, least_words, True)
+    signed, members = _signed(df, key, text, width, least_words)
     roots = components(star_links(signed.select(F.explode("bands").alias("bucket"), "cls"), signed, num, den))
     copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
     return members.join(copies, "cls").join(roots, "cls", "left").select(key, F.coalesce("root", "cls").alias("group_id"), "copies")

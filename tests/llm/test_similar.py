@@ -80,6 +80,18 @@ def test_groups_equal_components(spark, monkeypatch):
     assert similar_groups(frame(spark, texts, "doc_id").limit(0)).count() == 0
 
 
+def test_groups_of_texts_that_repeat_a_passage(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(12):
+        words = [f"w{i}x{rng.randrange(10**6)}" for _ in range(404)]
+        texts += [" ".join(words), " ".join(words[:100] + words[100:124] * 50 + words[124:])]
+    for a, b in zip(texts[::2], texts[1::2]):
+        assert near(sets(a, 5, 5), sets(b, 5, 5), 4, 5)
+    got = {r.doc_id: r.group_id for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(24)}
+
+
 def test_cross_split_equals_brute_force(spark, monkeypatch):
     a, b = made(3, 40), made(4, 20) + made(3, 40)[:70] + made(3, 40)[:9] * 2
     s, t = [sets(x, 3, 30) for x in a], [sets(x, 3, 30) for x in b]
