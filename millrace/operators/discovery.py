@@ -223,7 +223,7 @@ def split_or_merge(texts: DataFrame, key: str, text: str, found: Discovery, o: O
         from millrace.operators.routing import merge_proxies
 
         pairs = merge_proxies(found.documents, len(found.experts)).orderBy("proxy", "a", "b").limit(o.merge_candidates).collect()
-        for p in pairs[:1]:
+        for p in pairs:
             options.append((labels.select(key, F.when(F.col("expert_id") == p.b, p.a).otherwise(F.col("expert_id")).alias("expert_id")), len(found.experts)))
     best = None
     for new, count in options:
