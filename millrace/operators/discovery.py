@@ -161,8 +161,7 @@ def converge(texts: DataFrame, key: str, text: str, labels: DataFrame, experts:
 
     Each round's assignment is cut by a checkpoint. If the rounds run out, the round with the best objective stands.
     """
-    one_hot = F.transform(F.sequence(F.lit(0), F.lit(experts - 1)), lambda i: F.when(i == F.col("expert_id"), 1.0).otherwise(0.0))
-    state = texts.join(labels, key).withColumn("weights", one_hot)
+    state = texts.join(labels, key).withColumn("weights", _one_hot(experts))
     best: Discovery | None = None
     history: list[float] = []
     previous, temperature, usage = None, options.temperature, None
@@ -187,9 +186,9 @@ def converge(texts: DataFrame, key: str, text: str, labels: DataFrame, experts:
 
 
 def discover_domains(df: DataFrame, key: str = "doc_id", text: str = "text", options: Options | None = None) -> Discovery:
-    """Domains of documents by description length: clusters, converged experts, then splits and merges while they pay.
+    """Domains of documents by description length: clusters, converged experts, then splits and merges while they pay, each refitted to convergence, and a final refit.
 
-    Null texts are left out. The penalty of an expert is the greater of its vocabulary and a share of all tokens.
+    A pass tries a split, then a merge. Clusters start from character n-grams. Null texts are left out. The penalty of an expert is the greater of its vocabulary and a share of all tokens.
     """
     o = options or Options()
     texts = cut(df.select(key, text).where(f"`{text}` IS NOT NULL"))
@@ -199,44 +198,83 @@ def discover_domains(df: DataFrame, key: str = "doc_id", text: str = "text", opt
     penalty = max(o.vocabulary, total * o.penalty_fraction)
     found = converge(texts, key, text, initial_labels(texts, key, text, k, o), k, o, penalty)
     for _ in range(o.passes):
-        changed = split_or_merge(texts, key, text, found, o, penalty)
-        if changed is None:
+        changed = False
+        for proposed in (split_labels, merge_labels):
+            labels = proposed(texts, key, text, found, o, penalty)
+            if labels is not None:
+                found, changed = _refitted(texts, key, text, labels, o, penalty), True
+        if not changed:
             break
-        found = changed
-    return found
-
-
-def split_or_merge(texts: DataFrame, key: str, text: str, found: Discovery, o: Options, penalty: float) -> Discovery | None:
-    """The best split or merge refitted, or nothing if none lowers the objective."""
-    sizes = {r.expert_id: (r.n, r.t) for r in found.documents.groupBy("expert_id").agg(F.count("*").alias("n"), F.sum(F.get("costs", F.col("expert_id"))).alias("t")).collect()}
-    ids = sorted(sizes)
-    labels = found.documents.select(key, "expert_id")
-    options: list[tuple[DataFrame, int]] = []
-    if len(ids) < o.max_experts:
-        for e in sorted((i for i in ids if sizes[i][0] >= 2 * o.least_split), key=lambda i: (-sizes[i][1], -i))[: o.split_candidates]:
-            own = texts.join(labels.where(F.col("expert_id") == e), key).select(key, text)
-            halves = initial_labels(own, key, text, 2, o).select(F.col(key).alias("_k"), F.col("expert_id").alias("_h"))
-            fresh = max(ids) + 1
-            both = labels.join(halves, F.col(key) == F.col("_k"), "left").select(key, F.when(F.col("_h") == 1, fresh).otherwise(F.col("expert_id")).alias("expert_id"))
-            options.append((both, fresh + 1))
-    if len(ids) > 1:
-        from millrace.operators.routing import merge_proxies
-
-        pairs = merge_proxies(found.documents, len(found.experts)).orderBy("proxy", "a", "b").limit(o.merge_candidates).collect()
-        for p in pairs:
-            options.append((labels.select(key, F.when(F.col("expert_id") == p.b, p.a).otherwise(F.col("expert_id")).alias("expert_id")), len(found.experts)))
-    best = None
-    for new, count in options:
-        tried = converge(texts, key, text, new, count, Options(**{**o.__dict__, "rounds": 0}), penalty) if count == 1 else _once(texts, key, text, new, count, o, penalty)
-        if tried.objective < (best or found).objective:
-            best = tried
-    return best
+    return _refitted(texts, key, text, found.documents.select(key, "expert_id"), o, penalty)
+
+
+def _refitted(texts: DataFrame, key: str, text: str, labels: DataFrame, o: Options, penalty: float) -> Discovery:
+    """The labels' experts, numbered without gaps, refitted to convergence."""
+    ids = sorted(r[0] for r in labels.select("expert_id").distinct().collect())  # one row an expert
+    dense = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("expert_id")).cast("int") - 1 if ids else F.col("expert_id")
+    return converge(texts, key, text, labels.select(key, dense.alias("expert_id")), max(1, len(ids)), o, penalty)
+
+
+def _sizes(found: Discovery) -> dict[int, tuple[int, int, int]]:
+    """Documents, tokens and bytes of each expert."""
+    own = F.get("costs", F.col("expert_id"))
+    return {r.expert_id: (r.n, r.t, r.b) for r in found.documents.groupBy("expert_id").agg(F.count("*").alias("n"), F.sum(own).alias("t"), F.sum("bytes").alias("b")).collect()}
+
+
+def _own_costs(own: DataFrame, key: str, text: str, halves: DataFrame, experts: int, o: Options) -> DataFrame:
+    """(key, costs) of own's documents under tokenizers fitted on its parts (key, expert_id)."""
+    return bpe_costs(own, key, text, fit_experts(own.join(halves, key).withColumn("weights", _one_hot(experts)), key, text, experts, o))
+
+
+def split_labels(texts: DataFrame, key: str, text: str, found: Discovery, o: Options, penalty: float) -> DataFrame | None:
+    """(key, expert_id) with the best split of an expert, or nothing if none pays or leaves least_split documents on both sides.
+
+    Experts with the most tokens a byte are tried first. A split's documents go to the side whose tokenizer needs fewer tokens.
+    """
+    sizes = _sizes(found)
+    if len(sizes) >= o.max_experts:
+        return None
+    labels, best = found.documents.select(key, "expert_id"), None
+    able = [e for e, (n, _, _) in sizes.items() if n >= 2 * o.least_split]
+    for e in sorted(able, key=lambda i: (-sizes[i][1] / max(sizes[i][2], 1), -i))[: o.split_candidates]:
+        own = cut(texts.join(labels.where(F.col("expert_id") == e).select(key), key))
+        halves = cut(initial_labels(own, key, text, 2, o))
+        least = lambda d: min([r["count"] for r in d.groupBy("expert_id").count().collect()] + [0] * (2 - d.select("expert_id").distinct().count()))
+        if least(halves) < o.least_split:
+            continue
+        sides = cut(_own_costs(own, key, text, halves, 2, o).select(key, (F.get("costs", F.lit(1)) < F.get("costs", F.lit(0))).cast("int").alias("expert_id"), F.array_min("costs").alias("c")))
+        if least(sides) < o.least_split:
+            continue
+        gain = sizes[e][1] - sides.agg(F.sum("c")).first()[0] - penalty
+        if gain > 0 and (best is None or gain > best[0]):
+            best = (gain, sides.where("expert_id = 1").select(key, F.lit(max(sizes) + 1).alias("_new")))
+    return None if best is None else labels.join(best[1], key, "left").select(key, F.coalesce("_new", "expert_id").alias("expert_id"))
+
+
+def merge_labels(texts: DataFrame, key: str, text: str, found: Discovery, o: Options, penalty: float) -> DataFrame | None:
+    """(key, expert_id) with the best merge of the merge_candidates pairs of smallest proxy, or nothing if none pays."""
+    from millrace.operators.routing import merge_proxies
+
+    sizes = _sizes(found)
+    if len(sizes) < 2 or o.merge_candidates <= 0:
+        return None
+    labels, best = found.documents.select(key, "expert_id"), None
+    for p in merge_proxies(found.documents, len(found.experts)).orderBy("proxy", "a", "b").limit(o.merge_candidates).collect():
+        own = cut(texts.join(labels.where(F.col("expert_id").isin(p.a, p.b)).select(key), key))
+        merged = _own_costs(own, key, text, own.select(key, F.lit(0).alias("expert_id")), 1, o).agg(F.sum(F.get("costs", F.lit(0)))).first()[0]
+        gain = sizes[p.a][1] + sizes[p.b][1] + penalty - merged
+        if gain > 0 and (best is None or gain > best[0]):
+            best = (gain, p.a, p.b)
+    return None if best is None else labels.select(key, F.when(F.col("expert_id") == best[2], best[1]).otherwise(F.col("expert_id")).alias("expert_id"))
+
+
+def _one_hot(experts: int) -> F.Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(experts - 1)), lambda i: F.when(i == F.col("expert_id"), 1.0).otherwise(0.0))
 
 
 def _once(texts: DataFrame, key: str, text: str, labels: DataFrame, experts: int, o: Options, penalty: float) -> Discovery:
     """One fit and one assignment under given labels."""
-    one_hot = F.transform(F.sequence(F.lit(0), F.lit(experts - 1)), lambda i: F.when(i == F.col("expert_id"), 1.0).otherwise(0.0))
-    fitted = fit_experts(texts.join(labels, key).withColumn("weights", one_hot), key, text, experts, o)
+    fitted = fit_experts(texts.join(labels, key).withColumn("weights", _one_hot(experts)), key, text, experts, o)
     assigned = cut(_assigned(texts.withColumn("bytes", F.octet_length(text)), key, text, fitted, None, o.temperature, o))
     sums = assigned.agg(F.sum(F.get("costs", F.col("expert_id"))).alias("t"), F.count_distinct("expert_id").alias("k")).first()
     return Discovery(assigned, fitted, float(sums.t or 0) + penalty * (sums.k or 0), penalty, False)

@@ -277,6 +277,33 @@ def test_a_merge_behind_the_cheapest_pair_is_found(spark, monkeypatch):
     assert [len({labels[i] for i in range(80) if i % 4 in g}) for g in ((0,), (1,), (2, 3), (0, 1, 2, 3))] == [1, 1, 1, 3]
 
 
+def test_discovery_refits_after_a_split_a_merge_and_at_the_end(spark, monkeypatch):
+    rng = random.Random(6)
+    words = lambda letters: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(25)]
+    pools = [words("abcdef"), words("ghijkl"), *[words("mnopqr")] * 2]
+    rows = frame(spark, [(i, " ".join(rng.choices(pools[i % 4], k=80))) for i in range(120)], "doc_id bigint, text string").cache()
+    options = D.Options(max_experts=6, vocabulary=330, rounds=2, passes=1, features=256, prior_weight=0.0, penalty_fraction=0.0, least_split=20)
+    refitted = []
+
+    def converge(texts, key, text, labels, experts, o, penalty):
+        if not refitted:  # the two first regimes share an expert, the last two, which are alike, have one each
+            labels, experts = texts.select(key, F.element_at(F.array(*map(F.lit, (0, 0, 1, 2))), (F.col(key) % 4 + 1).cast("int")).alias("expert_id")), 3
+        refitted.append((experts, labels.select("expert_id").distinct().count()))
+        return shown(D._once(texts, key, text, labels, experts, o, penalty), labels, key)
+
+    def shown(found, labels, key):
+        found.documents = D.cut(found.documents.drop("expert_id").join(labels, key))
+        return found
+
+    monkeypatch.setattr(D, "converge", converge)
+    labels = {r.doc_id: r.expert_id for r in D.discover_domains(rows, options=options).documents.collect()}
+    assert refitted == [(3, 3), (4, 4), (3, 3), (3, 3)]  # the start, after the split, after the merge, at the end
+    assert [len({labels[i] for i in range(120) if i % 4 in g}) for g in ((0,), (1,), (2, 3), (0, 1, 2, 3))] == [1, 1, 1, 3]
+    few = D.Options(**{**options.__dict__, "least_split": 31})
+    found = shown(D._once(rows, "doc_id", "text", rows.select("doc_id", F.lit(0).alias("expert_id")).where("doc_id % 4 < 2 OR doc_id < 4"), 1, few, 330.0), rows.where("doc_id % 4 < 2").select("doc_id", F.lit(0).alias("expert_id")), "doc_id")
+    assert D.split_labels(rows, "doc_id", "text", found, few, 330.0) is None and D.split_labels(rows, "doc_id", "text", found, options, 330.0) is not None
+
+
 def test_infilling(spark):
     rows = frame(spark, [(1, [5, 6, 7, 0, 8, 9]), (2, []), (3, None), (4, [0, 0])], "id int, ids array<int>")
     same = {r.id: r.input_ids for r in I.infilled(rows, "id", "ids", 0, -1, -2, -3, -4, rate=0.0).collect()}
