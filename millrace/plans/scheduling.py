@@ -53,6 +53,23 @@ def blended_documents(spark: SparkSession, folder: str) -> DataFrame:
     return blend_index(spark, folder).join(placed, ["dataset", "sample"]).select("i", "dataset", "sample", "doc_id")
 
 
+@query()
+def blended_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """As many samples as there are documents, of all sources by the weights of mixture_targets, with their documents.
+
+    blended_documents keeps the four small datasets of its SQL. Sources without a target or without documents have no sample.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
+    rows = sizes.join(table(spark, folder, "mixture_targets").where("target_weight > 0"), "source").orderBy("source").select("source", "n", "target_weight").collect()  # one row a source
+    if not rows:
+        return spark.createDataFrame([], "i bigint, dataset int, source string, sample bigint, doc_id bigint")
+    index = B.blend_index(spark, [r.target_weight for r in rows], docs.count(), [r.n for r in rows])
+    names = spark.createDataFrame([(d, r.source) for d, r in enumerate(rows)], "dataset int, source string")
+    placed = ranked(docs, "source", ["doc_id"]).select("doc_id", "source", (F.col("position") - 1).alias("sample"))
+    return index.join(F.broadcast(names), "dataset").join(placed, ["source", "sample"]).select("i", "dataset", "source", "sample", "doc_id")
+
+
 @query("""SELECT source, n, CAST(round_even(n * 0.949, 0) AS BIGINT) - over AS train_end, CAST(round_even(n * 0.949, 0) + round_even(n * 0.05, 0) AS BIGINT) - over AS valid_end, CAST(n AS BIGINT) AS test_end FROM
     (SELECT source, n, CAST(round_even(n * 0.949, 0) + round_even(n * 0.05, 0) + round_even(n * 0.001, 0) AS BIGINT) - n AS over FROM (SELECT source, count(*) AS n FROM documents GROUP BY source))""")
 def split_boundaries(spark: SparkSession, folder: str) -> DataFrame:

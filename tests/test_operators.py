@@ -304,6 +304,23 @@ def test_discovery_refits_after_a_split_a_merge_and_at_the_end(spark, monkeypatc
     assert D.split_labels(rows, "doc_id", "text", found, few, 330.0) is None and D.split_labels(rows, "doc_id", "text", found, options, 330.0) is not None
 
 
+def test_the_blend_reaches_all_sources_and_documents(spark, small):
+    from millrace.plans import scheduling
+
+    by_source = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("source", "doc_id").collect():
+        by_source.setdefault(r.source, []).append(r.doc_id)
+    targets = {r.source: r.target_weight for r in spark.read.parquet(f"{small}/mixture_targets.parquet").collect()}
+    names = sorted(by_source)
+    total, taken, want = sum(targets[s] for s in names), dict.fromkeys(names, 0), []
+    for i in range(sum(map(len, by_source.values()))):
+        best = min(names, key=lambda s: (-(targets[s] / total * max(i, 1) - taken[s]), s))
+        want.append((i, best, sorted(by_source[best])[taken[best] % len(by_source[best])]))
+        taken[best] += 1
+    got = sorted((r.i, r.source, r.doc_id) for r in scheduling.blended_corpus(spark, small).collect())
+    assert got == want and len({s for _, s, _ in got}) > 4
+
+
 def test_infilling(spark):
     rows = frame(spark, [(1, [5, 6, 7, 0, 8, 9]), (2, []), (3, None), (4, [0, 0])], "id int, ids array<int>")
     same = {r.id: r.input_ids for r in I.infilled(rows, "id", "ids", 0, -1, -2, -3, -4, rate=0.0).collect()}
