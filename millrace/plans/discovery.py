@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.tokenizers import bpe_costs, bpe_ids, fit_bpe
+from millrace.functions.tokenizers import bpe_costs, bpe_ids
 from millrace.operators import discovery as D
 from millrace.operators import infill as I
 from millrace.operators.packing import packed_fragments, packed_sequences, token_offsets
@@ -15,8 +15,6 @@ from millrace.sources import readers
 from millrace.streaming import routing as streams
 
 QUERIES, SQL = {}, {}
-#: Documents the BPE queries fit a tokenizer on at most, by digest; counts and encodings cover all documents.
-FITTED = 2000
 
 
 def query(sql: str | None = None):
@@ -34,8 +32,9 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _bpe(spark: SparkSession, folder: str, vocabulary: int) -> str:
-    chosen = _texts(spark, folder).orderBy(F.sha2("text", 256), "doc_id").limit(FITTED).select("text").collect()
-    return fit_bpe([r.text for r in chosen], vocabulary)
+    """A tokenizer fitted on all texts, which stream through one task."""
+    rows = _texts(spark, folder).withColumn("weights", F.array(F.lit(1.0)))
+    return D.fit_experts(rows, "doc_id", "text", 1, D.Options(vocabulary=vocabulary, oversample=1.0))[0]
 
 
 @query()

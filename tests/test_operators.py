@@ -321,6 +321,14 @@ def test_the_blend_reaches_all_sources_and_documents(spark, small):
     assert got == want and len({s for _, s, _ in got}) > 4
 
 
+def test_bpe_queries_fit_on_all_texts(spark, monkeypatch):
+    from millrace.plans import discovery as plans
+
+    texts = ["".join(chr(97 + (i // 2 * 7919 // 13**k) % 13) for k in range(4)) + f" {i}" for i in range(2400)]
+    monkeypatch.setattr(plans, "_texts", lambda spark, folder: frame(spark, list(enumerate(texts)), "doc_id bigint, text string"))
+    assert plans._bpe(spark, "", 4000) == fit_bpe(texts, 4000)
+
+
 def test_infilling(spark):
     rows = frame(spark, [(1, [5, 6, 7, 0, 8, 9]), (2, []), (3, None), (4, [0, 0])], "id int, ids array<int>")
     same = {r.id: r.input_ids for r in I.infilled(rows, "id", "ids", 0, -1, -2, -3, -4, rate=0.0).collect()}
