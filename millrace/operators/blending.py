@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -64,17 +66,13 @@ def bins_by_weight(weights: list[float], bins: int) -> list[int]:
 
 
 def split_boundaries(splits: str, size: int) -> list[int]:
-    """Boundaries of train, validation and test from 'a,b,c' or 'a/b/c': shares of size rounded half to even, an overshoot taken off all but the first."""
-    parts = [float(x) for x in (splits.split(",") if "," in splits else splits.split("/") if "/" in splits else [splits])]
-    parts = (parts + [0.0] * 3)[:3]
-    total = sum(parts)
-    if total <= 0:
-        raise ValueError("splits must have a positive sum")
-    at = [0]
-    for p in parts:
-        at.append(at[-1] + round(p / total * size))
-    over = at[-1] - size
-    return [at[0]] + [x - over for x in at[1:]]
+    """0 and the ends of train, validation and test, from three shares 'a,b,c' or 'a/b/c' of size rounded half to even; what the
+    roundings overshoot or leave is taken from or given to every end."""
+    shares = np.array(re.split("[,/]", splits), dtype=float)
+    if len(shares) != 3 or shares.sum() <= 0 or (shares < 0).any():
+        raise ValueError("splits must be three shares with a positive sum")
+    ends = np.rint(shares / shares.sum() * size).astype(int).cumsum()
+    return [0, *(ends + size - ends[-1]).tolist()]
 
 
 def split_columns(size: Column, parts: tuple[float, float, float]) -> list[Column]:

@@ -149,10 +149,23 @@ def format_percent(x: Column) -> Column:
     return F.format_string("%+.2f%%", x * 100)
 
 
+def _times(a: Column, b: Column) -> Column:
+    """a * b mod 2^32 of whole numbers below 2^32, by halves, so that nothing leaves a bigint."""
+    high = F.shiftleft(F.pmod(F.shiftright(a, 16) * b, F.lit(65536)), 16)
+    return F.pmod(high + F.pmod(a, F.lit(65536)) * b, F.lit(2**32))
+
+
 def worker_seed(worker: Column, rank: Column) -> Column:
-    """2^(1 + worker) * 3^(1 + rank) mod 2^32, in exact decimals; ranks up to 17 and workers up to 30 fit."""
-    two, three = F.pow(F.lit(2.0), 1 + worker).cast("decimal(20,0)"), F.pow(F.lit(3.0), 1 + rank).cast("decimal(18,0)")
-    return (two * three % F.lit(4294967296).cast("decimal(20,0)")).cast("bigint")
+    """2^(1 + worker) * 3^(1 + rank) mod 2^32, of any worker and rank from 0 on; null for null.
+
+    The power of 3 is the product of 3^(2^k) over the bits k of its exponent.
+    """
+    powers = F.array(*[F.lit(2 ** (1 + k) % 2**32).cast("bigint") for k in range(32)])
+    two = F.when(worker.isNotNull(), F.coalesce(F.get(powers, worker.cast("int")), F.lit(0)))  # 2^32 and beyond leave nothing
+    squares = F.array(*[F.lit(pow(3, 2**k, 2**32)).cast("bigint") for k in range(32)])
+    bits = F.transform(squares, lambda p, k: F.when(F.pmod(F.floor((1 + rank) / F.pow(F.lit(2.0), k)), F.lit(2)) == 1, p).otherwise(F.lit(1).cast("bigint")))
+    three = F.when(rank.isNotNull(), F.aggregate(bits, F.lit(1).cast("bigint"), _times))
+    return _times(two, three)
 
 
 def padded_vocabulary(size: Column, parallel: int, multiple: int, rule: str = "lcm") -> Column:

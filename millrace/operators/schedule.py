@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +27,33 @@ class DeficitSchedule:
     deficits: list[float] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        if sum(w > 0 for w in self.weights) < 2 or any(w < 0 for w in self.weights):
-            raise ValueError("at least two weights must be positive and none negative")
-        raw = [w / b for w, b in zip(self.weights, self.bytes_per_token)] if self.bytes_per_token else list(self.weights)
-        self.share = [w / sum(raw) for w in raw]
+        raw = np.array(self.weights, dtype=float)
+        if len(raw) < 2 or (raw <= 0).any():
+            raise ValueError("there must be two weights or more, all positive")
+        if self.bytes_per_token:
+            size = np.array(self.bytes_per_token, dtype=float)
+            if size.shape != raw.shape or (size <= 0).any():
+                raise ValueError("each weight in bytes needs a positive number of bytes per token")
+            raw = raw / size
+        self.share = raw / sum(raw.tolist())
         self.deficits = self.deficits or [0.0] * len(raw)
 
+    def take(self, steps: int) -> np.ndarray:
+        """The choices of the next `steps` steps."""
+        owed, out = np.array(self.deficits, dtype=float), np.empty(steps, dtype=np.int32)
+        for k in range(steps):
+            owed += self.share
+            first = np.flatnonzero(owed > owed.max() - 1e-12)
+            if len(first) > 1:
+                ties = [hashlib.sha256(f"{self.seed}:{self.step + k}:{i}".encode()).hexdigest() for i in first]
+                first = first[[ties.index(min(ties))]]
+            out[k] = first[0]
+            owed[first[0]] -= 1.0
+        self.step, self.deficits = self.step + steps, owed.tolist()
+        return out
+
     def next(self) -> int:
-        self.deficits = [d + w for d, w in zip(self.deficits, self.share)]
-        top = max(self.deficits)
-        tied = [i for i, d in enumerate(self.deficits) if d >= top - 1e-12 and self.share[i] > 0]
-        best = min(tied, key=lambda i: hashlib.sha256(f"{self.seed}:{self.step}:{i}".encode()).digest())
-        self.deficits[best] -= 1.0
-        self.step += 1
-        return best
+        return int(self.take(1)[0])
 
     def state(self) -> dict:
         return {"weights": self.weights, "seed": self.seed, "bytes_per_token": self.bytes_per_token, "step": self.step, "deficits": list(self.deficits)}
@@ -57,7 +71,7 @@ def deficit_schedule(spark: SparkSession, steps: int, schedule: DeficitSchedule)
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = DeficitSchedule(state["weights"], state["seed"], state["bytes_per_token"], state["step"], list(state["deficits"]))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.next() for _ in range(batch.num_rows)], type=pa.int32())], names=["step", "tokenizer_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.take(batch.num_rows))], names=["step", "tokenizer_id"])
 
     return spark.range(schedule.step, schedule.step + steps, 1, 1).withColumnRenamed("id", "step").mapInArrow(fold, "step bigint, tokenizer_id int")
 

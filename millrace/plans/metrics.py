@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.tokenizers import fingerprints
 from millrace.operators import metrics as M
 from millrace.operators.hotkeys import once
 from millrace.session import table
@@ -135,12 +136,28 @@ def parameter_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "registry").select("id", n.cast("bigint").alias("parameters"))
 
 
-@query("SELECT CAST(w AS INTEGER) AS worker, CAST(r AS INTEGER) AS rank, CAST((CAST(1 AS HUGEINT) << (1 + w)) * CAST(pow(3, 1 + r) AS HUGEINT) % 4294967296 AS BIGINT) AS seed FROM (SELECT unnest(range(0, 8)) AS w), (SELECT unnest(range(0, 8)) AS r)")
+@query("""WITH w AS (SELECT DISTINCT CAST(id AS BIGINT) AS worker FROM registry), r AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS rank FROM part),
+    t AS (SELECT rank, list_reduce([CAST(1 AS BIGINT)] || list_transform(range(0, 1 + rank), lambda i: CAST(3 AS BIGINT)), lambda a, b: a * b % 4294967296) AS three FROM r)
+    SELECT worker, rank, CAST((CAST(1 AS HUGEINT) << CAST(1 + worker AS INTEGER)) % 4294967296 * three % 4294967296 AS BIGINT) AS seed FROM w, t""")
 def worker_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    grid = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("worker"), (F.col("id") % 8).cast("int").alias("rank"))
+    """Seeds of a worker for each tokenizer on a rank for each size of part (1 to 50), every pair."""
+    workers = table(spark, folder, "registry").select(F.col("id").cast("bigint").alias("worker")).distinct()
+    ranks = table(spark, folder, "part").agg(F.collect_set(F.col("p_size").cast("bigint")).alias("ranks"))  # one row of at most 50 sizes
+    grid = workers.join(F.broadcast(ranks), F.lit(True)).select("worker", F.explode("ranks").alias("rank"))
     return grid.withColumn("seed", M.worker_seed(F.col("worker"), F.col("rank")))
 
 
+_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query(f"""SELECT tokenizer_name_or_path AS path, name AS revision, 'sha256:' || sha256(name || tokenizer_name_or_path) AS fingerprint FROM registry WHERE tokenizer_name_or_path IS NOT NULL
+    UNION ALL SELECT filename, NULL, 'sha256:' || sha256('byte_bpe_50k.json'::BLOB || content) FROM read_blob('{_TOKENIZER}')""")
+def tokenizer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of the registry's tokenizers (no artefacts there, so of their paths) and of a vocabulary file, name standing for the revision."""
+    named = table(spark, folder, "registry").select(F.col("tokenizer_name_or_path").alias("path"), F.col("name").alias("revision"))
+    return fingerprints(spark, named.unionByName(spark.createDataFrame([(_TOKENIZER, None)], "path string, revision string"))).drop("artefacts")
+
+
 @query("SELECT p AS prefix, coalesce((SELECT avg(p_retailprice) FROM part WHERE contains(replace(p_type, ' ', ':'), p || ':')), 0) AS average FROM (SELECT unnest(['PROMO', 'ECONOMY', 'NONE']) AS p)")
 def benchmark_averages(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "part").select(F.replace("p_type", F.lit(" "), F.lit(":")).alias("name"), "p_retailprice")

@@ -56,7 +56,7 @@ def scheduled_stream(steps: DataFrame, weights: list[float], seed: int) -> DataF
         for batch in batches:
             n = int(batch["requests"].fillna(0).sum())
             first = own.step
-            chosen = [own.next() for _ in range(n)]
+            chosen = own.take(n)
             if n:
                 yield pd.DataFrame({"run_name": key[0], "step": range(first, first + n), "tokenizer_id": chosen})
         state.update((own.step, *own.deficits))

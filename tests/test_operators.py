@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions.text import budget_tokens, clean_lang, strip
-from millrace.functions.tokenizers import bpe_costs, bpe_ids, fingerprint, fit_bpe, load
+from millrace.functions.tokenizers import bpe_costs, bpe_ids, fingerprint, fingerprints, fit_bpe, load
 from millrace.operators import blending as B
 from millrace.operators import curation as C
 from millrace.operators import discovery as D
@@ -200,6 +200,14 @@ def test_domain_batches_are_exact(weights, batch):
 def test_split_boundaries_end_at_the_size(parts, size):
     out = B.split_boundaries(",".join(map(str, parts)), size)
     assert out[0] == 0 and out[-1] == size
+    assert B.split_boundaries("/".join(map(str, parts)), size) == out
+
+
+def test_splits_are_three_shares():
+    assert B.split_boundaries("969,30,1", 1000) == [0, 969, 999, 1000] and B.split_boundaries("1,1,1", 10) == [0, 4, 7, 10]
+    for bad in ("1", "1,2", "1,2,3,4", "0,0,0", "2,-1,0"):
+        with pytest.raises(ValueError):
+            B.split_boundaries(bad, 10)
 
 
 def test_bootstrap_is_deterministic(spark):
@@ -230,6 +238,15 @@ def test_tokenizers(spark, tmp_path):
     costs = {r.id: r.costs for r in bpe_costs(rows, "id", "text", [json_text, fit_bpe([], 300)]).collect()}
     assert costs[1][0] <= costs[1][1] == 7 and costs[3] is None
     (tmp_path / "tokenizer.json").write_text(json_text)
+    assert fingerprint(str(tmp_path), "r") == "sha256:" + hashlib.sha256(b"rtokenizer.json" + json_text.encode()).hexdigest()
+    for name in ("merges.txt", "tokenizer_config.json", "special_tokens_map.json"):
+        (tmp_path / name).write_bytes(name.encode() * 2)
+    by_hand = "".join(["tokenizer.json", json_text, "special_tokens_map.json" * 3, "tokenizer_config.json" * 3, "merges.txt" * 3])
+    assert fingerprint(str(tmp_path)) == "sha256:" + hashlib.sha256(by_hand.encode()).hexdigest()
+    folders = frame(spark, [(str(tmp_path), None), (str(tmp_path), "r1"), ("/nowhere", "r"), (None, None), (f"{tmp_path}/merges.txt", None)], "path string, revision string")
+    many = {(r.path, r.revision): r.fingerprint for r in fingerprints(spark, folders).collect()}
+    assert many == {k: fingerprint(*k) for k in many} and len(many) == 4
+    assert fingerprint("/nowhere", None, False) == fingerprints(spark, folders.where("path = '/nowhere'").withColumn("revision", F.lit(None).cast("string")), False).first().fingerprint == "sha256:" + hashlib.sha256(b"").hexdigest()
     assert fingerprint(str(tmp_path)) != fingerprint(str(tmp_path), "r1") and fingerprint(str(tmp_path)).startswith("sha256:")
 
 
