@@ -60,6 +60,22 @@ def heavy_keys(totals: DataFrame, key: str, count: str = "n", percent: int = 4)
     return per_key.crossJoin(F.broadcast(total)).where(F.col("n") * 100 > F.col("total") * percent)  # total is one row
 
 
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", deal: list[str] | None = None, part: int = 2048) -> DataFrame:
+    """rows JOIN other USING (on), where no key's rows meet in one task; counts has (on, n), the number of rows of each key.
+
+    A key with more than 1 / part of all rows is spread over as many tasks as it has such parts: its rows are dealt out by a hash of the
+    columns `deal` (default all), and its row or rows of other are repeated once a task, in all fewer than `part` times. What is broadcast is key and
+    number of tasks of such keys, fewer than `part` rows. counts only decides the spreading, so it may be off. Null keys meet nothing, how is
+    'inner' or 'left'; columns other than the key must have different names; empty tables give what the join gives.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = counts.where(F.col("n") * part > total).select(*on, F.ceil(F.col("n") * part / max(total, 1)).cast("int").alias("_tasks"))
+    tasks = F.coalesce("_tasks", F.lit(1))
+    dealt = rows.join(F.broadcast(heavy), on, "left").withColumn("_task", F.pmod(F.xxhash64(*(deal or rows.columns)), tasks).cast("int")).drop("_tasks")
+    repeated = other.join(F.broadcast(heavy), on, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
+    return dealt.join(repeated, [*on, "_task"], how).drop("_task")
+
+
 def ranked(df: DataFrame, key: str, order: list[str], rank: str = "position", ranges: int | None = None) -> DataFrame:
     """df with each row's position (from 1) in its key's ordering and its key's number of rows (key_rows).
 

@@ -48,12 +48,12 @@ def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_positions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _routes(spark, folder, "routed_at").where("tokenizer_id IS NOT NULL")
+    rows = stored(_routes(spark, folder, "routed_at").where("tokenizer_id IS NOT NULL"), "routes")  # the ranges are sampled from it
     return ranked(rows, "tokenizer_id", ["routed_at", "route_id"]).select("route_id", "tokenizer_id", F.col("position").cast("bigint").alias("position"), "key_rows")
 
 
 def p2_endpoint_positions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _scores(spark, folder, "scored_at").where("endpoint_id IS NOT NULL")
+    rows = stored(_scores(spark, folder, "scored_at").where("endpoint_id IS NOT NULL"), "scores")  # the ranges are sampled from it
     return ranked(rows, "endpoint_id", ["scored_at", "run_name", "doc_id"]).select("run_name", "doc_id", "endpoint_id", F.col("position").cast("bigint").alias("position"), "key_rows")
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators.hotkeys import eager_join_totals, heavy_keys, once, ranked
+from millrace.operators.hotkeys import eager_join_totals, heavy_keys, once, ranked, spread_join
 from millrace.operators.prefix import range_bucket, running_before
 
 
@@ -53,3 +53,17 @@ def test_running_sums(spark):
         assert got[i] == sums.get(g, 0)
         sums[g] = sums.get(g, 0) + (v or 0)
     assert running_before(df.limit(0), ["g"], range_bucket("id"), ["id"], "v").count() == 0
+
+
+def test_spread_join_deals_a_hot_key_over_tasks(spark):
+    rows = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 7, id) AS k").unionByName(spark.sql("SELECT -1L AS id, CAST(NULL AS BIGINT) AS k"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    other = rows.where("k IS NOT NULL AND k <> 5").select("k").distinct().withColumn("v", F.col("k") * 2)
+    got = spread_join(rows, other, ["k"], counts, part=64)
+    assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, rows.join(other, "k").select("id", "k", "v").collect()))
+    assert spread_join(rows, other, ["k"], counts, "left", ["id"], 64).count() == 3001
+    none = counts.limit(0)
+    assert spread_join(rows.limit(0), other, ["k"], none).count() == 0 and spread_join(rows, other.limit(0), ["k"], counts).count() == 0
+    assert spread_join(rows, other, ["k"], none).count() == rows.join(other, "k").count()
+    placed = got.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(placed) > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
