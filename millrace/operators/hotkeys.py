@@ -68,8 +68,8 @@ def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFr
     number of tasks of such keys, fewer than `part` rows. counts only decides the spreading, so it may be off. Null keys meet nothing, how is
     'inner' or 'left'; columns other than the key must have different names; empty tables give what the join gives.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = counts.where(F.col("n") * part > total).select(*on, F.ceil(F.col("n") * part / max(total, 1)).cast("int").alias("_tasks"))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    heavy = counts.join(F.broadcast(total), F.col("n") * part > F.col("_total")).select(*on, F.ceil(F.col("n") * part / F.col("_total")).cast("int").alias("_tasks"))
     tasks = F.coalesce("_tasks", F.lit(1))
     dealt = rows.join(F.broadcast(heavy), on, "left").withColumn("_task", F.pmod(F.xxhash64(*(deal or rows.columns)), tasks).cast("int")).drop("_tasks")
     repeated = other.join(F.broadcast(heavy), on, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
