@@ -151,9 +151,9 @@ def test_hot_buckets_lose_no_pair(spark):
 def test_star_links_connect_like_all_links(spark):
     rng = random.Random(3)
     grams = {i: sorted(set(rng.sample(range(40), 25)) | {100 * (i % 2) + k for k in range(60, 90)}) for i in range(40)}
-    g = spark.createDataFrame([(i, v) for i, v in grams.items()], "cls bigint, grams array<bigint>")
+    texts = spark.createDataFrame([(i, " ".join(f"w{k}" for k in v)) for i, v in grams.items()], "cls bigint, text string")
     rows = spark.createDataFrame([(b, i) for i in grams for b in (1, 2 + i % 3)], "bucket bigint, cls bigint")
-    links = [(r.a, r.b) for r in star_links(rows, g, 3, 5).collect()]
+    links = [(r.a, r.b) for r in star_links(rows, texts, 1, 3, 5).collect()]
     good = {(a, b) for a in grams for b in grams if a < b and near(set(grams[a]), set(grams[b]), 3, 5)}
     assert set(links) <= good
 
@@ -167,6 +167,25 @@ def test_star_links_connect_like_all_links(spark):
     assert parts(links) == parts(good)
 
 
+def test_edited_texts_with_a_passage_repeated_fifty_times_are_grouped(spark):
+    """A text and the same text with its first 20 words said 50 times more have nearly the same set of shingles."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(20):
+        words = [f"t{i}w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(words[:20] * 50 + words)]
+    assert all(near(sets(a, 5, 5), sets(b, 5, 5), 4, 5) for a, b in zip(texts[::2], texts[1::2]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.group_id for r in similar_groups(rows).collect()} == {i: i // 2 * 2 for i in range(40)}
+    assert similar_pairs(rows).count() == 20
+
+
+def test_components_of_a_star_and_a_long_path(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)]
+    got = {r.cls: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(1, 3000)} | {5001 + i: 5000 for i in range(40)}
+
+
 def test_components_of_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i % 10 != 9] + [(50, 51), (51, 50)], "a bigint, b bigint")
     assert {r.cls: r.root for r in components(edges).collect()} == {i: i // 10 * 10 for i in range(30) if i % 10} | {51: 50}
