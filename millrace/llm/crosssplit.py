@@ -1,83 +1,103 @@
 """Texts of evaluation splits that also stand, exactly or almost, in the training split.
 
-The distinct evaluation texts are divided into shards of bounded size, each with a full-text index; the training texts are streamed
-through backward search, a partition at a time, without a shuffle. Every window of successive words of a training text
-gets its number of occurrences in the shard. A text of n distinct windows can lack at most n - ceil(n s) of them in a partner of
-similarity s, so it has none once more windows than that occur nowhere; else its rarest windows are located, and the evaluation
-texts that hold enough of them (every partner must) are compared window by window. Nothing is cut off: the choice of windows
-only decides where the counting starts. Matching windows that follow one another are merged into spans.
+The distinct evaluation texts are divided into shards of bounded size, each with a compressed full-text index and the places of its windows in a
+filter. The training texts are streamed once, without a shuffle: a text of n distinct windows of successive words can lack at most
+n - ceil(n s) of them in a partner of similarity s, so one with more windows than that outside the filter has no partner in any shard. The few
+texts left are stored and go through backward search in every shard.
+
+Windows that follow one another and occur equally often, always in each other's company, make a maximal match: one step of backward search
+more tells. A match is located once and counts with all its windows. The rarest matches are located, so many that every partner holds enough of
+them; their texts are compared window by window and the windows that follow one another merged into spans. A longest match alone would
+show a window's longest partner only, so matches are parted where the set of texts changes. Nothing is cut off.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import artefacts
 from millrace.llm.fmindex import WordIndex
-from millrace.llm.neardup import text_classes
 from millrace.llm.words import needed, shingles, word_hashes
-from millrace.session import spread, stored_path
+from millrace.operators.hotkeys import spread_join
+from millrace.session import spread, stored, stored_path
 
-_OCCURRENCES = 4_000_000  # located at once
-SHARD_BYTES = 96 << 20  # text in one index; an index takes about 3 bytes a byte of text in memory
+_OCCURRENCES = 1_000_000  # located at once
+SHARD_BYTES = 16 << 20  # text in one index; an index takes about 1.3 bytes a byte of text in memory
+TASK_WORDS = 16 << 20  # words of the indices that one task searches and holds
 
 
-def _load(path: str, shard: int) -> WordIndex:
-    """A shard's index, read from the shared folder once per worker; an older one is dropped first."""
-    kept = sys.__dict__.setdefault("_millrace_index", {})
-    if (path, shard) not in kept:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
+def text_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Exact copies put together: (cls, text), one row a distinct text, and (key, cls); cls is the smallest key.
 
-        kept.clear()
-        system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        data = ds.dataset(folder, filesystem=system, format="parquet")
-        batches = data.to_batches(filter=ds.field("shard") == shard, batch_size=1, batch_readahead=0, fragment_readahead=0)
-        kept[path, shard] = WordIndex.of_pieces((r["array"], r["kind"], r["length"], r["at"], r["raw"]) for b in batches for r in b.to_pylist())
-    return kept[path, shard]
+    A record written several times counts once; null keys and null texts are left out. The text is shuffled
+    once, after combining copies on the map side, so a text that fills a third of the rows does no harm.
+    """
+    rows = df.select(df[key].cast("bigint").alias("key"), df[text].cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL").withColumn("h", F.unhex(F.md5("text")))
+    # the members come from a pass of their own over keys and hashes, so the texts are stored nowhere
+    classes = rows.groupBy("h").agg(F.min("key").alias("cls"), F.count("*").alias("n"))
+    members = spread_join(rows.select("key", "h").distinct(), classes.select("h", "cls"), ["h"], classes.select("h", "n")).select("key", "cls")
+    return rows.groupBy("h").agg(F.min("key").alias("cls"), F.first("text").alias("text")).select("cls", "text"), stored(members, "members")
 
 
-def build_indexes(texts: DataFrame, shards: int, path: str) -> None:
-    """Write the index of each shard of (cls, text) as rows (shard, array, kind, length, at, raw) below path.
+def build_indexes(texts: DataFrame, width: int, least_words: int, shard_bytes: int, path: str) -> None:
+    """Write the indices of (cls, text) and the places of their windows below path, as pieces.
 
-    A task reads its shards one after the other and keeps words, not texts, while it reads.
+    Texts stay in the partition they are in; a task begins a new shard after every shard_bytes of text, and keeps words, not texts, while it reads.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, labels, hashes, sizes = None, [], [], []
+        task, number, labels, hashes, sizes, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            index = WordIndex.build(hashes, np.concatenate(sizes), np.concatenate(labels))
-            for piece in index.pieces():
-                row = dict(zip(("array", "kind", "length", "at", "raw"), piece), shard=now)
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-        for batch in batches:
-            shard = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(shard)) + 1
-            for a, b in zip([0, *edges], [*edges, len(shard)]):
-                if b > a:
-                    if now is not None and shard[a] != now:
-                        yield from done()
-                        labels, hashes, sizes = [], [], []
-                    now = int(shard[a])
-                    h, n = word_hashes(batch.column(2).slice(a, b - a).to_pylist())
-                    hashes.append(h)
-                    sizes.append(n)
-                    labels.append(batch.column(1).slice(a, b - a).to_numpy())
-        if now is not None:
+            n = np.concatenate(sizes)
+            flat = np.concatenate(hashes)
+            text, _, value = shingles(flat, n, width)
+            places = artefacts.filter_places(value[(n >= least_words)[text]])
+            del flat, text, value
+            index = WordIndex.build(hashes, n, np.concatenate(labels))
+            yield from artefacts.pieces(f"{task}-{number}", {"places": places, "size": np.array([n.sum()])} | index.parts)
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                h, n = word_hashes(batch.column(1).to_pylist())
+                hashes.append(h)
+                sizes.append(n)
+                labels.append(batch.column(0).to_numpy())
+                held += batch.column(1).nbytes
+                if held >= shard_bytes:
+                    yield from done()
+                    number, labels, hashes, sizes, held = number + 1, [], [], [], 0
+        if sizes:
             yield from done()
 
-    schema = pa.schema([("shard", pa.int32()), ("array", pa.string()), ("kind", pa.string()), ("length", pa.int64()), ("at", pa.int64()), ("raw", pa.binary())])
-    sharded = texts.select(F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"), "cls", "text")
-    placed = sharded.repartition(shards, "shard").sortWithinPartitions("shard")
-    placed.mapInArrow(build, "shard int, array string, kind string, length bigint, at bigint, raw binary").write.option("compression", "zstd").parquet(path)
+    texts.select("cls", "text").mapInArrow(build, artefacts.PIECE).write.option("compression", "zstd").parquet(path)
+
+
+def _distinct_windows(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether each window, in order of texts and places, is the first of its value in its text."""
+    order = np.lexsort((value, text))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (value[order][1:] != value[order][:-1])
+    first = np.zeros(len(order), dtype=bool)
+    first[order[new]] = True
+    return first
+
+
+def possible(filter_: np.ndarray, bits: int, hashes: np.ndarray, sizes: np.ndarray, width: int, num: int, den: int, least_words: int) -> np.ndarray:
+    """Whether each text holds enough windows that some evaluation text may hold."""
+    text, _, value = shingles(hashes, sizes, width)
+    first = _distinct_windows(text, value)
+    n = np.bincount(text[first], minlength=len(sizes))
+    met = np.bincount(text[first], weights=artefacts.passes(filter_, bits, value[first]), minlength=len(sizes))
+    return (sizes >= least_words) & (n > 0) & (met >= needed(n, num, den))
 
 
 def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, width: int, num: int, den: int, least_words: int) -> dict[str, np.ndarray]:
@@ -89,72 +109,82 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
     if not len(text) or not len(index.vocabulary):
         return none
     ids = index.ids(hashes)
-    # distinct windows of each text; a window stands for all its repeats
-    order = np.lexsort((value, text))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (text[order][1:] != text[order][:-1]) | (value[order][1:] != value[order][:-1])
-    at = order[new]
-    text_d, start_d, value_d = text[at], start[at], value[at]
-    n = np.bincount(text_d, minlength=len(sizes))
+    first = _distinct_windows(text, value)
+    n = np.bincount(text[first], minlength=len(sizes))
     slack = n - needed(n, num, den)  # windows that a partner may lack
     # occurrences of every distinct window of the batch, by backward search
-    uniq, first, inverse = np.unique(value_d, return_index=True, return_inverse=True)
-    words = np.stack([ids[start_d[first] + k] for k in range(width)], axis=1)
+    uniq, at, inverse = np.unique(value, return_index=True, return_inverse=True)
+    words = np.stack([ids[start[at] + k] for k in range(width)], axis=1)
     known = np.flatnonzero((words > 0).all(axis=1))
-    by = known[np.lexsort((words[known, 0], words[known, -1], words[known, -2]))]
     low, high = np.zeros(len(uniq), dtype=np.int64), np.zeros(len(uniq), dtype=np.int64)
-    if len(by):
-        low[by], high[by] = index.windows(words[by])
+    if len(known):
+        low[known], high[known] = index.windows(words[known])
     times = (high - low)[inverse]
-    absent = np.bincount(text_d[times == 0], minlength=len(sizes))
-    alive = (absent <= slack)[text_d]
-    # the rarest windows of the texts left: slack + 1 of them meet every partner once, each further one once more
-    order = np.flatnonzero(alive)
-    order = order[np.lexsort((times[order], text_d[order]))]
-    if not len(order):
+    absent = np.bincount(text[first & (times == 0)], minlength=len(sizes))
+    alive = (absent <= slack)[text] & (times > 0)
+    # maximal matches: a window goes on with the one before it if all occurrences of either are occurrences of both
+    joined = np.zeros(len(text), dtype=bool)
+    joined[1:] = alive[1:] & (text[1:] == text[:-1]) & (times[1:] == times[:-1])
+    ask = np.flatnonzero(joined)
+    if len(ask):
+        a, b = index.extend(ids[start[ask] - 1], low[inverse[ask]], high[inverse[ask]])
+        joined[ask] = b - a == times[ask]
+    match = np.cumsum(~joined) - 1
+    weight = np.bincount(match[alive & first], minlength=match[-1] + 1)
+    head = np.flatnonzero(~joined)  # a match's first window; any of its windows has the match's texts
+    head = head[(weight > 0) & alive[head]]
+    if not len(head):
         return none
-    group = text_d[order]
-    position = np.arange(len(order)) - np.searchsorted(group, group)
+    # the rarest matches of each text: slack + 1 windows of them meet every partner once, each further one once more
+    order = head[np.lexsort((times[head], text[head]))]
+    owner, load = text[order], weight[match[order]]
+    begins = np.searchsorted(owner, owner)
+    before = np.cumsum(load) - load
+    before = before - before[begins] + absent[owner]  # windows that occur nowhere are the rarest
     take = np.minimum(n, slack + 1 + n // 6)
-    order = order[position < take[group]]
-    order = order[times[order] > 0]
+    chosen = before < take[owner]
+    order, owner, load = order[chosen], owner[chosen], load[chosen]
+    sought = absent + np.bincount(owner, weights=load, minlength=len(sizes)).astype(np.int64)
     span = times[order]
     mine, theirs = [], []
     # a few texts at a time: their occurrences bound the memory, however many there are in all
-    ends = np.flatnonzero(np.diff(text_d[order], append=-1)) + 1
+    ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
     filled, begin = np.cumsum(span), 0
     while begin < len(order):
         last = np.searchsorted(filled[ends - 1], (filled[begin - 1] if begin else 0) + _OCCURRENCES, "right")
         end = int(ends[max(last - 1, np.searchsorted(ends, begin, "right"))])
         part, n_part = order[begin:end], span[begin:end]
-        located = np.repeat(low[inverse[part]] - np.concatenate([[0], np.cumsum(n_part)[:-1]]), n_part) + np.arange(n_part.sum())
-        pair, hits = np.unique(np.repeat(text_d[part], n_part) * len(index.labels) + index.of_suffix[located], return_counts=True)
-        m, t = pair // len(index.labels), pair % len(index.labels)
-        keep = hits >= (take - slack)[m]
+        rows = np.repeat(low[inverse[part]] - np.concatenate([[0], np.cumsum(n_part)[:-1]]), n_part) + np.arange(n_part.sum())
+        wide = len(index.labels)
+        places, back = np.unique(rows, return_inverse=True)
+        hit = np.unique(np.repeat(np.arange(len(part)), n_part) * wide + index.texts_at(places)[back])  # a text once a match
+        pair, which = np.unique(owner[begin:end][hit // wide] * wide + hit % wide, return_inverse=True)
+        hits = np.bincount(which, weights=load[begin:end][hit // wide], minlength=len(pair))
+        m, t = pair // wide, pair % wide
+        keep = hits >= (sought - slack)[m]
         mine.append(m[keep])
         theirs.append(t[keep])
         begin = end
-    mine, theirs = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (mine, theirs))
+    mine, theirs = (np.concatenate(x) for x in (mine, theirs))
     if not len(mine):
         return none
     out = {k: [] for k in none}
-    begin_d = np.concatenate([[0], np.cumsum(n)])
     begin_w = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)))])
     grams: dict[int, np.ndarray] = {}
     for m, t in zip(mine.tolist(), theirs.tolist()):
         own = grams.get(t)
         if own is None:
-            part = index.vocabulary[index.symbols[index.begin[t] : index.begin[t + 1] - 1] - 1]
+            part = index.words_of(t)
             own = grams[t] = np.unique(shingles(part, np.array([len(part)]), width)[2]) if len(part) >= least_words else np.zeros(0, dtype=np.uint64)
         if not len(own):
             continue
-        ours = value_d[begin_d[m] : begin_d[m + 1]]
+        run = value[begin_w[m] : begin_w[m + 1]]  # windows in the order of the text
+        ours = run[first[begin_w[m] : begin_w[m + 1]]]
         place = np.minimum(np.searchsorted(own, ours), len(own) - 1)
         shared = int((own[place] == ours).sum())
         total = len(own) + len(ours) - shared
         if shared * den < total * num:
             continue
-        run = value[begin_w[m] : begin_w[m + 1]]  # windows in the order of the text
         hit = own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
         lengths = edge[1::2] - edge[::2] + width - 1
@@ -173,7 +203,7 @@ def copied(found: dict[str, np.ndarray], which: np.ndarray, keys: np.ndarray) ->
     return {k: keys[by[place]] if k == "key" else v[row] for k, v in found.items()}
 
 
-def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc_id", train_key: str = "ord", text: str = "text", width: int = 3, num: int = 3, den: int = 5, least_words: int = 30, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc_id", train_key: str = "ord", text: str = "text", width: int = 3, num: int = 3, den: int = 5, least_words: int = 30, shard_bytes: int = SHARD_BYTES, task_words: int = TASK_WORDS) -> DataFrame:
     """(eval_key, train_key, shared, total, spans, longest): all cross-split pairs of similarity num/den or more.
 
     shared and total count distinct windows in both and in either; spans is the number of maximal runs of the training
@@ -183,24 +213,48 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
     """
     spark = evaluation.sparkSession
     texts, members = text_classes(evaluation, eval_key, text)
-    size = evaluation.agg(F.coalesce(F.sum(F.octet_length(evaluation[text])), F.lit(0))).first()[0]  # copies too, so a shard may hold less
-    shards = max(1, -(-int(size) // shard_bytes))
     path = stored_path(spark, "index")
-    build_indexes(texts, shards, path)
-    rows = training.select(training[train_key].cast("bigint").alias("k"), training[text].alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    build_indexes(texts, width, least_words, shard_bytes, path)
+    built = spark.read.schema(artefacts.PIECE).parquet(path)
+    heads = built.where("at = 0 AND array IN ('places', 'size')").groupBy("shard").agg(F.max(F.when(F.col("array") == "places", F.col("length"))).alias("places"), F.max(F.when(F.col("array") == "size", F.conv(F.hex(F.reverse(F.col("raw"))), 16, 10).cast("bigint"))).alias("words"))
+    shards = sorted(((r.shard, r.words, r.places) for r in heads.collect()), key=lambda x: (-x[1], x[0]))  # a row for shard_bytes of text
+    bits = artefacts.filter_bits(sum(p for *_, p in shards))
+    rows = training.select(training[train_key].cast("bigint").alias("k"), training[text].cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                column = batch.column(1).dictionary_encode()
+                met = artefacts.kept(path, "filter", lambda: artefacts.load_filter(path, bits))
+                good = possible(met, bits, *word_hashes(column.dictionary.to_pylist()), width, num, den, least_words)
+                yield batch.filter(pa.array(good[column.indices.to_numpy()]))
+
+    left = stored(spread(rows).mapInArrow(select, "k bigint, t string"), "possible")
 
-    def stream(shard: int) -> DataFrame:
+    def stream(own: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for i in range(0, whole.num_rows, 2000):
                     batch = whole.slice(i, 2000)
                     column = batch.column(1).dictionary_encode()  # copies are searched once
                     hashes, sizes = word_hashes(column.dictionary.to_pylist())
-                    out = match_texts(_load(path, shard), np.arange(len(sizes)), hashes, sizes, width, num, den, least_words)
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v, type=pa.int64()) for k, v in copied(out, column.indices.to_numpy(), batch.column(0).to_numpy()).items()})
+                    for shard in own:
+                        index = artefacts.kept(path, shard, lambda s=shard: WordIndex({n: v for _, n, v in artefacts.read(path, s)}), len(own))
+                        out = match_texts(index, np.arange(len(sizes)), hashes, sizes, width, num, den, least_words)
+                        yield pa.RecordBatch.from_pydict({k: pa.array(v, type=pa.int64()) for k, v in copied(out, column.indices.to_numpy(), batch.column(0).to_numpy()).items()})
 
-        return spread(rows).mapInArrow(run, "key bigint, cls bigint, shared bigint, total bigint, spans bigint, longest bigint")
+        return spread(left).mapInArrow(run, "key bigint, cls bigint, shared bigint, total bigint, spans bigint, longest bigint")
 
-    pairs = reduce(DataFrame.unionByName, map(stream, range(shards)))
-    pairs = pairs.dropDuplicates(["key", "cls"])
-    return pairs.join(members, "cls").select(eval_key, F.col("key").alias(train_key), "shared", "total", "spans", "longest")
+    groups: list[list[str]] = [[]]
+    filled = 0
+    for shard, words, _ in shards:
+        if groups[-1] and filled + words > task_words:
+            groups.append([])
+            filled = 0
+        groups[-1].append(shard)
+        filled += words
+    pairs = reduce(DataFrame.unionByName, map(stream, groups)).dropDuplicates(["key", "cls"])
+    pairs = stored(pairs.withColumnRenamed("key", "train"), "pairs")
+    found = spread_join(members, pairs, ["cls"], members.groupBy("cls").agg(F.count("*").alias("n")))
+    return found.select(F.col("key").alias(eval_key), F.col("train").alias(train_key), "shared", "total", "spans", "longest")

@@ -96,9 +96,9 @@ def test_cross_split_equals_brute_force(spark, monkeypatch):
     a, b = made(3, 40), made(4, 20) + made(3, 40)[:70] + made(3, 40)[:9] * 2
     s, t = [sets(x, 3, 30) for x in a], [sets(x, 3, 30) for x in b]
     want = sorted((i, j) for i in range(len(s)) for j in range(len(t)) if near(s[i], t[j], 3, 5))
-    for size, occurrences in ((1 << 20, 4_000_000), (4000, 50)):
+    for size, occurrences, words in ((1 << 20, 4_000_000, 1 << 20), (4000, 50, 2000)):
         monkeypatch.setattr(crosssplit, "_OCCURRENCES", occurrences)
-        rows = cross_split(frame(spark, a, "doc_id"), frame(spark, b, "ord"), shard_bytes=size).collect()
+        rows = cross_split(frame(spark, a, "doc_id"), frame(spark, b, "ord"), shard_bytes=size, task_words=words).collect()
         assert sorted((r.doc_id, r.ord) for r in rows) == want
         for r in rows:
             assert r.shared == len(s[r.doc_id] & t[r.ord]) and r.total == len(s[r.doc_id] | t[r.ord])
@@ -114,14 +114,15 @@ def test_suffixes_and_backward_search():
         assert suffix_order(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
     texts = [" ".join(rng.choice(WORDS[:6], 30)) for _ in range(20)] + [""]
     hashes, sizes = word_hashes(texts)
-    index = WordIndex.of_pieces(WordIndex.build([hashes[:7], hashes[7:]], sizes, np.arange(len(texts))).pieces(64))
+    index = WordIndex.build([hashes[:7], hashes[7:]], sizes, np.arange(len(texts)))
+    assert all(index.words_of(t).tolist() == word_hashes([x])[0].tolist() for t, x in enumerate(texts))
     ids = index.ids(hashes)
     for width in (1, 2, 3):
         words = np.stack([ids[k : len(ids) - width + 1 + k] for k in range(width)], axis=1)[:40]
         low, high = index.windows(words)
         for w, a, b in zip(words.tolist(), low, high):
             found = sorted((t, i) for t, text in enumerate(texts) for i in range(len(text.split()) - width + 1) if index.ids(word_hashes([text])[0])[i : i + width].tolist() == w)
-            assert b - a == len(found) and sorted(index.of_suffix[a:b].tolist()) == [t for t, _ in found]
+            assert b - a == len(found) and sorted(index.texts_at(np.arange(a, b)).tolist()) == [t for t, _ in found]
     assert index.ids(word_hashes(["nowhere"])[0]).tolist() == [-1]
 
 
