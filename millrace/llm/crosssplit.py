@@ -28,6 +28,7 @@ from millrace.llm.words import needed, shingles, word_hashes
 from millrace.operators.hotkeys import spread_join
 from millrace.session import spread, stored, stored_path
 
+EXTRA = 10  # a text has one window in so many located beyond those that every partner must share one of
 _OCCURRENCES = 1_000_000  # located at once
 SHARD_BYTES = 16 << 20  # text in one index; an index takes about 1.3 bytes a byte of text in memory
 TASK_WORDS = 16 << 20  # words of the indices that one task searches and holds
@@ -81,6 +82,19 @@ def build_indexes(texts: DataFrame, width: int, least_words: int, shard_bytes: i
     texts.select("cls", "text").mapInArrow(build, artefacts.PIECE).write.option("compression", "zstd").parquet(path)
 
 
+def _ascending(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=-1) != 0]
+
+
+def _summed(x: np.ndarray, amount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, none negative, with the sums of their amounts."""
+    by = np.argsort(x, kind="stable")
+    starts = np.flatnonzero(np.diff(x[by], prepend=-1))
+    return x[by][starts], np.add.reduceat(amount[by], starts) if len(starts) else amount[:0]
+
+
 def _distinct_windows(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Whether each window, in order of texts and places, is the first of its value in its text."""
     order = np.lexsort((value, text))
@@ -141,7 +155,7 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
     begins = np.searchsorted(owner, owner)
     before = np.cumsum(load) - load
     before = before - before[begins] + absent[owner]  # windows that occur nowhere are the rarest
-    take = np.minimum(n, slack + 1 + n // 6)
+    take = np.minimum(n, slack + 1 + n // EXTRA)
     chosen = before < take[owner]
     order, owner, load = order[chosen], owner[chosen], load[chosen]
     sought = absent + np.bincount(owner, weights=load, minlength=len(sizes)).astype(np.int64)
@@ -156,10 +170,8 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
         part, n_part = order[begin:end], span[begin:end]
         rows = np.repeat(low[inverse[part]] - np.concatenate([[0], np.cumsum(n_part)[:-1]]), n_part) + np.arange(n_part.sum())
         wide = len(index.labels)
-        places, back = np.unique(rows, return_inverse=True)
-        hit = np.unique(np.repeat(np.arange(len(part)), n_part) * wide + index.texts_at(places)[back])  # a text once a match
-        pair, which = np.unique(owner[begin:end][hit // wide] * wide + hit % wide, return_inverse=True)
-        hits = np.bincount(which, weights=load[begin:end][hit // wide], minlength=len(pair))
+        hit = _ascending(np.repeat(np.arange(len(part)), n_part) * wide + index.texts_at(rows))  # a text once a match
+        pair, hits = _summed(owner[begin:end][hit // wide] * wide + hit % wide, load[begin:end][hit // wide])
         m, t = pair // wide, pair % wide
         keep = hits >= (sought - slack)[m]
         mine.append(m[keep])

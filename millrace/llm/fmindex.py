@@ -12,7 +12,7 @@ from functools import cached_property
 
 import numpy as np
 
-STEP = 4  # words between the sampled positions of a text; its first word is always one
+STEP = 2  # words between the sampled positions of a text; its first word is always one
 _U = np.uint64
 
 
