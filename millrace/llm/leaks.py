@@ -4,178 +4,216 @@ Numbers, names and units become typed placeholders; windows of successive templa
 test items, and the slots of each met window are checked for consistency. A window whose slots agree word by word is a verbatim
 passage; one whose slots agree up to a one-to-one renaming is a re-parameterised question.
 
-The type of a word depends on the lower-cased word alone wherever an item holds it, so a verbatim passage always meets its
-window: numbers by their digits, units by a list, names if the items write the word with a capital inside a sentence and never
-without one. Other words of a document count as names if capitalised, else as words that no item holds.
+There are two templates, both made of the words of a window alone. The plain one looks at lower-cased words: a number begins with a digit, a unit
+is the word after a number inside the window; so a verbatim passage meets its window however it is written. The other also takes capitalised words
+for names, and finds passages with other names.
+
+Items are indexed by tasks in shards of bounded size, written to the shared folder with the places of their windows in a filter. Documents are read
+once, without a shuffle; those with a window that passes the filter are stored and searched in every shard. The driver holds no item.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import artefacts
 from millrace.llm.words import U, WORD, splitmix
-from millrace.session import spread
-
-# Words for units of measurement and of time.
-UNITS = "mm cm m km kg g mg l ml inch inches foot feet mile miles metre metres meter meters litre litres liter liters gram grams kilogram kilograms ton tons tonne tonnes second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees dollar dollars euro euros pound pounds crown crowns".split()
-ITEM_BYTES = 8 << 20  # item text that travels to every task at once; more items are searched in blocks of this size
-NUMBER, NAME, UNIT = 1, 2, 3  # template symbols; 0 is a word that no item holds; from 4 on, the items' words
-
-
-class Items:
-    """The template windows of a block of items, as sorted hashes with postings."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int) -> None:
-        self.width = width
-        low: set[str] = set()
-        inner: set[str] = set()
-        for _, text in items:
-            for m in re.finditer(r"[^\W_]+", text):
-                word = m.group()
-                if word[0].isupper():
-                    before = text[: m.start()].rstrip(" \t\"'(_")[-1:]
-                    if before and before not in ".!?:\n":
-                        inner.add(word.lower())
-                else:
-                    low.add(word.lower())
-        words = [(i, WORD.findall(text.lower())) for i, text in items]
-        self.symbol: dict[str, int] = {}
-        self.literal: dict[str, int] = {}
-        for _, ws in words:
-            for w in ws:
-                if w not in self.literal:
-                    self.literal[w] = len(self.literal) + 1
-                    self.symbol[w] = NUMBER if w[0].isdigit() else UNIT if w in UNITS else NAME if w in inner and w not in low else 3 + len(self.literal)
-        self.words = {i: np.array([self.literal[w] for w in ws], dtype=np.int64) for i, ws in words}
-        hashes, owners, places = [], [], []
-        for i, ws in words:
-            h = self.hashes(np.array([self.symbol[w] for w in ws], dtype=np.int64))
-            hashes.append(h)
-            owners += [i] * len(h)
-            places += range(len(h))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        by = np.argsort(h, kind="stable")
-        self.sorted, self.owner, self.place = h[by], np.array(owners, dtype=np.int64)[by], np.array(places, dtype=np.int64)[by]
-
-    def hashes(self, symbols: np.ndarray) -> np.ndarray:
-        """Hash of each window of a flat array of template symbols."""
-        n = len(symbols) - self.width + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        s, out = symbols.astype(np.uint64), np.zeros(n, dtype=np.uint64)
-        for k in range(self.width):
-            out = splitmix(out + s[k : k + n] * U(0x9E3779B97F4A7C15) + U(k + 1))
-        return out
+from millrace.session import spread, stored, stored_path
 
+ITEM_BYTES = 8 << 20  # item text in one shard
+_HITS = 100_000  # met windows compared at once
+# Symbols of the placeholders; words have 61-bit hashes above them.
+NUMBER, UNIT, NAME = 1, 2, 3
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
 
-class _Reader(dict):
-    """Word as written -> (literal << 32 | symbol); symbol 0 and literal 0 if no item holds it."""
 
-    def __init__(self, items: Items) -> None:
-        self.items = items
+class _Words(dict):
+    """Word as written -> hash of the lower-cased word << 3 | capitalised << 1 | begins with a digit."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        import xxhash
+
+        if len(self) > 1_000_000:
             self.clear()
-        lower = word.lower()
-        literal = self.items.literal.get(lower, 0)
-        symbol = self.items.symbol[lower] if literal else NUMBER if word[0].isdigit() else UNIT if lower in UNITS else NAME if word[0].isupper() else 0
-        value = self[word] = literal << 32 | symbol
+        value = self[word] = (xxhash.xxh3_64_intdigest(word.lower()) >> 3 | 4) << 3 & (1 << 64) - 1 | word[0].isupper() << 1 | word[0].isdigit()
         return value
 
 
-def one_to_one(a: list, b: list) -> bool:
-    """Whether a renaming of a's members gives b."""
-    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
-
-
-def search(items: Items, texts: list[str], reader: _Reader, reworded: bool) -> list[tuple[int, int, int, int]]:
-    """(text, item, verbatim windows, re-parameterised windows) of every text and item that share a window."""
-    width, parts, sizes = items.width, [], []
-    get = reader.__getitem__
+def read_words(texts: list[str], known: _Words) -> tuple[np.ndarray, np.ndarray]:
+    get, parts, sizes = known.__getitem__, [], []
     for text in texts:
         # a few characters change under lower-casing in a way that depends on the text around them
         found = WORD.findall(text.lower()) if "İ" in text or "Σ" in text else WORD.findall(text)
         sizes.append(len(found))
-        parts.append(np.fromiter(map(get, found), dtype=np.int64, count=len(found)))
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    if len(flat) < width or not len(items.sorted):
-        return []
-    symbol, literal = flat & 0xFFFFFFFF, flat >> 32
+        parts.append(np.fromiter(map(get, found), dtype=np.uint64, count=len(found)))
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)), np.array(sizes, dtype=np.int64)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64."""
+    if len(_POWERS.get(base, ())) < n:
+        each = np.full(max(n, 1024), base, dtype=np.uint64)
+        each[0] = 1
+        _POWERS[base] = np.cumprod(each)
+    return _POWERS[base][:n]
+
+
+def _rolled(symbols: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hash of each run of `width` symbols, modulo 2^64: one running sum, whatever the width."""
+    n = len(symbols) - width + 1
+    run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(symbols * _power(_BASE, len(symbols)))])
+    return (run[width:] - run[:n]) * _power(pow(_BASE, -1, 1 << 64), n)
+
+
+def windows(flat: np.ndarray, sizes: np.ndarray, width: int, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, slots) of every window inside one text; slots tells which words of all texts a window takes for placeholders, whose first word is never a unit."""
+    if len(flat) < width:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(len(flat), dtype=bool)
     text = np.repeat(np.arange(len(sizes)), sizes)
+    number, capital = (flat & U(1)).astype(bool), (flat >> U(1) & U(1)).astype(bool) & names
+    unit = np.concatenate([[False], number[:-1]]) & ~number
+    word = flat >> U(3)
+    opening = np.where(number, U(NUMBER), np.where(capital & ~number, U(NAME), word))
+    symbols = np.where(unit, U(UNIT), opening)
     n = len(flat) - width + 1
-    # a window with a word that no item holds in its place can't meet any
-    unknown = np.concatenate([[0], np.cumsum(symbol == 0)])
-    at = np.flatnonzero((unknown[width:] - unknown[:n] == 0) & (text[:n] == text[width - 1 :]))
-    if not len(at):
-        return []
-    h = items.hashes(symbol)[at]
-    left, right = np.searchsorted(items.sorted, h), np.searchsorted(items.sorted, h, "right")
-    count = right - left
-    at, left, count = at[count > 0], left[count > 0], count[count > 0]
-    if not len(at):
-        return []
-    posting = np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    at = np.repeat(at, count)
-    owner, place = items.owner[posting], items.place[posting]
+    # inside the window, a word is a unit by the number before it, which the window's first word doesn't see
+    hashes = splitmix(_rolled(symbols, width) + opening[:n] - symbols[:n])
+    start = np.flatnonzero(text[:n] == text[width - 1 :])
+    return start, hashes[start], number | unit | capital
+
+
+def consistent(ours: np.ndarray, theirs: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether each line of words is the other up to a one-to-one renaming of its slots, with a word at least that is no slot."""
+    same = ours == theirs
+    pattern = (ours[:, :, None] == ours[:, None, :]) == (theirs[:, :, None] == theirs[:, None, :])
+    return (same | slots).all(axis=1) & ~slots.all(axis=1) & (pattern | ~(slots[:, :, None] & slots[:, None, :])).all(axis=(1, 2))
+
+
+def index_items(keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray, width: int, names: bool) -> dict[str, np.ndarray]:
+    """The template windows of items as sorted hashes with their places, for each template, and the items' words."""
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    out = {"keys": keys, "begin": begin, "words": flat >> U(3)}
+    every = []
+    for k in range(1 + names):
+        start, h, _ = windows(flat, sizes, width, bool(k))
+        by = np.argsort(h, kind="stable")
+        out |= {f"hashes{k}": h[by], f"starts{k}": start[by]}
+        every.append(h)
+    return out | {"places": artefacts.filter_places(np.concatenate(every))}
+
+
+def search(index: dict[str, np.ndarray], flat: np.ndarray, sizes: np.ndarray, width: int, names: bool) -> dict[str, np.ndarray]:
+    """text, item, verbatim, reworded: the windows of every text and item that share some."""
     reach = np.arange(width)
-    starts = {i: k for k, i in enumerate(items.words)}
-    base = np.concatenate([[0], np.cumsum([len(w) for w in items.words.values()])])
-    item_flat = np.concatenate(list(items.words.values()))
-    theirs = item_flat[(base[[starts[i] for i in owner.tolist()]] + place)[:, None] + reach]
-    ours = literal[at[:, None] + reach]
-    verbatim = (ours == theirs).all(axis=1)
-    found: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
-    for t, i in zip(text[at[verbatim]].tolist(), owner[verbatim].tolist()):
-        found[t, i][0] += 1
-    if reworded:
-        written = [w for t in texts for w in WORD.findall(t.lower())] if not verbatim.all() else []
-        if len(written) == len(flat):
-            names = {v: k for k, v in items.literal.items()}
-            slot = symbol < 4
-            for k in np.flatnonzero(~verbatim).tolist():
-                where = np.flatnonzero(slot[at[k] + reach])
-                if len(where) < width and one_to_one([names[theirs[k][w]] for w in where], [written[at[k] + w] for w in where]):
-                    found[int(text[at[k]]), int(owner[k])][1] += 1
-    return [(t, i, a, b) for (t, i), (a, b) in found.items()]
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", width: int = 12, reworded: bool = True, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    word, found = flat >> U(3), []
+    for k in range(1 + names):
+        start, h, slots = windows(flat, sizes, width, bool(k))
+        table = index[f"hashes{k}"]
+        if not len(start) or not len(table):
+            continue
+        left = np.searchsorted(table, h)
+        met = table[np.minimum(left, len(table) - 1)] == h
+        start, left = start[met], left[met]
+        count = np.searchsorted(table, h[met], "right") - left
+        ends = np.cumsum(count)
+        begin = 0
+        while begin < len(start):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _HITS, "right")))
+            own = count[begin:end]
+            place = index[f"starts{k}"][np.repeat(left[begin:end] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            at = np.repeat(start[begin:end], own)
+            ours, theirs = word[at[:, None] + reach], index["words"][place[:, None] + reach]
+            open_ = slots[at[:, None] + reach]
+            open_[:, 0] &= (flat[at] & U(1)).astype(bool) | (bool(k) & (flat[at] >> U(1) & U(1)).astype(bool))
+            equal = (ours == theirs).all(axis=1)
+            other = ~equal
+            other[other] = consistent(ours[other], theirs[other], open_[other])
+            good = equal | other
+            found.append(np.stack([text[at[good]], np.searchsorted(index["begin"], place[good], "right") - 1, at[good], place[good], other[good]], axis=1))
+            begin = end
+    if not found:
+        return {n: np.zeros(0, dtype=np.int64) for n in ("text", "item", "verbatim", "reworded")}
+    rows = np.unique(np.concatenate(found), axis=0)  # a window may meet the same place by both templates
+    pair, inverse = np.unique(rows[:, :2], axis=0, return_inverse=True)
+    inverse = inverse.ravel()
+    reworded = np.bincount(inverse, weights=rows[:, 4], minlength=len(pair)).astype(np.int64)
+    return {"text": pair[:, 0], "item": index["keys"][pair[:, 1]], "verbatim": np.bincount(inverse, minlength=len(pair)) - reworded, "reworded": reworded}
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", width: int = 12, names: bool = True, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(key, item_key, verbatim, reworded): how many windows of `width` successive words each document shares with each item.
 
-    verbatim counts windows with equal words, reworded those equal up to a one-to-one renaming of their numbers, names and units.
-    Null keys and null texts match nothing; texts of fewer than `width` words neither; an item text under several ids comes out under each;
-    repeated rows give one row; very long texts are used whole; empty tables give an empty result; other columns are ignored.
-    The items are read in blocks of at most item_bytes of text (an item larger than that is a block of its own), each sent to every task;
-    the documents are never shuffled.
+    verbatim counts pairs of windows with equal words, reworded those equal up to a one-to-one renaming of their numbers and units, and with `names` of
+    their names; a window of slots only is no reworded one. Null keys and null texts match nothing; texts of fewer than `width` words neither; an item text under several ids comes out
+    under each; repeated rows give one row; very long texts are used whole; empty tables give an empty result; other columns are ignored.
     """
-    sized = items.select(items[item_key].cast("bigint").alias("i"), items[text].cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().withColumn("b", F.octet_length("t"))
-    rows = documents.select(documents[key].cast("bigint").alias("k"), documents[text].alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    total = sized.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * int(total) // item_bytes)) if total > item_bytes else 1
-
-    def part(block: int) -> DataFrame:
-        own = sorted((r.i, r.t) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).select("i", "t").collect())
-        index = Items(own, width)
-
+    spark = documents.sparkSession
+    held = items.select(items[item_key].cast("bigint").alias("i"), items[text].cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    path = stored_path(spark, "items")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, task, number = _Words(), TaskContext.get().partitionId(), 0
+        keys, parts, sizes, filled = [], [], [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            return artefacts.pieces(f"{task}-{number}", index_items(np.concatenate(keys), np.concatenate(parts), np.concatenate(sizes), width, names))
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                flat, n = read_words(part.column(1).to_pylist(), known)
+                keys.append(part.column(0).to_numpy())
+                parts.append(flat)
+                sizes.append(n)
+                filled += part.column(1).nbytes
+                if filled >= item_bytes:
+                    yield from done()
+                    number, keys, parts, sizes, filled = number + 1, [], [], [], 0
+        if keys:
+            yield from done()
+
+    held.mapInArrow(build, artefacts.PIECE).write.option("compression", "zstd").parquet(path)
+    heads = spark.read.schema(artefacts.PIECE).parquet(path).where("at = 0 AND array = 'places'").select("shard", "length").orderBy("shard").collect()  # a row for item_bytes of text
+    bits = artefacts.filter_bits(sum(r.length for r in heads))
+    rows = documents.select(documents[key].cast("bigint").alias("k"), documents[text].cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                flat, sizes = read_words(batch.column(1).to_pylist(), known)
+                met = artefacts.kept(path, "filter", lambda: artefacts.load_filter(path, bits))
+                good = np.zeros(len(sizes), dtype=bool)
+                text_of = np.repeat(np.arange(len(sizes)), sizes)
+                for k in range(1 + names):
+                    start, h, _ = windows(flat, sizes, width, bool(k))
+                    good[text_of[start[artefacts.passes(met, bits, h)]]] = True
+                yield batch.filter(pa.array(good))
+
+    left = stored(spread(rows).mapInArrow(select, "k bigint, t string"), "possible")
+
+    def part(shard: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = _Reader(index)
+            known = _Words()
             for whole in batches:
-                for i in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(i, 1000)
-                    found = search(index, batch.column(1).to_pylist(), reader, reworded)
-                    keys = batch.column(0).take(pa.array([f[0] for f in found], type=pa.int64()))
-                    yield pa.RecordBatch.from_arrays([keys, *(pa.array([f[k] for f in found], type=pa.int64()) for k in (1, 2, 3))], names=[key, item_key, "verbatim", "reworded"])
+                for i in range(0, whole.num_rows, 500):
+                    batch = whole.slice(i, 500)
+                    index = artefacts.kept(path, shard, lambda: {n: v for _, n, v in artefacts.read(path, shard)})
+                    out = search(index, *read_words(batch.column(1).to_pylist(), known), width, names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out["text"])), *(pa.array(out[n], type=pa.int64()) for n in ("item", "verbatim", "reworded"))], names=["k", "i", "verbatim", "reworded"])
 
-        return spread(rows).mapInArrow(run, f"`{key}` bigint, `{item_key}` bigint, verbatim bigint, reworded bigint")
+        return spread(left).mapInArrow(run, "k bigint, i bigint, verbatim bigint, reworded bigint")
 
-    found = reduce(DataFrame.unionByName, map(part, range(blocks)))
-    return found.groupBy(key, item_key).agg(F.max("verbatim").alias("verbatim"), F.max("reworded").alias("reworded"))
+    none = spark.createDataFrame([], "k bigint, i bigint, verbatim bigint, reworded bigint")
+    found = reduce(DataFrame.unionByName, [part(r.shard) for r in heads], none)
+    return found.groupBy(F.col("k").alias(key), F.col("i").alias(item_key)).agg(F.max("verbatim").alias("verbatim"), F.max("reworded").alias("reworded"))

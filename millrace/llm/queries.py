@@ -10,7 +10,7 @@ from millrace.llm.bpe import encode_texts
 from millrace.llm.budget import slice_shortfalls, slice_totals, tokenizer_budget
 from millrace.llm.crosssplit import cross_split
 from millrace.llm.leaks import leaked_items
-from millrace.llm.mixture import capacities, mixture, mixture_shares, sized_records
+from millrace.llm.mixture import SEATS, SHARDS, mixture, mixture_plan, mixture_shares, shard_quotas, sized_records, unfilled
 from millrace.llm.neardup import similar_groups, similar_pairs
 from millrace.llm.reading import reading_levels
 from millrace.llm.subjects import document_subjects
@@ -50,8 +50,8 @@ def p3_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     sized = sized_records(table(spark, folder, "evaluation_documents"))
-    blocks = stored(sized.groupBy("source", "bucket").agg(F.sum("bytes").alias("bytes")), "blocks")  # read twice; at most BUCKETS rows a source
-    return capacities(blocks, table(spark, folder, "mixture_targets")).where("capped").select("source")
+    sizes = stored(sized.groupBy("source").agg(F.sum("bytes").alias("bytes")), "sizes")  # read twice; a row a source
+    return unfilled(mixture_plan(sizes, table(spark, folder, "mixture_targets"))).select("source")
 
 
 def p4_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +62,10 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture_shares(table(spark, folder, "evaluation_documents"), table(spark, folder, "mixture_targets"))
 
 
+def p4_quotas(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_quotas(table(spark, folder, "mixture_targets"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "evaluation_documents"))
 
@@ -92,7 +96,7 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaked_items(table(spark, folder, "documents"), table(spark, folder, "test_items"), reworded=False)
+    found = leaked_items(table(spark, folder, "documents"), table(spark, folder, "test_items"), names=False)  # a verbatim passage meets its window by the plain template
     return found.where("verbatim > 0").select("doc_id", "item_id")
 
 
@@ -115,7 +119,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return _levels(spark, folder).join(sources, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("median_grade"), 6).alias("median_grade"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_slices, p3_tokenizers, p4_found, p4_mixture, p4_shares, p5_found, p5_groups, p6_found, p6_report, p7_ids, p8_found, p8_reworded, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_slices, p3_tokenizers, p4_found, p4_mixture, p4_shares, p4_quotas, p5_found, p5_groups, p6_found, p6_report, p7_ids, p8_found, p8_reworded, p9_found, p9_profile)}
 
 _E = "SELECT doc_id, any_value(text) AS text, any_value(source) AS source, any_value(split) AS split, any_value(lang) AS lang, any_value(domain) AS domain FROM evaluation_documents GROUP BY doc_id"
 _SLICES = f"""SELECT source, {sql_clean_lang('lang')} AS lang, domain, count(*) AS records, count(DISTINCT md5(text)) AS distinct_texts,
@@ -126,6 +130,14 @@ _CAPACITY = f"""SELECT m.source, m.target_weight, m.max_repeats, coalesce(s.byte
     FROM mixture_targets m LEFT JOIN (SELECT source, sum({_BYTES}) AS bytes FROM ({_E}) GROUP BY source) s ON m.source = s.source,
     (SELECT sum({_BYTES}) AS total FROM ({_E})) t"""
 
+_SEATS = f"""SELECT source, k, CAST((rank - 1) * {SHARDS} // {SEATS} AS INTEGER) AS shard FROM (SELECT source, k, row_number() OVER (ORDER BY target_weight / (2 * k + 1) DESC, source, k) AS rank
+    FROM mixture_targets, (SELECT unnest(range(0, {SEATS})) AS k) WHERE target_weight > 0) WHERE rank <= {SEATS}"""
+_MIXTURE = f"""WITH e AS (SELECT doc_id, source, {_BYTES} AS bytes FROM ({_E})), seats AS ({_SEATS}), q AS (SELECT source, count(*) AS quota FROM seats GROUP BY source), cap AS ({_CAPACITY}),
+    plan AS (SELECT cap.*, coalesce(q.quota, 0) AS quota, CAST(coalesce(q.quota, 0) AS HUGEINT) * total // {SEATS} AS wanted FROM cap LEFT JOIN q ON cap.source = q.source),
+    o AS (SELECT doc_id, source, bytes, sum(bytes) OVER (PARTITION BY source ORDER BY md5('17:' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - bytes AS start FROM e WHERE bytes > 0),
+    c AS (SELECT o.doc_id, o.source, o.bytes, o.start, p.bytes AS have, p.total, p.wanted, unnest(range(0, p.max_repeats)) AS copy FROM o JOIN plan p ON o.source = p.source),
+    u AS (SELECT c.doc_id, c.source, CAST(c.bytes AS BIGINT) AS bytes, CAST(c.copy AS INTEGER) AS copy, s.shard FROM c JOIN seats s ON s.source = c.source AND s.k = (c.copy * c.have + c.start) * {SEATS} // c.total WHERE c.copy * c.have + c.start + c.bytes <= c.wanted)"""
+
 
 def _words(rows: str) -> str:
     """(id, w): the words of each row of (id, text)."""
@@ -143,6 +155,10 @@ SQL = {
         WHERE coalesce(s.tokens, 0) * 1000000 < b.requested_ppm * (SELECT sum(tokens) FROM s)""",
     "p3_slices": _SLICES,
     "p4_found": f"SELECT source FROM ({_CAPACITY}) WHERE capped",
+    "p4_mixture": f"{_MIXTURE} SELECT * FROM u",
+    "p4_shares": f"""{_MIXTURE} SELECT p.source, p.target_weight, p.max_repeats, p.quota, coalesce(x.n, 0) AS used_records, CAST(coalesce(x.b, 0) AS BIGINT) AS used_bytes,
+        round(CAST(coalesce(x.b, 0) AS DOUBLE) / sum(x.b) OVER (), 9) AS share, NOT p.capped AS target_met FROM plan p LEFT JOIN (SELECT source, count(*) FILTER (copy = 0) AS n, sum(bytes) AS b FROM u GROUP BY source) x ON p.source = x.source""",
+    "p4_quotas": f"SELECT shard, source, count(*) AS quota FROM ({_SEATS}) GROUP BY 1, 2",
     "p5_found": f"""WITH s AS ({_sets(f'SELECT doc_id AS id, text FROM ({_E})', 3, 30)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
         SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE c * 5 >= (a.n + b.n - c) * 3""",
@@ -150,6 +166,12 @@ SQL = {
         en AS (SELECT id, count(*) AS n FROM e GROUP BY id), tn AS (SELECT id, count(*) AS n FROM t GROUP BY id),
         p AS (SELECT e.id AS x, t.id AS y, count(*) AS c FROM e JOIN t ON e.s = t.s GROUP BY 1, 2)
         SELECT x AS doc_id, y AS train_ord FROM p JOIN en ON en.id = x JOIN tn ON tn.id = y WHERE c * 5 >= (en.n + tn.n - c) * 3""",
+    "p5_groups": f"""WITH RECURSIVE e AS (SELECT doc_id AS id, md5(text) AS h, text FROM ({_E}) WHERE text IS NOT NULL AND doc_id IS NOT NULL), t AS (SELECT min(id) AS id, any_value(text) AS text, h, count(*) AS copies FROM e GROUP BY h),
+        s AS ({_sets('SELECT id, text FROM t', 5, 5)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE c * 5 >= (a.n + b.n - c) * 4), g AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT id, id AS root FROM t UNION SELECT r.id, g.y FROM r JOIN g ON r.root = g.x)
+        SELECT e.id AS doc_id, m.root AS group_id, t.copies FROM e JOIN t ON e.h = t.h JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) m ON m.id = t.id""",
     "p8_found": f"""WITH d AS ({_sets('SELECT doc_id AS id, text FROM documents', 12, 12)}), i AS ({_sets('SELECT item_id AS id, text FROM test_items', 12, 12)})
         SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i ON d.s = i.s""",
 }

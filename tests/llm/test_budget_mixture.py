@@ -67,15 +67,23 @@ def test_mixture_respects_targets_and_caps(spark):
     size = {i: len(t or "") for i, t, _ in rows}
     total = sum(size.values())
     caps, used = {"a": 1, "b": 4, "c": 1}, {}
-    assert len({r.doc_id for r in out}) == len(out)
+    copies, shards = {}, {}
     for r in out:
-        assert 1 <= r.copies <= caps[r.source] and r.bytes == size[r.doc_id] > 0
-        used[r.source] = used.get(r.source, 0) + r.copies * r.bytes
+        assert r.bytes == size[r.doc_id] > 0 and 0 <= r.copy < caps[r.source]
+        copies.setdefault(r.doc_id, set()).add(r.copy)
+        used[r.source] = used.get(r.source, 0) + r.bytes
+        shards[r.shard, r.source] = shards.get((r.shard, r.source), 0) + r.bytes
+    assert all(c == set(range(len(c))) for c in copies.values()) and sum(map(len, copies.values())) == len(out)
+    quotas = {(r.shard, r.source): r.quota for r in mixture.shard_quotas(targets).collect()}
+    assert sum(quotas.values()) == mixture.SEATS and all(abs(sum(q for (k, _), q in quotas.items() if k == n) - 1000) == 0 for n in range(10))
+    assert all(abs(shards.get((k, "b"), 0) - q * total / mixture.SEATS) < 700 for (k, s), q in quotas.items() if s == "b" and k < 4)
     have = {s: sum(size[i] for i, _, x in rows if x == s) for s in caps}
     for s, w in (("a", 0.3), ("b", 0.5), ("c", 0.15)):
         want = min(w * total, caps[s] * have[s])
-        assert want - 700 <= used[s] <= want + 1
-    assert sorted((r.doc_id, r.copies) for r in mixture.mixture(df.repartition(7), targets).collect()) == sorted((r.doc_id, r.copies) for r in out)
+        assert want - 300 <= used[s] <= want + total / mixture.SEATS
+    assert sorted(map(tuple, mixture.mixture(df.repartition(7), targets).collect())) == sorted(map(tuple, out))
+    plan = mixture.mixture_plan(mixture.sized_records(df), targets)
+    assert {r.source for r in mixture.unfilled(plan).collect()} == {r.source for r in plan.where("capped").collect()} and "none" in {r.source for r in mixture.unfilled(plan).collect()}
     shares = {r.source: r for r in mixture.mixture_shares(df, targets).collect()}
     assert shares["none"].used_bytes == 0 and not shares["none"].target_met and shares["a"].target_met
     assert mixture.mixture(df.limit(0), targets).count() == 0 and mixture.mixture(df, targets.limit(0)).count() == 0
