@@ -114,34 +114,59 @@ def possible(filter_: np.ndarray, bits: int, hashes: np.ndarray, sizes: np.ndarr
     return (sizes >= least_words) & (n > 0) & (met >= needed(n, num, den))
 
 
-def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, width: int, num: int, den: int, least_words: int) -> dict[str, np.ndarray]:
-    """Every (key, cls) whose window sets have a similarity of num/den or more, with their counts and merged spans."""
-    text, start, value = shingles(hashes, sizes, width)
-    good = (sizes >= least_words)[text]
-    text, start, value = text[good], start[good], value[good]
+class Batch:
+    """Training texts made ready once for a search in any number of shards."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, width: int, num: int, den: int, least_words: int) -> None:
+        self.width, self.num, self.den, self.least, self.texts = width, num, den, least_words, len(sizes)
+        text, start, value = shingles(hashes, sizes, width)
+        good = (sizes >= least_words)[text]
+        self.text, self.start, self.value = text[good], start[good], value[good]
+        self.first = _distinct_windows(self.text, self.value)
+        self.n = np.bincount(self.text[self.first], minlength=len(sizes))
+        self.slack = self.n - needed(self.n, num, den)  # windows that a partner may lack
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(sizes)))])
+        self.vocabulary, self.word = np.unique(hashes, return_inverse=True)
+        distinct, at, self.inverse = np.unique(self.value, return_index=True, return_inverse=True)
+        self.place = (distinct >> np.uint64(32)).astype(np.uint32)
+        self.windows = np.stack([self.word[self.start[at] + k] for k in range(width)], axis=1)  # the words of each distinct window
+
+
+def match_texts(index: WordIndex, places: np.ndarray, batch: Batch) -> dict[str, np.ndarray]:
+    """Every (key, cls) whose window sets have a similarity of num/den or more, with their counts and merged spans; key is the text's number.
+
+    places are those of the shard's windows: windows that aren't among them, and texts with too many of those, aren't searched.
+    """
+    text, start, value, first, n, slack, inverse = batch.text, batch.start, batch.value, batch.first, batch.n, batch.slack, batch.inverse
+    width, num, den, least_words = batch.width, batch.num, batch.den, batch.least
     none = {k: np.zeros(0, dtype=np.int64) for k in ("key", "cls", "shared", "total", "spans", "longest")}
     if not len(text) or not len(index.vocabulary):
         return none
-    ids = index.ids(hashes)
-    first = _distinct_windows(text, value)
-    n = np.bincount(text[first], minlength=len(sizes))
-    slack = n - needed(n, num, den)  # windows that a partner may lack
-    # occurrences of every distinct window of the batch, by backward search
-    uniq, at, inverse = np.unique(value, return_index=True, return_inverse=True)
-    words = np.stack([ids[start[at] + k] for k in range(width)], axis=1)
-    known = np.flatnonzero((words > 0).all(axis=1))
-    low, high = np.zeros(len(uniq), dtype=np.int64), np.zeros(len(uniq), dtype=np.int64)
+    at = np.minimum(np.searchsorted(places, batch.place), len(places) - 1) if len(places) else None
+    here = places[at] == batch.place if len(places) else np.zeros(len(batch.place), dtype=bool)
+    hopeful = (np.bincount(text[first & ~here[inverse]], minlength=batch.texts) <= slack)[text]
+    if not hopeful.any():
+        return none
+    here[np.bincount(inverse[hopeful], minlength=len(here)) == 0] = False
+    symbol = index.ids(batch.vocabulary)
+    # occurrences of every such window, by backward search
+    words = symbol[batch.windows]
+    known = np.flatnonzero(here & (words > 0).all(axis=1))
+    known = known[np.argsort(words[known, -1] << 32 | words[known, -2])]  # neighbours read the same parts of the index
+    low, high = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
     if len(known):
         low[known], high[known] = index.windows(words[known])
     times = (high - low)[inverse]
-    absent = np.bincount(text[first & (times == 0)], minlength=len(sizes))
-    alive = (absent <= slack)[text] & (times > 0)
+    absent = np.bincount(text[first & (times == 0)], minlength=batch.texts)
+    alive = hopeful & (absent <= slack)[text] & (times > 0)
+    if not alive.any():
+        return none
     # maximal matches: a window goes on with the one before it if all occurrences of either are occurrences of both
     joined = np.zeros(len(text), dtype=bool)
     joined[1:] = alive[1:] & (text[1:] == text[:-1]) & (times[1:] == times[:-1])
     ask = np.flatnonzero(joined)
     if len(ask):
-        a, b = index.extend(ids[start[ask] - 1], low[inverse[ask]], high[inverse[ask]])
+        a, b = index.extend(symbol[batch.word[start[ask] - 1]], low[inverse[ask]], high[inverse[ask]])
         joined[ask] = b - a == times[ask]
     match = np.cumsum(~joined) - 1
     weight = np.bincount(match[alive & first], minlength=match[-1] + 1)
@@ -158,7 +183,7 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
     take = np.minimum(n, slack + 1 + n // EXTRA)
     chosen = before < take[owner]
     order, owner, load = order[chosen], owner[chosen], load[chosen]
-    sought = absent + np.bincount(owner, weights=load, minlength=len(sizes)).astype(np.int64)
+    sought = absent + np.bincount(owner, weights=load, minlength=batch.texts).astype(np.int64)
     span = times[order]
     mine, theirs = [], []
     # a few texts at a time: their occurrences bound the memory, however many there are in all
@@ -181,7 +206,7 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
     if not len(mine):
         return none
     out = {k: [] for k in none}
-    begin_w = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)))])
+    begin_w = batch.begin
     grams: dict[int, np.ndarray] = {}
     for m, t in zip(mine.tolist(), theirs.tolist()):
         own = grams.get(t)
@@ -200,7 +225,7 @@ def match_texts(index: WordIndex, keys: np.ndarray, hashes: np.ndarray, sizes: n
         hit = own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
         lengths = edge[1::2] - edge[::2] + width - 1
-        for k, x in (("key", keys[m]), ("cls", index.labels[t]), ("shared", shared), ("total", total), ("spans", len(lengths)), ("longest", lengths.max())):
+        for k, x in (("key", m), ("cls", index.labels[t]), ("shared", shared), ("total", total), ("spans", len(lengths)), ("longest", lengths.max())):
             out[k].append(x)
     return {k: np.array(v, dtype=np.int64) for k, v in out.items()}
 
@@ -250,10 +275,10 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
                 for i in range(0, whole.num_rows, 2000):
                     batch = whole.slice(i, 2000)
                     column = batch.column(1).dictionary_encode()  # copies are searched once
-                    hashes, sizes = word_hashes(column.dictionary.to_pylist())
+                    ready = Batch(*word_hashes(column.dictionary.to_pylist()), width, num, den, least_words)
                     for shard in own:
                         index = artefacts.kept(path, shard, lambda s=shard: WordIndex({n: v for _, n, v in artefacts.read(path, s)}), len(own))
-                        out = match_texts(index, np.arange(len(sizes)), hashes, sizes, width, num, den, least_words)
+                        out = match_texts(index, index.parts["places"], ready)
                         yield pa.RecordBatch.from_pydict({k: pa.array(v, type=pa.int64()) for k, v in copied(out, column.indices.to_numpy(), batch.column(0).to_numpy()).items()})
 
         return spread(left).mapInArrow(run, "key bigint, cls bigint, shared bigint, total bigint, spans bigint, longest bigint")
