@@ -2,8 +2,7 @@
 
 Syllables are counted by hyphenation-style rules: vowel groups, parted where two vowels are two syllables, without silent endings. Each
 sentence gets the median grade of Flesch-Kincaid, Gunning fog, SMOG, Coleman-Liau and ARI. Two cuts turn grades into levels 1 to 3; they are
-fitted on a bounded sample of labelled documents. A document has the level that most of its sentences have; quoted lines and licence notes don't vote,
-formulas vote for 3.
+fitted on a bounded sample of labelled documents. A document has the level that most of its sentences have; quotations don't vote, formulas vote for 3.
 """
 
 from __future__ import annotations
@@ -32,13 +31,9 @@ _HIATUS = re.compile("(?<![tsc])i[ao]|e[ou](?!s$)|u[ao]|ii|io(?!n)|ye[^s]|yi|(?<
 _SILENT = re.compile("[^aeiouyl]e$|[^aeioutd]ed$|[^aeiouscgzxj]es$|[aeiou]le$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,]*")
 _BREAK = re.compile(r"(?<=[.!?…])[\"”»'’)]*\s+(?=\S)|(?<=[.!?])(?=<)|\n\s*(?=[^a-zß-ÿ\s])|\n\s*\n\s*")
-_RUN_ON = re.compile(r"(?:;|,| and| und| et) (?=[A-Z])")
 _FORMULA = re.compile(r"\$|\\[a-zA-Z]+|[∑∫√≤≥∂∞]")
-_TAG = re.compile(r"<[^<>]{1,200}>")
-_QUOTE = re.compile(r"(?m)^\s*>.*$|Someone wrote: \"[^\"\n]*\"[^.\n]*\.?")
-_NOTE = re.compile(r"(?i)\bpermission is given\b|\bcopyright\b|\ball rights reserved\b|\blicen[cs]ed under\b")
-_SHORT = 16  # a shorter sentence (a heading, a telegraphic note) is graded by its words as if it had this length
-_LONG = 60  # words beyond which a sentence is parted at its run-on joints
+_TAG = re.compile(r"<[^<>]*>")
+_QUOTE = re.compile(r"(?m)^\s*>.*$|[\"“][^\"“”\n]{80,}[\"”]")  # quoted lines, and quotations longer than a remark
 
 
 def syllables(word: str) -> int:
@@ -57,11 +52,10 @@ class _Measures(dict):
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences of the running text, without markup, quoted lines and licence notes."""
+    """Sentences of the running text, without markup and quotations."""
     if "<" in text:
         text = _TAG.sub("\n", text)
-    text = _QUOTE.sub("\n", text)
-    return [s for s in _BREAK.split(text) if s and not s.isspace() and not _NOTE.search(s)]
+    return [s for s in _BREAK.split(_QUOTE.sub("\n", text)) if s and not s.isspace()]
 
 
 def grade_counts(texts: list[str]) -> np.ndarray:
@@ -72,26 +66,14 @@ def grade_counts(texts: list[str]) -> np.ndarray:
     get = known.__getitem__
     owner, sizes, formula, parts = [], [], [], []
 
-    def add(i: int, s: str) -> None:
-        found = _WORD.findall(s)
-        if len(found) > _LONG:
-            pieces = _RUN_ON.split(s)
-            if len(pieces) > 1:
-                for piece in pieces:
-                    add_plain(i, piece, _WORD.findall(piece))
-                return
-        add_plain(i, s, found)
-
-    def add_plain(i: int, s: str, found: list[str]) -> None:
-        if found:
-            owner.append(i)
-            sizes.append(len(found))
-            formula.append(_FORMULA.search(s) is not None)
-            parts.append(np.fromiter(map(get, found), dtype=np.int64, count=len(found)))
-
     for i, text in enumerate(texts):
         for s in sentences(text):
-            add(i, s)
+            found = _WORD.findall(s)
+            if found:
+                owner.append(i)
+                sizes.append(len(found))
+                formula.append(_FORMULA.search(s) is not None)
+                parts.append(np.fromiter(map(get, found), dtype=np.int64, count=len(found)))
     out = np.zeros((len(texts), _STEPS), dtype=np.int64)
     if not parts:
         return out
@@ -101,14 +83,13 @@ def grade_counts(texts: list[str]) -> np.ndarray:
     s = np.add.reduceat(syllable, at)
     c = np.add.reduceat(letters, at)
     many = np.add.reduceat((syllable >= 3).astype(np.int64), at)
-    length = np.maximum(n, _SHORT)
     # The coefficients of the published formulas, for one sentence.
     grades = np.stack([
-        0.39 * length + 11.8 * s / n - 15.59,
-        0.4 * (length + 100 * many / n),
-        1.043 * np.sqrt(30.0 * many * length / n) + 3.1291,
-        5.88 * c / n - 29.6 / length - 15.8,
-        4.71 * c / n + 0.5 * length - 21.43,
+        0.39 * n + 11.8 * s / n - 15.59,
+        0.4 * (n + 100 * many / n),
+        1.043 * np.sqrt(30.0 * many) + 3.1291,
+        5.88 * c / n - 29.6 / n - 15.8,
+        4.71 * c / n + 0.5 * n - 21.43,
     ])
     grade = np.where(formula, _STEPS * _GRID, np.median(grades, axis=0))
     step = np.clip(grade / _GRID, 0, _STEPS - 1).astype(np.int64)

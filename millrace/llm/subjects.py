@@ -1,8 +1,8 @@
 """Subjects of documents: interpolated bigram language models by subject against a background model.
 
 Sentences of labelled documents train one model a subject and one of everything, all with absolute discounting and interpolation
-bigram -> unigram -> background. A sentence deals with the subject whose model lowers its cross-entropy most, if the gain over
-the whole sentence passes a calibrated threshold. A document has every subject that at least a quarter of its sentences deal with.
+bigram -> unigram -> background. A sentence deals with the subject whose model has the lowest cross-entropy a token on it, if that lies
+below the background's by the subject's threshold, which is calibrated on documents held out. A document has every subject that at least a quarter of its sentences deal with.
 Source code and configuration are software besides, and their names and comments are read as its sentences.
 """
 
@@ -16,22 +16,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.session import spread
 
 LABELLED = 20_000  # labelled documents at most that the models are trained on, by hash of the key
+LABELLED_BYTES = 64 << 20  # bytes of their texts at most, in the same order
 DISCOUNT = 1.5  # counts taken from every n-gram; what is seen once or twice says little
-SKEW = 2.5  # a word counts for a subject if it is this much more frequent there
-MIX = 0.3  # weight of the subject's own model in its mixture with the background
+MIX = 0.6  # weight of the subject's own model in its mixture with the background
 PRIOR = 20.0  # counts that the background's word pairs are worth in a subject's model
 LEAST = 2  # documents that must hold a word
+SOURCE = 0.5  # weight of what a document's source says of its subject
+SMOOTH = 20.0
 SHARE = 0.25
 SOFTWARE, SCIENCE = "software", "science"
 
 _TOKEN = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿĀ-ɏ]+|[A-ZÀ-Þ]+(?![a-zß-ÿ])|[^\W\d_a-zA-ZÀ-ÿ]+")
-_BREAK = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…])[\"”»'’)]+\s+(?=[^a-zß-ÿ])|\n\s*(?=[^a-zß-ÿ\s])|\n\s*\n\s*| and (?=(?:Look|They|He|She|We|One|The|At|Then|Do|Can|It|A|I|You) )")
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_BREAK = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…])[\"”»'’)]+\s+(?=[^a-zß-ÿ])|\n\s*(?=[^a-zß-ÿ\s])|\n\s*\n\s*")
+_TAG = re.compile(r"<[^<>]*>")
 _CODE_LINE = re.compile(r"[{}();=\[\]]|^\s*(?:#|//|--|\*|\w+:)|\w_\w", re.M)
 _FORMULA = re.compile(r"\$|\\[a-zA-Z]+")
 FORMULA = "$"  # stands first among the tokens of a sentence with formulas
@@ -121,16 +124,19 @@ class Model:
         self.pair, self.v = pair, v
 
         def ratio(p: np.ndarray) -> np.ndarray:
-            """Nats that the subject's model, itself a mixture with the background, saves; 0 for words that are not the subject's."""
-            r = p[:, :-1] / p[:, -1:]
-            return np.where(r >= SKEW, np.log(MIX * r + 1 - MIX), 0).astype(np.float32)
+            """Nats that the subject's model, itself interpolated with the background, saves or costs."""
+            return np.log(MIX * p[:, :-1] / p[:, -1:] + 1 - MIX).astype(np.float32)
 
         self.of_pair, self.of_word = ratio(0.5 * p2 + 0.5 * p1[w]), ratio(p1)
 
-    def verdicts(self, sentences: list[list[str]], science: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Best subject of each sentence and its gain; a sentence with formulas is science for sure."""
-        gains = self.gains(sentences)
-        top, best = gains.argmax(axis=1), gains.max(axis=1, initial=0)
+    def verdicts(self, sentences: list[list[str]], prior: np.ndarray, science: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The subject whose model has the lowest cross-entropy on each sentence, and how far it lies below the background's, in nats a token.
+
+        prior has the nats by which a sentence's source speaks for each subject. A sentence with formulas is science for sure.
+        """
+        gains = self.gains(sentences) + prior
+        sizes = np.maximum(np.array([len(s) for s in sentences]), 1)
+        top, best = gains.argmax(axis=1), gains.max(axis=1, initial=0) / sizes
         if science is not None:
             formula = np.array([s[0] == FORMULA for s in sentences], dtype=bool)
             top[formula], best[formula] = science, np.inf
@@ -163,14 +169,15 @@ class Model:
 class Classifier:
     """Subject models, thresholds and the rule for documents."""
 
-    def __init__(self, rows: list[tuple[str, str | None, str | None, set[str]]], subjects: list[str], rounds: int = 3) -> None:
-        """rows: (text, domain, lang, labels) of each labelled document."""
+    def __init__(self, rows: list[tuple[str, str | None, str | None, str | None, set[str]]], subjects: list[str], rounds: int = 3) -> None:
+        """rows: (text, domain, lang, source, labels) of each labelled document."""
         self.subjects = subjects
         number = {s: i for i, s in enumerate(subjects)}
+        self.prior = self._priors([(r[3], {number[x] for x in r[4] if x in number}) for r in rows])
         sentences: list[list[str]] = []
         document, allowed, codes, kind = [], [], [], []
         kinds: dict[tuple, int] = {}
-        for d, (text, domain, lang, labels) in enumerate(rows):
+        for d, (text, domain, lang, _, labels) in enumerate(rows):
             code = self.is_code(text, domain, lang)
             codes.append(code)
             mine = {number[x] for x in labels if x in number}
@@ -190,7 +197,7 @@ class Classifier:
         for i, mine in enumerate(allowed):
             mask[i, list(mine)] = True
         owner = np.array([min(mine) if len(mine) == 1 else -1 for mine in allowed], dtype=np.int64)
-        self.threshold, self.code_share = 1.0, SHARE
+        self.threshold, self.code_share = np.full(len(subjects), 0.05), SHARE  # nats a token; for want of labels
         self.model = Model(sentences, owner, len(subjects), doc, of_kind)
         for _ in range(rounds):
             gains = self.model.gains(sentences)
@@ -200,42 +207,66 @@ class Classifier:
             # a sentence trains a subject of its document if no other subject explains it better and it isn't general matter
             owner = np.where((here > 0.8) & (here >= anywhere - 0.5), top, -1)
             self.model = Model(sentences, owner, len(subjects), doc, of_kind)
-        self._calibrate(rows, sentences, doc, np.array(codes, dtype=bool), number)
+        self._calibrate(rows, sentences, owner, doc, of_kind, np.array(codes, dtype=bool), number)
 
-    def _calibrate(self, rows: list, sentences: list[list[str]], doc: np.ndarray, codes: np.ndarray, number: dict[str, int]) -> None:
-        """The threshold, and the share of code's lines, that agree best with the labels (F1)."""
-        if not len(sentences):
+    def _calibrate(self, rows: list, sentences: list[list[str]], owner: np.ndarray, doc: np.ndarray, kind: np.ndarray, codes: np.ndarray, number: dict[str, int]) -> None:
+        """The least entropy gain at which a sentence is taken for a subject, for each subject, and the share of code's lines: with the fewest
+        errors against the labels of documents held out. Models of either half of the documents judge the other half."""
+        if not len(sentences) or not self.subjects:
             return
-        top, best = self.model.verdicts(sentences, number.get(SCIENCE))
+        top, best = np.zeros(len(sentences), dtype=np.int64), np.zeros(len(sentences))
+        for half in (0, 1):
+            inside, out = np.flatnonzero(doc % 2 == half), np.flatnonzero(doc % 2 != half)
+            if len(inside) and len(out):
+                model = Model([sentences[i] for i in inside], owner[inside], len(self.subjects), doc[inside], kind[inside])
+                prior = self._priors([(rows[d][3], {number[x] for x in rows[d][4] if x in number}) for d in range(half, len(rows), 2)])
+                top[out], best[out] = model.verdicts([sentences[i] for i in out], self._prior_of([rows[d][3] for d in doc[out]], prior), number.get(SCIENCE))
         truth = np.zeros((len(rows), len(self.subjects)), dtype=bool)
-        for d, (_, _, _, labels) in enumerate(rows):
+        for d, (*_, labels) in enumerate(rows):
             truth[d, [number[x] for x in labels if x in number]] = True
+        n = np.maximum(np.bincount(doc, minlength=len(rows)), 1)
 
-        def shares(threshold: float) -> tuple[np.ndarray, np.ndarray]:
-            hit = best >= threshold
+        def taken(thresholds: np.ndarray) -> np.ndarray:
+            hit = best >= thresholds[top]
             each = np.zeros((len(rows), len(self.subjects)))
             np.add.at(each, (doc[hit], top[hit]), 1)
-            return each, np.bincount(doc, minlength=len(rows))
-
-        def f1(got: np.ndarray, which: np.ndarray) -> float:
-            both = (got & truth)[which].sum()
-            return 2 * both / max(1, got[which].sum() + truth[which].sum())
-
-        scored = []
-        for t in np.arange(0.4, 3.01, 0.1):
-            each, n = shares(t)
-            scored.append((f1(each >= SHARE * np.maximum(n, 1)[:, None], ~codes), -abs(t - 1.0), t))
-        self.threshold = float(max(scored)[2])
-        each, _ = shares(self.threshold)
+            return each
+
+        def errors(thresholds: np.ndarray) -> int:
+            return ((taken(thresholds) >= SHARE * n[:, None]) != truth)[~codes].sum()
+
+        def least(grid: np.ndarray, count: list[int]) -> float:
+            good = grid[np.array(count) == min(count)]
+            return float(good[len(good) // 2])
+
+        grid = np.exp(np.linspace(np.log(0.005), 0.0, 25))
+        self.threshold = np.full(len(self.subjects), least(grid, [errors(np.full(len(self.subjects), t)) for t in grid]))
+        for k in range(len(self.subjects)):
+            tried = np.repeat(self.threshold[None], len(grid), axis=0)
+            tried[:, k] = grid
+            self.threshold[k] = least(grid, [errors(t) for t in tried])
         if codes.any() and SOFTWARE in number:
-            other = each.copy()
-            n = other.sum(axis=1)
-            scored = []
-            for c in np.arange(0.1, 0.7, 0.05):
-                got = other >= c * np.maximum(n, 1)[:, None]
+            each = taken(self.threshold)
+            shares, count = np.arange(0.1, 0.7, 0.05), []
+            for c in shares:
+                got = each >= c * np.maximum(each.sum(axis=1), 1)[:, None]
                 got[:, number[SOFTWARE]] = True
-                scored.append((f1(got, codes), -abs(c - SHARE), c))
-            self.code_share = float(max(scored)[2])
+                count.append((got != truth)[codes].sum())
+            self.code_share = least(shares, count)
+
+    def _priors(self, labelled: list[tuple[str | None, set[int]]]) -> dict[str, np.ndarray]:
+        """Log-ratios of the subjects' parts in each source to their parts in all, SMOOTH labels of the latter added to a source."""
+        count: dict[str | None, np.ndarray] = defaultdict(lambda: np.zeros(len(self.subjects)))
+        for source, mine in labelled:
+            for k in mine:
+                count[source][k] += 1
+        part = sum(count.values(), np.zeros(len(self.subjects))) + 1
+        part /= part.sum()
+        return {s: SOURCE * np.log((c + SMOOTH * part) / (c.sum() + SMOOTH) / part) for s, c in count.items() if s is not None}
+
+    def _prior_of(self, sources: list[str | None], prior: dict[str, np.ndarray]) -> np.ndarray:
+        none = np.zeros(len(self.subjects))
+        return np.array([prior.get(s, none) for s in sources]).reshape(len(sources), len(self.subjects))
 
     @staticmethod
     def is_code(text: str, domain: str | None, lang: str | None) -> bool:
@@ -244,7 +275,7 @@ class Classifier:
         clean = (lang or "").strip().lower().split("-")[0]
         return clean in CODE_LANGS if clean else looks_like_code(text)
 
-    def classify(self, texts: list[str | None], domains: list[str | None], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def classify(self, texts: list[str | None], domains: list[str | None], langs: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, subject, share) of every subject of every document."""
         sentences: list[list[str]] = []
         sizes, codes = [], []
@@ -257,8 +288,9 @@ class Classifier:
         doc = np.repeat(np.arange(len(sizes)), sizes)
         each = np.zeros((len(sizes), len(self.subjects)))
         if len(sentences):
-            top, best = self.model.verdicts(sentences, self.subjects.index(SCIENCE) if SCIENCE in self.subjects else None)
-            hit = best >= self.threshold
+            prior = np.repeat(self._prior_of(sources, self.prior), sizes, axis=0)
+            top, best = self.model.verdicts(sentences, prior, self.subjects.index(SCIENCE) if SCIENCE in self.subjects else None)
+            hit = best >= self.threshold[top]
             np.add.at(each, (doc[hit], top[hit]), 1)
         code = np.array(codes, dtype=bool)
         n = np.where(code, each.sum(axis=1), np.array(sizes))
@@ -272,14 +304,16 @@ class Classifier:
         return d, s, share[d, s]
 
 
-def train(records: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", labelled: int = LABELLED) -> Classifier:
-    """The classifier, trained on the driver from at most `labelled` labelled documents chosen by hash of the key."""
+def train(records: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", labelled: int = LABELLED, labelled_bytes: int = LABELLED_BYTES) -> Classifier:
+    """The classifier, trained on the driver from at most `labelled` labelled documents of at most labelled_bytes in all, chosen by hash of the key."""
     named = labels.select(labels[key].cast("bigint").alias("k"), labels["subject"].alias("subject")).where("k IS NOT NULL AND subject IS NOT NULL")
     chosen = named.groupBy("k").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("k")).limit(labelled)  # a key and its few subjects a row
-    rows = records.select(records[key].cast("bigint").alias("k"), "text", "domain", "lang").where("text IS NOT NULL")
-    known = rows.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).orderBy("k").collect()
+    rows = records.select(records[key].cast("bigint").alias("k"), "text", "domain", "lang", "source").where("text IS NOT NULL")
+    known = rows.join(F.broadcast(chosen), "k").dropDuplicates(["k"])
+    read = F.sum(F.octet_length("text")).over(W.orderBy(F.xxhash64("k"), "k"))  # of `labelled` rows at most
+    known = known.withColumn("read", read).where(F.col("read") <= labelled_bytes).orderBy("k").collect()
     names = [r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]
-    return Classifier([(r.text, r.domain, r.lang, set(r.subjects)) for r in known], names)
+    return Classifier([(r.text, r.domain, r.lang, r.source, set(r.subjects)) for r in known], names)
 
 
 def document_subjects(records: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", labelled: int = LABELLED) -> DataFrame:
@@ -292,7 +326,7 @@ def document_subjects(records: DataFrame, labels: DataFrame, subjects: DataFrame
     model = train(records, labels, subjects, key, labelled)
     # bounded by `labelled`; as bytes, so that workers need no copy of this package
     held = records.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    rows = records.select(records[key].cast("bigint").alias("k"), records["text"].alias("t"), records["domain"].cast("string").alias("d"), records["lang"].cast("string").alias("l")).where("k IS NOT NULL AND t IS NOT NULL")
+    rows = records.select(records[key].cast("bigint").alias("k"), records["text"].alias("t"), records["domain"].cast("string").alias("d"), records["lang"].cast("string").alias("l"), records["source"].cast("string").alias("s")).where("k IS NOT NULL AND t IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = cloudpickle.loads(held.value)
@@ -300,7 +334,7 @@ def document_subjects(records: DataFrame, labels: DataFrame, subjects: DataFrame
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
-                d, s, share = found.classify(*(batch.column(c).to_pylist() for c in (1, 2, 3)))
+                d, s, share = found.classify(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(names[s], type=pa.string()) if len(s) else pa.array([], type=pa.string()), pa.array(share)], names=[key, "subject", "share"])
 
     return spread(rows).mapInArrow(run, f"`{key}` bigint, subject string, share double").dropDuplicates([key, "subject"])

@@ -35,7 +35,7 @@ def test_subjects_on_held_out_documents(spark):
     labels = [(i, s if rng.random() > 0.05 else "law", "a") for i, _, found in rows[:400] for s in found]
     edges = [(9001, None, "prose", "en"), (9002, "", "prose", "en"), (9003, "  \n", None, None), (9004, "He said yes. The sun was up.", "prose", "en"), (9005, "x = 1\ndef f(a):\n    return a", "code", "python")]
     data = [(i, t, "prose", "en") for i, t, _ in rows] + edges
-    df = spark.createDataFrame([(*r, "clash") for r in data + data[:10]] + [(None, "goal", "prose", "en", "c")], "doc_id bigint, text string, domain string, lang string, subject string")
+    df = spark.createDataFrame([(*r, "web" if r[0] % 3 else None, "clash") for r in data + data[:10]] + [(None, "goal", "prose", "en", "web", "c")], "doc_id bigint, text string, domain string, lang string, source string, subject string")
     lab = spark.createDataFrame(labels + [(None, "law", "a"), (1, None, "a")], "doc_id bigint, subject string, annotator string")
     names = spark.createDataFrame([(i, s) for i, s in enumerate(sorted(STOCK))], "subject_id int, subject string")
     got = {}
@@ -81,7 +81,9 @@ def test_levels_on_held_out_documents(spark):
 
 def test_rules():
     assert [syllables(w) for w in ("cat", "table", "idea", "nation", "walked", "wanted", "institution", "the")] == [1, 2, 3, 2, 1, 2, 4, 1]
-    assert sentences('> quoted line\nReal text here. Someone wrote: "a b c" and no more. Next one!') == ["Real text here.", "Next one!"] or len(sentences('> quoted line\nReal text here. Next one!')) == 2
+    said = "so much was said of it that nobody could tell any more who had begun with the whole story"
+    assert sentences(f'> quoted line\nReal text here. "{said}" Next one! <b class="{"x" * 300}">Bold.</b>') == ["Real text here.", "Next one!", "Bold.\n"]
+    assert sentences('"Yes," he said.') == ['"Yes," he said.']
     counts = grade_counts(["", "The cat sat. The dog ran.", "word " * 500])
     assert counts.sum(axis=1).tolist()[:2] == [0, 2] and vote(counts, 12, 40)[0] == 2
     assert fit_cuts(counts, counts.sum(axis=1) * 0 + 1) == (10, 38)
