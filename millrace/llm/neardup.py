@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,8 +151,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
+            # as many pairs at once as have 16 MB of text: the more, the more often a text is met again
+            ends = np.cumsum(pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy())
+            begin = 0
+            while begin < whole.num_rows:
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (16 << 20), "right")))
+                batch, begin = whole.slice(begin, end - begin), end
                 coded = pa.chunked_array([batch.column(2), batch.column(3)]).combine_chunks().dictionary_encode()
                 which = coded.indices.to_numpy()
                 good = _similar_sets(coded.dictionary.to_pylist(), which[: batch.num_rows], which[batch.num_rows :], width, num, den)
