@@ -55,3 +55,12 @@ def sql_budget_tokens(x: str) -> str:
 
 def sql_clean_lang(x: str) -> str:
     return f"split_part(lower({sql_strip(x)}), '-', 1)"
+
+
+def hashed_ids(x: str | Column) -> Column:
+    """Ids of the budget tokens: the first 16 bits of a token's MD5, a vocabulary of 65,536 without fitting; null for null."""
+    return F.transform(F.regexp_extract_all(col(x), F.lit(BUDGET_TOKEN), F.lit(0)), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"))
+
+
+def sql_hashed_ids(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{BUDGET_TOKEN}'), lambda t: CAST('0x' || substr(md5(t), 1, 4) AS INTEGER))"

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import BUDGET_TOKEN, SPACE_RUN, budget_tokens, byte_length, col, strip
-from millrace.operators.prefix import range_bucket, running_before
+from millrace.operators.prefix import running_before
 from millrace.session import stored
 
 # Defaults of the published runs.
@@ -73,7 +73,7 @@ def source_quotas(sources: DataFrame, total: int) -> DataFrame:
 
 def interleaved(df: DataFrame, order: str, batch: int = 1) -> DataFrame:
     """df with `turn` and `place`: sources take turns of `batch` rows in order of a whole number, so the global order is (turn, source, place)."""
-    ran = running_before(df.withColumn("_one", F.lit(1)), ["source"], range_bucket(order, 4096), [order], "_one", "place")
+    ran = running_before(df.withColumn("_one", F.lit(1)), ["source"], order, [order], "_one", "place")
     return ran.withColumn("place", F.col("place").cast("bigint")).withColumn("turn", F.floor(F.col("place") / batch)).drop("_one")
 
 
@@ -132,7 +132,7 @@ def held_out(df: DataFrame, training: DataFrame, budget: int, key: str = "doc_id
     seen = training.select(F.sha2(strip(training["text"]), 256).alias("digest")).where("digest IS NOT NULL").distinct()
     first = rows.groupBy("source", "digest").agg(F.min(key).alias(key), F.first(byte_length("text")).alias("bytes"))
     fresh = stored(first.join(seen, "digest", "left_anti"), "fresh")  # read twice; without texts
-    ran = running_before(fresh, ["source"], range_bucket(key, 4096), [key], "bytes").where(F.col("before") < budget)
+    ran = running_before(fresh, ["source"], key, [key], "bytes").where(F.col("before") < budget)
     cut = ran.select("source", key, "digest", (F.lit(budget) - F.col("before")).alias("room"))
     texts = rows.select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("digest").alias("_d"), "text").dropDuplicates(["_k", "_s", "_d"])
     out = cut.join(texts, (F.col(key) == F.col("_k")) & (F.col("source") == F.col("_s")) & (F.col("digest") == F.col("_d")))
@@ -180,13 +180,13 @@ def first_fraction(df: DataFrame, group: str, order: str, fraction: float) -> Da
     if fraction < 0:
         raise ValueError("fraction must not be negative")
     sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
-    ran = running_before(df.withColumn("_one", F.lit(1)), [group], range_bucket(order), [order], "_one", "_rank")
+    ran = running_before(df.withColumn("_one", F.lit(1)), [group], order, [order], "_one", "_rank")
     return ran.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_rank") < F.floor(F.col("_n") * fraction)).drop("_one", "_rank", "_n", "_g")
 
 
 def budget_prefix(df: DataFrame, group: list[str], order: str, amount: str, budget: int) -> DataFrame:
     """Each group's rows before the first that would exceed the budget; that row ends the group, it isn't skipped."""
-    ran = running_before(df, group, range_bucket(order), [order], amount)
+    ran = running_before(df, group, order, [order], amount)
     return ran.where(F.col("before") + F.coalesce(F.col(amount), F.lit(0)) <= budget).drop("before")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.tokenizers import bpe_costs, fit_bpe
+from millrace.operators.hotkeys import ranked
 from millrace.operators.routing import prior_costs, priors, route, soft_weights
 from millrace.session import cut
 
@@ -94,11 +95,30 @@ def initial_labels(df: DataFrame, key: str, text: str, k: int, options: Options)
     return KMeans(k=k, seed=options.seed, featuresCol="features", predictionCol="expert_id").fit(features).transform(features).select(key, F.col("expert_id").cast("int").alias("expert_id"))
 
 
-def repeats(weight: F.Column, oversample: float, key: str, seed: int):
-    """Whole repeats of a weight: its floor after oversampling, and one more with the residual's chance, drawn by hash."""
-    x = F.round(weight * oversample, 9)
-    draw = (F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(0xFFFFFFFF)) / 4294967296.0)
-    return (F.floor(x) + (draw < x - F.floor(x)).cast("bigint")).cast("int")
+def integer_repeats(df: DataFrame, group: str, key: str, weight: str, oversample: float, seed: int, name: str = "repeats") -> DataFrame:
+    """df with whole repeats of each row: the floor of weight * oversample, and one more for as many rows of a group as make its total the rounded
+    (half to even) sum of weight * oversample.
+
+    Those are drawn without replacement, with chances in proportion to what the floor leaves: the smallest -ln(u) / rest, u a digest of seed,
+    group and key. Null weights are 0; a group's ranks come from ranges, so a large group is no single task; other columns are kept.
+    """
+    x = F.round(F.coalesce(F.col(weight), F.lit(0.0)) * oversample, 9).cast("decimal(27,9)")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col(key).cast("string")))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + 1) / float(16**13 + 1)
+    rows = df.withColumn("_x", x).withColumn("_whole", F.floor("_x")).withColumn("_rest", (F.col("_x") - F.col("_whole")).cast("double"))
+    rows = rows.withColumn("_race", F.when(F.col("_rest") > 0, -F.log(u) / F.col("_rest")).otherwise(float("inf")))
+    owed = rows.groupBy(F.col(group).alias("_g")).agg((F.bround(F.sum("_x"), 0) - F.sum("_whole")).cast("bigint").alias("_owed"))  # a row a group
+    placed = ranked(rows, group, ["_race", key], "_rank").join(F.broadcast(owed), F.col(group).eqNullSafe(F.col("_g")))
+    return placed.withColumn(name, F.col("_whole").cast("bigint") + (F.col("_rank") <= F.col("_owed")).cast("bigint")).select(*df.columns, name)
+
+
+def weighted_rows(df: DataFrame, group: str, key: str, weight: str, repeats: str) -> DataFrame:
+    """df's rows, each as often as it repeats, with `copy` from 1 on; a group without any repeat gives its heaviest row once, of equals that with the
+    smallest key."""
+    empty = df.groupBy(F.col(group).alias("_g")).agg(F.sum(repeats).alias("_n"), F.min_by(key, F.struct(-F.col(weight), F.col(key))).alias("_k")).where("_n = 0")  # a row a group
+    first = df.join(F.broadcast(empty), F.col(group).eqNullSafe(F.col("_g")) & (F.col(key) == F.col("_k"))).withColumn("copy", F.lit(1)).select(*df.columns, "copy")
+    some = df.where(F.col(repeats) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(repeats).cast("int"))))
+    return some.unionByName(first)
 
 
 def fit_experts(df: DataFrame, key: str, text: str, experts: int, options: Options) -> list[str]:
@@ -107,7 +127,12 @@ def fit_experts(df: DataFrame, key: str, text: str, experts: int, options: Optio
     Texts stream through the task and repeat by their weight; an expert without a repeat gets its heaviest document.
     """
     rows = df.select(key, text, F.posexplode("weights").alias("e", "w")).where(f"w > 0 AND `{text}` IS NOT NULL")
-    rows = rows.withColumn("n", repeats(F.col("w"), options.oversample, key, options.seed))
+    # weights with a fraction are drawn by keys and numbers alone; what isn't there has none
+    parts = df.select(key, F.posexplode("weights").alias("e", "w")).where("w > 0")
+    rest = lambda w: F.round(w * options.oversample, 9) - F.floor(F.round(w * options.oversample, 9))
+    drawn = integer_repeats(parts.where(rest(F.col("w")) > 0), "e", key, "w", options.oversample, options.seed, "n").select(key, "e", F.col("n").alias("_n"))
+    whole = F.floor(F.round(F.col("w") * options.oversample, 9)).cast("bigint")
+    rows = rows.join(drawn, [key, "e"], "left").withColumn("n", F.coalesce("_n", whole).cast("int")).select(key, text, "e", "w", "n")
     if options.sample is not None:
         from pyspark.sql import Window as W
 
@@ -161,7 +186,7 @@ def converge(texts: DataFrame, key: str, text: str, labels: DataFrame, experts:
 
     Each round's assignment is cut by a checkpoint. If the rounds run out, the round with the best objective stands.
     """
-    state = texts.join(labels, key).withColumn("weights", _one_hot(experts))
+    state = texts.join(labels, key).withColumn("weights", one_hot(experts))
     best: Discovery | None = None
     history: list[float] = []
     previous, temperature, usage = None, options.temperature, None
@@ -223,7 +248,7 @@ def _sizes(found: Discovery) -> dict[int, tuple[int, int, int]]:
 
 def _own_costs(own: DataFrame, key: str, text: str, halves: DataFrame, experts: int, o: Options) -> DataFrame:
     """(key, costs) of own's documents under tokenizers fitted on its parts (key, expert_id)."""
-    return bpe_costs(own, key, text, fit_experts(own.join(halves, key).withColumn("weights", _one_hot(experts)), key, text, experts, o))
+    return bpe_costs(own, key, text, fit_experts(own.join(halves, key).withColumn("weights", one_hot(experts)), key, text, experts, o))
 
 
 def split_labels(texts: DataFrame, key: str, text: str, found: Discovery, o: Options, penalty: float) -> DataFrame | None:
@@ -268,13 +293,13 @@ def merge_labels(texts: DataFrame, key: str, text: str, found: Discovery, o: Opt
     return None if best is None else labels.select(key, F.when(F.col("expert_id") == best[2], best[1]).otherwise(F.col("expert_id")).alias("expert_id"))
 
 
-def _one_hot(experts: int) -> F.Column:
+def one_hot(experts: int) -> F.Column:
     return F.transform(F.sequence(F.lit(0), F.lit(experts - 1)), lambda i: F.when(i == F.col("expert_id"), 1.0).otherwise(0.0))
 
 
 def _once(texts: DataFrame, key: str, text: str, labels: DataFrame, experts: int, o: Options, penalty: float) -> Discovery:
     """One fit and one assignment under given labels."""
-    fitted = fit_experts(texts.join(labels, key).withColumn("weights", _one_hot(experts)), key, text, experts, o)
+    fitted = fit_experts(texts.join(labels, key).withColumn("weights", one_hot(experts)), key, text, experts, o)
     assigned = cut(_assigned(texts.withColumn("bytes", F.octet_length(text)), key, text, fitted, None, o.temperature, o))
     sums = assigned.agg(F.sum(F.get("costs", F.col("expert_id"))).alias("t"), F.count_distinct("expert_id").alias("k")).first()
     return Discovery(assigned, fitted, float(sums.t or 0) + penalty * (sums.k or 0), penalty, False)

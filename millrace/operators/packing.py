@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.prefix import range_bucket, running_before
+from millrace.operators.prefix import running_before
 
 
 def token_offsets(df: DataFrame, group: list[str], order: str, tokens: str, extra: int = 1) -> DataFrame:
     """df with start and length of each document in its group's stream; extra counts the special tokens added to each. Null counts are 0."""
     sized = df.withColumn("length", F.coalesce(F.col(tokens), F.lit(0)).cast("bigint") + extra)
-    return running_before(sized, group, range_bucket(order), [order], "length", "start")
+    return running_before(sized, group, order, [order], "length", "start")
 
 
 def packed_fragments(offsets: DataFrame, group: list[str], key: str, width: int) -> DataFrame:
@@ -138,6 +138,83 @@ def encoded_length(tokens: Column, has_bos: bool) -> Column:
     return tokens + (1 if has_bos else 2)
 
 
+def encoded_document(ids: Column, bos: int | None = None, eos: int | None = None) -> Column:
+    """A document's ids as they are scored: between two eos if there is an eos, else after a bos if there is one, else bare; null for null."""
+    if eos is not None:
+        return F.concat(F.array(F.lit(eos)), ids, F.array(F.lit(eos)))
+    return ids if bos is None else F.concat(F.array(F.lit(bos)), ids)
+
+
+def grouped_fragments(offsets: DataFrame, group: list[str], key: str, length: int, strict: bool = False) -> DataFrame:
+    """(group, chunk, key, doc_offset, length): what each document gives to each chunk of `length` + 1 tokens, with one of overlap, of its group's stream.
+
+    A group has grouped_chunks(its tokens) chunks; documents without tokens give nothing.
+    """
+    ends = offsets.groupBy(*group).agg(grouped_chunks(F.sum("length"), length, strict).alias("_chunks")).select(*[F.col(g).alias(f"_e{i}") for i, g in enumerate(group)], "_chunks")
+    first = F.greatest(F.ceil((F.col("start") - length) / length), F.lit(0))
+    last = F.floor((F.col("start") + F.col("length") - 1) / length)
+    rows = offsets.where("length > 0").select(*group, key, "start", "length", F.explode(F.sequence(first, last)).alias("chunk"))
+    low = F.greatest(F.col("start"), F.col("chunk") * length)
+    high = F.least(F.col("start") + F.col("length"), (F.col("chunk") + 1) * length + 1)
+    meets = F.lit(True)
+    for i, g in enumerate(group):
+        meets = meets & F.col(g).eqNullSafe(F.col(f"_e{i}"))
+    return rows.join(ends, meets).where((F.col("chunk") < F.col("_chunks")) & (low < high)).select(*group, "chunk", key, (low - F.col("start")).alias("doc_offset"), (high - low).alias("length"))
+
+
+def collated(ids: Column, eos: int) -> dict[str, Column]:
+    """input_ids, label_ids, position_ids and label_mask of a packed sequence, in the row: positions restart after each eos, a label that opens a
+    document is masked. Null for null; a sequence of fewer than 2 tokens has empty arrays."""
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    opens = F.array_compact(F.transform(ids, lambda x, i: F.when(x == eos, i + 1)))
+    each = lambda f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).when(ids.isNotNull(), F.array())
+    place = lambda i: i - F.coalesce(F.array_max(F.filter(opens, lambda p: p <= i)), F.lit(0))
+    return {
+        "input_ids": F.slice(ids, F.lit(1), n), "label_ids": F.slice(ids, F.lit(2), n),
+        "position_ids": each(place).cast("array<int>"), "label_mask": each(lambda i: place(i + 1) != 0).cast("array<boolean>"),
+    }
+
+
+def context_slice(x: Column, rank: Column | int, ranks: int) -> Column:
+    """The part of an array that a context-parallel rank has: [rank * n / ranks, (rank + 1) * n / ranks)."""
+    rank = F.lit(rank) if isinstance(rank, int) else rank
+    low, high = F.floor(rank * F.size(x) / ranks), F.floor((rank + 1) * F.size(x) / ranks)
+    return F.slice(x, (low + 1).cast("int"), (high - low).cast("int"))
+
+
+def one_tokenizer(df: DataFrame, batch: list[str], tokenizer: str) -> DataFrame:
+    """(batch, tokenizer) of each batch; reading it fails if a batch's samples are of more than one tokenizer."""
+    low, high = F.min(tokenizer), F.max(tokenizer)
+    return df.groupBy(*batch).agg(F.when(low == high, low).when(low != high, F.raise_error(F.lit("a batch mixes tokenizers"))).alias(tokenizer))
+
+
+def supervised_rows(prompt: Column, completion: Column, length: int, eos: int, pad: int) -> dict[str, Column]:
+    """input_ids, label_ids, position_ids, label_mask and attention_mask of prompt + completion + eos, each of length + 1.
+
+    What is longer is cut, what is shorter padded on the right. Labels are the ids themselves; the mask holds for tokens after the prompt, the eos among them.
+    Positions are -1 on padding. Null ids count as none. Keep rows with a label: exists(label_mask, x -> x).
+    """
+    none = F.array().cast("array<int>")
+    p, c = F.coalesce(prompt, none), F.coalesce(completion, none)
+    whole = F.slice(F.concat(p, c, F.array(F.lit(eos))), 1, length + 1)
+    n, ids = F.size(whole), pad_to(whole, length + 1, pad)
+    every = F.sequence(F.lit(0), F.lit(length))
+    return {
+        "input_ids": ids, "label_ids": ids, "position_ids": F.transform(every, lambda i: F.when(i < n, i).otherwise(-1)),
+        "label_mask": F.transform(every, lambda i: (i >= F.size(p)) & (i < n)), "attention_mask": F.transform(every, lambda i: i < n),
+    }
+
+
+def padded_rows(df: DataFrame, batch: list[str], ids: str, pad: int) -> DataFrame:
+    """df with ids padded on the right to its batch's longest and attention_mask; null ids are padding throughout."""
+    size = F.coalesce(F.size(ids), F.lit(0))
+    widest = df.groupBy(*batch).agg(F.max(size).alias("_width"))
+    rows = df.join(widest, batch)
+    filled = pad_to(F.coalesce(F.col(ids), F.array().cast("array<int>")), F.col("_width"), pad)
+    mask = F.when(F.col("_width") > 0, F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: i < size)).otherwise(F.array().cast("array<boolean>"))
+    return rows.withColumn("attention_mask", mask).withColumn(ids, filled).drop("_width")
+
+
 def pad_to(ids: Column, length: Column | int, pad: int) -> Column:
     """ids with pads on the right up to `length`; longer ones stay."""
     n = F.lit(length) if isinstance(length, int) else length

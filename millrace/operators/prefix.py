@@ -6,34 +6,36 @@ small window; the rows are then run up inside their pieces. A group that holds m
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BUCKETS = 4096  # even ranges that a numeric order is cut into
+
 
-def running_before(df: DataFrame, group: list[str], bucket: Column, order: list[str], amount: str, name: str = "before") -> DataFrame:
+def running_before(df: DataFrame, group: list[str], bucket: Column | str, order: list[str], amount: str, name: str = "before") -> DataFrame:
     """df with the sum of `amount` over the rows before each in its group's order (0 for the first).
 
-    bucket must ascend with the order inside a group. Null amounts count 0; null groups are a group; order ties are summed in any
-    order, so give a unique one; an empty table stays empty.
+    bucket must ascend with the order inside a group; the name of a numeric column stands for BUCKETS even ranges between its smallest and largest
+    value, dense or not. Rows are exchanged once, by (group, bucket), for the window and the join with the pieces. Null amounts count 0; null groups are a
+    group; order ties are summed in any order, so give a unique one; an empty table stays empty.
     """
-    placed = df.withColumn("_b", bucket)
-    pieces = placed.groupBy(*group, "_b").agg(F.sum(amount).alias("_s"))
-    over = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_p"), F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_base"))
-    meets = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_b").eqNullSafe(F.col("_p")))
-    inside = W.partitionBy(*group, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    out = placed.withColumn("_own", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return out.join(pieces, meets).withColumn(name, F.col("_base") + F.col("_own")).drop("_b", "_own", "_p", "_base", *[f"_g{i}" for i in range(len(group))])
+    if isinstance(bucket, str):
+        at = F.col(bucket).cast("double")
+        ends = df.agg(F.min(at).alias("_low"), F.max(at).alias("_high"))  # one row
+        placed = df.join(F.broadcast(ends)).withColumn("_b", F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * BUCKETS)).drop("_low", "_high")
+    else:
+        placed = df.withColumn("_b", bucket)
+    # structs are equal where their fields are, nulls included, so one plain key serves window and join
+    placed = placed.withColumn("_piece", F.struct(*group, "_b")).drop("_b")
+    pieces = placed.groupBy("_piece").agg(F.sum(amount).alias("_s"))
+    over = W.partitionBy(*[F.col("_piece")[g] for g in group]).orderBy(F.col("_piece")["_b"]).rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.select("_piece", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = placed.withColumn("_own", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(pieces, "_piece")
+    return out.withColumn(name, F.col("_base") + F.col("_own")).drop("_piece", "_own", "_base")
 
 
 def hex_bucket(column: str) -> Column:
     """4,096 buckets that ascend with a hash in hexadecimal."""
     return F.substring(column, 1, 3)
-
-
-def range_bucket(column: str, width: int = 65_536) -> Column:
-    """Buckets of `width` successive whole numbers."""
-    return F.floor(F.col(column) / width)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import budget_tokens, sql_budget_tokens
+from millrace.functions.text import budget_tokens, hashed_ids, sql_budget_tokens, sql_hashed_ids
 from millrace.operators import packing as P
 from millrace.operators.hotkeys import once, ranked
 from millrace.session import spread, stored, table
@@ -137,12 +137,12 @@ def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT row_number() OVER (ORDER BY source) - 1 AS file, count(*) AS n FROM (SELECT ord, min(source) AS source FROM curated GROUP BY ord) GROUP BY source),
-    f AS (SELECT file, CAST(sum(n) OVER (ORDER BY file) - n AS BIGINT) AS r_from, CAST(sum(n) OVER (ORDER BY file) AS BIGINT) AS r_to FROM t), i AS (SELECT unnest(range(0, (SELECT CAST(sum(n) AS BIGINT) FROM t), 7)) AS item)
+    f AS (SELECT file, CAST(sum(n) OVER (ORDER BY file) - n AS BIGINT) AS r_from, CAST(sum(n) OVER (ORDER BY file) AS BIGINT) AS r_to FROM t), i AS (SELECT unnest(range(0, (SELECT CAST(sum(n) AS BIGINT) FROM t))) AS item)
     SELECT item, file, item - r_from AS "offset" FROM i JOIN f ON item >= r_from AND item < r_to""")
 def sample_files(spark: SparkSession, folder: str) -> DataFrame:
     f = _files(spark, folder)
     total = f.agg(F.max("r_to").alias("n"))
-    items = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(7).cast("bigint"))).alias("item"))
+    items = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("item"))
     items = items.withColumn("l_from", F.col("item")).withColumn("l_to", F.col("item") + 1)
     return P.interval_join(items, f, 1024).select("item", "file", (F.col("item") - F.col("r_from")).alias("offset"))
 
@@ -173,9 +173,78 @@ def fixed_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return _stream(spark, folder).select("ord", F.expr("length div 65").alias("contexts"), (F.col("length") % 65).alias("dropped"))
 
 
-@query("SELECT CAST(r AS INTEGER) AS rank, r * 4096 // 8 AS start, (r + 1) * 4096 // 8 AS stop FROM (SELECT unnest(range(0, 8)) AS r)")
+_BOS, _EOS, _PAD = 65536, 65537, 65538
+_TOKENS = f"SELECT doc_id, source, doc_id // 100 AS batch, {sql_hashed_ids('text')} AS t FROM documents WHERE text IS NOT NULL"
+_LM = f"""SELECT source, o // 65 AS seq_id, list(x ORDER BY o) AS ids FROM (SELECT source, x, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS o FROM
+    (SELECT source, doc_id, unnest([{_BOS}] || t || [{_EOS}]) AS x, unnest(range(0, len(t) + 2)) AS i FROM ({_TOKENS}))) GROUP BY ALL HAVING count(*) = 65"""
+
+
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text")).where("text IS NOT NULL")
+    return docs.select("doc_id", "source", F.expr("doc_id div 100").alias("batch"), hashed_ids("text").alias("ids"))
+
+
+@query(f"SELECT source, seq_id, ids AS input_ids FROM ({_LM})")
+def lm_chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Training sequences of 65 tokens of each source: bos, document, eos, without overlap, the rest of a source dropped."""
+    rows = _tokens(spark, folder).select("doc_id", "source", F.concat(F.array(F.lit(_BOS)), "ids", F.array(F.lit(_EOS))).alias("ids"))
+    rows = stored(rows, "tokens")
+    offsets = stored(P.token_offsets(rows.select("doc_id", "source", F.size("ids").alias("n")), ["source"], "doc_id", "n", 0), "offsets")
+    return P.packed_sequences(P.packed_fragments(offsets, ["source"], "doc_id", 65), rows.select("doc_id", "ids"), ["source"], "doc_id")
+
+
+@query(f"""WITH s AS (SELECT source, seq_id, ids, list_transform(range(0, 65), lambda i: i - coalesce(list_max(list_filter(list_transform(range(0, 65), lambda k: CASE WHEN ids[k + 1] = {_EOS} THEN k + 1 END), lambda p: p <= i)), 0)) AS p FROM ({_LM}))
+    SELECT source, seq_id, ids[1:64] AS input_ids, ids[2:65] AS label_ids, p[1:64] AS position_ids, list_transform(p[2:65], lambda x: x <> 0) AS label_mask FROM s""")
+def collated_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequences of lm_chunk_rows as a collator gives them, a row a sequence, in the row."""
+    return lm_chunk_rows(spark, folder).select("source", "seq_id", *(c.alias(n) for n, c in P.collated(F.col("input_ids"), _EOS).items()))
+
+
+@query(f"SELECT source, seq_id, CAST(r AS INTEGER) AS rank, ids[r * 65 // 4 + 1:(r + 1) * 65 // 4] AS input_ids FROM ({_LM}), (SELECT unnest(range(0, 4)) AS r)")
 def context_slices(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.range(8).select(F.col("id").cast("int").alias("rank"), F.expr("id * 4096 div 8").alias("start"), F.expr("(id + 1) * 4096 div 8").alias("stop"))
+    """The part of every sequence that each of four context-parallel ranks has."""
+    rows = lm_chunk_rows(spark, folder).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return rows.select("source", "seq_id", "rank", P.context_slice(F.col("input_ids"), F.col("rank"), 4).alias("input_ids"))
+
+
+@query(f"""WITH f AS (SELECT batch, x, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS o, count(*) OVER (PARTITION BY batch) AS n FROM (SELECT batch, doc_id, unnest(t) AS x, unnest(range(0, len(t))) AS i FROM ({_TOKENS}))),
+    c AS (SELECT batch, x, o, n, unnest([o // 64, o // 64 - CASE WHEN o % 64 = 0 THEN 1 ELSE 0 END]) AS chunk, unnest([true, o % 64 = 0]) AS use FROM f)
+    SELECT batch, chunk, list(x ORDER BY o) AS input_ids FROM c WHERE use AND chunk >= 0 AND n >= 65 AND chunk < (n - 1) // 64 GROUP BY ALL""")
+def clm_chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of 65 tokens with one of overlap, of the stream of every batch of documents."""
+    rows = stored(_tokens(spark, folder).select("doc_id", "batch", "ids"), "tokens")
+    offsets = stored(P.token_offsets(rows.select("doc_id", "batch", F.size("ids").alias("n")), ["batch"], "doc_id", "n", 0), "offsets")
+    fragments = P.grouped_fragments(offsets, ["batch"], "doc_id", 64).withColumnRenamed("chunk", "seq_id")
+    return P.packed_sequences(fragments, rows.select("doc_id", "ids"), ["batch"], "doc_id").withColumnRenamed("seq_id", "chunk")
+
+
+@query(f"SELECT doc_id, [{_EOS}] || t || [{_EOS}] AS with_eos, [{_BOS}] || t AS with_bos FROM ({_TOKENS})")
+def encoded_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's ids as a likelihood run scores them, by a tokenizer with an eos and by one with a bos alone."""
+    ids = F.col("ids")
+    return _tokens(spark, folder).select("doc_id", P.encoded_document(ids, _BOS, _EOS).alias("with_eos"), P.encoded_document(ids, _BOS).alias("with_bos"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, batch, [{_EOS}] || t || [{_EOS}] AS x FROM ({_TOKENS})), c AS (SELECT doc_id, batch, k AS chunk_start, x[k + 1:k + 128] AS x FROM (SELECT *, unnest(range(0, len(x) - 1, 127)) AS k FROM e)),
+    w AS (SELECT *, max(len(x)) OVER (PARTITION BY batch) AS w FROM c)
+    SELECT doc_id, batch, chunk_start, list_resize(x, w, {_PAD}) AS input_ids, list_transform(range(0, w), lambda i: i < len(x)) AS attention_mask FROM w""")
+def scored_chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of 128 tokens that are scored, padded to the longest of their batch, with masks."""
+    rows = _tokens(spark, folder).select("doc_id", "batch", P.encoded_document(F.col("ids"), _BOS, _EOS).alias("ids")).withColumn("n", F.size("ids").cast("bigint"))
+    chunks = P.scored_chunks(rows.select("doc_id", "batch", "ids", "n"), ["doc_id", "batch", "ids"], "n", 128)
+    cut = chunks.select("doc_id", "batch", "chunk_start", F.slice("ids", (F.col("chunk_start") + 1).cast("int"), (F.col("chunk_end") - F.col("chunk_start")).cast("int")).alias("input_ids"))
+    return P.padded_rows(cut, ["batch"], "input_ids", _PAD)
+
+
+@query(f"""WITH e AS (SELECT doc_id, len(p) AS p, (p || c || [{_EOS}])[1:65] AS x FROM (SELECT doc_id, {sql_hashed_ids("split_part(text, chr(10), 1)")} AS p, {sql_hashed_ids("text")} AS c FROM documents WHERE text IS NOT NULL))
+    SELECT doc_id, list_resize(x, 65, {_PAD}) AS input_ids, list_resize(x, 65, {_PAD}) AS label_ids, list_transform(range(0, 65), lambda i: CASE WHEN i < len(x) THEN i ELSE -1 END) AS position_ids,
+    list_transform(range(0, 65), lambda i: i >= p AND i < len(x)) AS label_mask, list_transform(range(0, 65), lambda i: i < len(x)) AS attention_mask FROM e WHERE p < len(x)""")
+def sft_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Supervised examples of 65 tokens: a document's first line asks for the document; those whose prompt leaves no label drop out."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).where("text IS NOT NULL")
+    ids = docs.select("doc_id", hashed_ids(F.substring_index("text", "\n", 1)).alias("p"), hashed_ids("text").alias("c"))
+    rows = ids.select("doc_id", *(c.alias(n) for n, c in P.supervised_rows(F.col("p"), F.col("c"), 64, _EOS, _PAD).items()))
+    return rows.where(F.exists("label_mask", lambda x: x))
 
 
 @query(f"SELECT run_name, doc_id, n + 1 AS with_both, n AS with_bos FROM ({_NLL}) WHERE n IS NOT NULL")

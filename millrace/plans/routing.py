@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import byte_length, sql_budget_tokens
+from millrace.operators import discovery as D
 from millrace.operators import routing as R
 from millrace.session import spread, stored, table
 
@@ -180,21 +181,33 @@ def relabel(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("source").distinct().withColumn("label", (F.dense_rank().over(W.orderBy("source")) - 1).cast("int"))
 
 
-@query(f"SELECT doc_id, expert_id, 1.0::DOUBLE AS weight FROM ({_R})")
+@query(f"SELECT doc_id, expert_id, list_transform(range(0, 3), lambda k: CASE WHEN k = expert_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS weights FROM ({_R})")
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
-    return _routed(spark, folder).select("doc_id", "expert_id", F.lit(1.0).alias("weight"))
+    return _routed(spark, folder).select("doc_id", "expert_id", D.one_hot(3).alias("weights"))
 
 
-@query(f"SELECT doc_id, expert_id, CAST(floor(round(weight * 2.0, 9)) AS BIGINT) AS repeats, round(weight * 2.0 - floor(round(weight * 2.0, 9)), 6) AS residual FROM ({_SOFT})")
+_REPEATS = f"""WITH x AS (SELECT doc_id, expert_id, weight, CAST(round(weight * 2.0, 9) AS DECIMAL(27, 9)) AS x FROM ({_SOFT})),
+    y AS (SELECT *, floor(x) AS whole, CAST(x - floor(x) AS DOUBLE) AS rest, (CAST('0x' || substr(md5('17:' || expert_id || ':' || doc_id), 1, 13) AS BIGINT) + 1) / {float(16**13 + 1)!r} AS u FROM x),
+    z AS (SELECT *, row_number() OVER (PARTITION BY expert_id ORDER BY CASE WHEN rest > 0 THEN -ln(u) / rest ELSE 'inf'::DOUBLE END, doc_id) AS r, round_even(CAST(sum(x) OVER (PARTITION BY expert_id) AS DOUBLE), 0) - sum(whole) OVER (PARTITION BY expert_id) AS owed FROM y),
+    n AS (SELECT doc_id, expert_id, weight, CAST(whole AS BIGINT) + (r <= owed)::INT AS repeats FROM z)"""
+
+
+@query(f"{_REPEATS} SELECT doc_id, expert_id, CAST(repeats AS BIGINT) AS repeats FROM n")
 def fractional_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole repeats of every document for every expert, whose totals are the rounded sums of the weights taken twice."""
+    return _repeats(spark, folder).select("doc_id", "expert_id", "repeats")
+
+
+def _repeats(spark: SparkSession, folder: str) -> DataFrame:
     w = _costs(spark, folder).select("doc_id", F.posexplode(R.soft_weights(F.col("costs").cast("array<double>"), 0.2)).alias("expert_id", "weight"))
-    whole = F.floor(F.round(F.col("weight") * 2.0, 9))
-    return w.select("doc_id", "expert_id", whole.alias("repeats"), F.round(F.col("weight") * 2.0 - whole, 6).alias("residual"))
+    return D.integer_repeats(w, "expert_id", "doc_id", "weight", 2.0, 17)
 
 
-@query(f"SELECT doc_id, CAST(unnest(range(1, expert_id + 2)) AS INTEGER) AS copy FROM ({_R})")
+@query(f"""{_REPEATS}, e AS (SELECT expert_id, first(doc_id ORDER BY weight DESC, doc_id) AS doc_id FROM n GROUP BY expert_id HAVING sum(repeats) = 0)
+    SELECT expert_id, doc_id, CAST(unnest(range(1, repeats + 1)) AS INTEGER) AS copy FROM n UNION ALL SELECT expert_id, doc_id, 1 FROM e""")
 def weighted_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _routed(spark, folder).select("doc_id", F.explode(F.sequence(F.lit(1), F.col("expert_id") + 1)).alias("copy"))
+    """The documents each expert is fitted on, as often as they repeat."""
+    return D.weighted_rows(_repeats(spark, folder), "expert_id", "doc_id", "weight", "repeats").select("expert_id", "doc_id", "copy")
 
 
 @query(f"""SELECT round(avg((a.expert_id <> b.expert_id)::INT), 9) AS changed, count(*) AS documents FROM ({_R}) a JOIN

@@ -10,9 +10,9 @@ from millrace.operators import blending as B
 from millrace.operators import metrics as M
 from millrace.operators import packing as P
 from millrace.operators.hotkeys import once, ranked
-from millrace.operators.prefix import range_bucket, running_before
+from millrace.operators.prefix import running_before
 from millrace.plans.routing import SQL as ROUTING_SQL
-from millrace.plans.routing import merge_proxy, oracle_route
+from millrace.plans.routing import _R, _routed, merge_proxy
 from millrace.session import table
 
 QUERIES, SQL = {}, {}
@@ -32,13 +32,13 @@ def query(sql: str | None = None):
 def first_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The first 20 long enough documents of each source."""
     rows = table(spark, folder, "documents").where(byte_length("text") >= 128).select("source", "doc_id", F.lit(1).alias("one"))
-    return running_before(rows, ["source"], range_bucket("doc_id", 4096), ["doc_id"], "one").where("before < 20").select("source", "doc_id")
+    return running_before(rows, ["source"], "doc_id", ["doc_id"], "one").where("before < 20").select("source", "doc_id")
 
 
-@query(f"SELECT expert_id, CAST(sum(tokens) AS BIGINT) AS priority, count(*) AS documents FROM ({ROUTING_SQL['oracle_route']}) GROUP BY 1 HAVING count(*) >= 40 ORDER BY priority DESC, expert_id DESC LIMIT 2")
+@query(f"SELECT expert_id, CAST(sum(tokens) AS DOUBLE) / greatest(sum(bytes), 1) AS priority, count(*) AS documents FROM ({_R}) GROUP BY 1 HAVING count(*) >= 40 ORDER BY priority DESC, expert_id DESC LIMIT 2")
 def split_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """The two experts most worth splitting: most tokens first, then the higher number; small ones are passed over."""
-    per = oracle_route(spark, folder).groupBy("expert_id").agg(F.sum("tokens").alias("priority"), F.count("*").alias("documents"))
+    """The two experts most worth splitting: most tokens a byte first, then the higher number; those with fewer than twice 20 documents are passed over."""
+    per = _routed(spark, folder).groupBy("expert_id").agg((F.sum("tokens").cast("double") / F.greatest(F.sum("bytes"), F.lit(1))).alias("priority"), F.count("*").alias("documents"))
     return per.where("documents >= 40").orderBy(F.desc("priority"), F.desc("expert_id")).limit(2)
 
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.operators.hotkeys import eager_join_totals, heavy_keys, once, ranked, spread_join
-from millrace.operators.prefix import range_bucket, running_before
+from millrace.operators.prefix import running_before
 
 
 def test_eager_totals_equal_a_row_join(spark):
@@ -47,12 +47,12 @@ def test_positions_of_a_hot_key_run_over_many_ranges(spark):
 def test_running_sums(spark):
     rows = [(i, i % 3 or None, (i * 7) % 11 if i % 5 else None) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, g int, v int")
-    got = {r.id: r.before for r in running_before(df, ["g"], range_bucket("id", 16), ["id"], "v").collect()}
+    got = {r.id: r.before for r in running_before(df, ["g"], "id", ["id"], "v").collect()}
     sums = {}
     for i, g, v in rows:
         assert got[i] == sums.get(g, 0)
         sums[g] = sums.get(g, 0) + (v or 0)
-    assert running_before(df.limit(0), ["g"], range_bucket("id"), ["id"], "v").count() == 0
+    assert running_before(df.limit(0), ["g"], "id", ["id"], "v").count() == 0
 
 
 def test_spread_join_deals_a_hot_key_over_tasks(spark):
@@ -67,3 +67,18 @@ def test_spread_join_deals_a_hot_key_over_tasks(spark):
     assert spread_join(rows, other, ["k"], none).count() == rows.join(other, "k").count()
     placed = got.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
     assert len(placed) > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_running_sums_exchange_rows_once_and_take_hashed_keys(spark):
+    df = spark.range(4000).selectExpr("xxhash64(id) AS id", "IF(id % 3 = 0, NULL, 'g') AS g", "id % 5 AS v")
+    out = running_before(df, ["g"], "id", ["id"], "v")
+    done, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        want[r.id] = done.get(r.g, 0)
+        done[r.g] = done.get(r.g, 0) + r.v
+    assert {r.id: r.before for r in out.collect()} == want
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    whole = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "SortMergeJoin" not in plan or whole.count("Exchange hashpartitioning(_piece") <= 3
+    buckets = out.select(F.floor((F.col("id").cast("double") / 2.0**64 + 0.5) * 4096).alias("b")).distinct().count()
+    assert buckets > 1000  # hashed keys fall into many buckets, and a bucket has few of them
