@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.operators.prefix import running_before
 
 
@@ -162,17 +163,20 @@ def grouped_fragments(offsets: DataFrame, group: list[str], key: str, length: in
     return rows.join(ends, meets).where((F.col("chunk") < F.col("_chunks")) & (low < high)).select(*group, "chunk", key, (low - F.col("start")).alias("doc_offset"), (high - low).alias("length"))
 
 
-def collated(ids: Column, eos: int) -> dict[str, Column]:
-    """input_ids, label_ids, position_ids and label_mask of a packed sequence, in the row: positions restart after each eos, a label that opens a
-    document is masked. Null for null; a sequence of fewer than 2 tokens has empty arrays."""
-    n = F.greatest(F.size(ids) - 1, F.lit(0))
-    opens = F.array_compact(F.transform(ids, lambda x, i: F.when(x == eos, i + 1)))
-    each = lambda f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).when(ids.isNotNull(), F.array())
-    place = lambda i: i - F.coalesce(F.array_max(F.filter(opens, lambda p: p <= i)), F.lit(0))
-    return {
-        "input_ids": F.slice(ids, F.lit(1), n), "label_ids": F.slice(ids, F.lit(2), n),
-        "position_ids": each(place).cast("array<int>"), "label_mask": each(lambda i: place(i + 1) != 0).cast("array<boolean>"),
-    }
+def collated(ids: Column, eos: int) -> Column:
+    """A struct of input_ids, label_ids, position_ids and label_mask of a packed sequence, in the row: positions restart after each eos, a label that
+    opens a document is masked. Empty arrays for fewer than 2 tokens and for null. Select it by inline(array(...)), which evaluates it once."""
+    none = F.array().cast("array<int>")
+    opens = lambda x: F.array_compact(F.transform(x, lambda t, i: F.when(t == eos, i + 1)))
+
+    def row(x: Column, o: Column) -> Column:
+        n = F.greatest(F.size(x) - 1, F.lit(0))
+        place = lambda i: i - F.coalesce(F.array_max(F.filter(o, lambda p: p <= i)), F.lit(0))
+        each = lambda f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
+        parts = {"input_ids": F.slice(x, F.lit(1), n), "label_ids": F.slice(x, F.lit(2), n), "position_ids": each(place).cast("array<int>"), "label_mask": each(lambda i: place(i + 1) != 0).cast("array<boolean>")}
+        return F.struct(*(c.alias(k) for k, c in parts.items()))
+
+    return let(F.coalesce(ids, none), lambda x: let(opens(x), lambda o: row(x, o)))
 
 
 def context_slice(x: Column, rank: Column | int, ranks: int) -> Column:
@@ -188,21 +192,28 @@ def one_tokenizer(df: DataFrame, batch: list[str], tokenizer: str) -> DataFrame:
     return df.groupBy(*batch).agg(F.when(low == high, low).when(low != high, F.raise_error(F.lit("a batch mixes tokenizers"))).alias(tokenizer))
 
 
-def supervised_rows(prompt: Column, completion: Column, length: int, eos: int, pad: int) -> dict[str, Column]:
-    """input_ids, label_ids, position_ids, label_mask and attention_mask of prompt + completion + eos, each of length + 1.
+def supervised_rows(prompt: Column, completion: Column, length: int, eos: int, pad: int) -> Column:
+    """A struct of input_ids, label_ids, position_ids, label_mask and attention_mask of prompt + completion + eos, each of length + 1.
 
     What is longer is cut, what is shorter padded on the right. Labels are the ids themselves; the mask holds for tokens after the prompt, the eos among them.
-    Positions are -1 on padding. Null ids count as none. Keep rows with a label: exists(label_mask, x -> x).
+    Positions are -1 on padding. Null ids count as none. Keep rows with a label: exists(label_mask, x -> x). Select it by inline(array(...)), which
+    evaluates it once.
     """
     none = F.array().cast("array<int>")
-    p, c = F.coalesce(prompt, none), F.coalesce(completion, none)
-    whole = F.slice(F.concat(p, c, F.array(F.lit(eos))), 1, length + 1)
-    n, ids = F.size(whole), pad_to(whole, length + 1, pad)
     every = F.sequence(F.lit(0), F.lit(length))
-    return {
-        "input_ids": ids, "label_ids": ids, "position_ids": F.transform(every, lambda i: F.when(i < n, i).otherwise(-1)),
-        "label_mask": F.transform(every, lambda i: (i >= F.size(p)) & (i < n)), "attention_mask": F.transform(every, lambda i: i < n),
-    }
+
+    def row(whole: Column, p: Column) -> Column:
+        n = F.size(whole)
+        ids = pad_to(whole, length + 1, pad)
+        parts = {
+            "input_ids": ids, "label_ids": ids, "position_ids": F.transform(every, lambda i: F.when(i < n, i).otherwise(-1)),
+            "label_mask": F.transform(every, lambda i: (i >= p) & (i < n)), "attention_mask": F.transform(every, lambda i: i < n),
+        }
+        return F.struct(*(c.alias(k) for k, c in parts.items()))
+
+    p = F.coalesce(prompt, none)
+    whole = lambda x: F.slice(F.concat(x, F.coalesce(completion, none), F.array(F.lit(eos))), 1, length + 1)
+    return let(p, lambda x: let(whole(x), lambda w: let(F.size(x), lambda k: row(w, k))))
 
 
 def padded_rows(df: DataFrame, batch: list[str], ids: str, pad: int) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import budget_tokens, hashed_ids, sql_budget_tokens, sql_hashed_ids
 from millrace.operators import packing as P
 from millrace.operators.hotkeys import once, ranked
-from millrace.session import spread, stored, table
+from millrace.session import spread, stored, stored_path, table
+from millrace.sinks.writers import write_indexed_parts, write_token_files
+from millrace.sources.readers import read_indexed, read_token_stream
 
 QUERIES, SQL = {}, {}
 
@@ -197,7 +201,7 @@ def lm_chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
     SELECT source, seq_id, ids[1:64] AS input_ids, ids[2:65] AS label_ids, p[1:64] AS position_ids, list_transform(p[2:65], lambda x: x <> 0) AS label_mask FROM s""")
 def collated_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The sequences of lm_chunk_rows as a collator gives them, a row a sequence, in the row."""
-    return lm_chunk_rows(spark, folder).select("source", "seq_id", *(c.alias(n) for n, c in P.collated(F.col("input_ids"), _EOS).items()))
+    return lm_chunk_rows(spark, folder).select("source", "seq_id", F.inline(F.array(P.collated(F.col("input_ids"), _EOS))))
 
 
 @query(f"SELECT source, seq_id, CAST(r AS INTEGER) AS rank, ids[r * 65 // 4 + 1:(r + 1) * 65 // 4] AS input_ids FROM ({_LM}), (SELECT unnest(range(0, 4)) AS r)")
@@ -218,6 +222,31 @@ def clm_chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
     return P.packed_sequences(fragments, rows.select("doc_id", "ids"), ["batch"], "doc_id").withColumnRenamed("seq_id", "chunk")
 
 
+@query(f"SELECT md5(source) AS stream, seq_id // 64 AS file, seq_id % 64 AS context, ids AS input_ids FROM ({_LM})")
+def packed_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequences of lm_chunk_rows written as token files of 64 of them for each source, and read back by ranges."""
+    path = stored_path(spark, "streams")
+    rows = lm_chunk_rows(spark, folder).select(F.md5("source").alias("stream"), "seq_id", "input_ids")
+    write_token_files(rows, path, "stream", token_bytes=4, per_file=64).write.format("noop").mode("overwrite").save()
+    back = read_token_stream(spark, path, 64, 4)
+    name = F.regexp_extract("file", "([0-9a-f]{32})/([0-9]+)[.]ds$", 1), F.regexp_extract("file", "([0-9a-f]{32})/([0-9]+)[.]ds$", 2).cast("bigint")
+    return back.select(name[0].alias("stream"), name[1].alias("file"), "context", F.col("input_ids").cast("array<int>").alias("input_ids"))
+
+
+@query(f"SELECT doc_id, t AS ids FROM ({_TOKENS})")
+def indexed_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of all documents written as indexed token files and read back, in order of doc_id."""
+    path = stored_path(spark, "indexed")
+    rows = stored(_tokens(spark, folder).select("doc_id", "ids"), "tokens")
+    written = write_indexed_parts(rows, path, "doc_id", "ids", per_file=50_000).orderBy("part").collect()  # a row a file
+    before, parts = 0, []
+    for r in written:
+        parts.append(read_indexed(spark, f"{path}/part-{r.part:05d}").select((F.col("doc") + before + 1).alias("position"), F.col("ids").cast("array<int>").alias("ids")))
+        before += r.documents
+    order = ranked(rows.select("doc_id", F.lit(0).alias("all")), "all", ["doc_id"]).select("doc_id", "position")
+    return reduce(DataFrame.unionByName, parts).join(order, "position").select("doc_id", "ids")
+
+
 @query(f"SELECT doc_id, [{_EOS}] || t || [{_EOS}] AS with_eos, [{_BOS}] || t AS with_bos FROM ({_TOKENS})")
 def encoded_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's ids as a likelihood run scores them, by a tokenizer with an eos and by one with a bos alone."""
@@ -243,7 +272,7 @@ def sft_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Supervised examples of 65 tokens: a document's first line asks for the document; those whose prompt leaves no label drop out."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "text")).where("text IS NOT NULL")
     ids = docs.select("doc_id", hashed_ids(F.substring_index("text", "\n", 1)).alias("p"), hashed_ids("text").alias("c"))
-    rows = ids.select("doc_id", *(c.alias(n) for n, c in P.supervised_rows(F.col("p"), F.col("c"), 64, _EOS, _PAD).items()))
+    rows = ids.select("doc_id", F.inline(F.array(P.supervised_rows(F.col("p"), F.col("c"), 64, _EOS, _PAD))))
     return rows.where(F.exists("label_mask", lambda x: x))
 
 

@@ -55,17 +55,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _drop(path: str) -> None:
-    if path.startswith("file:"):
-        shutil.rmtree("/" + path[len("file:") :].lstrip("/"), ignore_errors=True)
-    elif path.startswith("/"):
-        shutil.rmtree(path, ignore_errors=True)
+def _drop(spark: SparkSession, path: str) -> None:
+    if path.startswith(("file:", "/")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended: the folder's owner clears it
+        pass
 
 
 def stored_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends (local folders only)."""
+    """A fresh path in the shared folder, removed when the driver ends, on any storage while its session lives."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, path)
+    atexit.register(_drop, spark, path)
     return path
 
 

@@ -6,13 +6,16 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.sources.files import exists, filesystem, list_files, read_ranges, read_text_file
 from millrace.sources.specs import Source
 
 # The header of an indexed token file, and its type codes.
@@ -38,7 +41,7 @@ def read_text(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
 def read_source(spark: SparkSession, source: Source, root: str) -> DataFrame:
     """A source kept below `root` as DATASET[/CONFIG]/SPLIT.(parquet|jsonl), with its label; the text falls back to `content` if the field is the default."""
     base = os.path.join(root, source.dataset, *([source.config] if source.config else []), source.split)
-    if os.path.exists(base + ".parquet"):
+    if exists(base + ".parquet"):
         rows = spark.read.parquet(base + ".parquet")
     else:
         rows = spark.read.json(base + ".jsonl")
@@ -78,8 +81,7 @@ def dummy_batches(spark: SparkSession, rows: int, length: int, vocabulary: int,
 
 def read_registry(path: str) -> list[dict]:
     """Tokenizers of a registry file (YAML, of which JSON is a part); ids must be 0, 1, ... in order; relative paths are the file's."""
-    with open(path) as f:
-        text = f.read()
+    text = read_text_file(path)
     try:
         found = json.loads(text)
     except ValueError:
@@ -100,8 +102,7 @@ def read_registry(path: str) -> list[dict]:
 
 def endpoints_of(path: str) -> list[dict]:
     """Endpoints of a model's metadata; their ids must be contiguous from 0."""
-    with open(path) as f:
-        found = sorted(json.load(f)["endpoints"], key=lambda e: e["id"])
+    found = sorted(json.loads(read_text_file(path))["endpoints"], key=lambda e: e["id"])
     if [e["id"] for e in found] != list(range(len(found))):
         raise ValueError("endpoint ids must be contiguous")
     return found
@@ -109,8 +110,7 @@ def endpoints_of(path: str) -> list[dict]:
 
 def stream_header(path: str) -> tuple[str, int]:
     """(tokenizer, bytes a token) of a token stream's metadata: the first line is `name|size`."""
-    with open(path) as f:
-        name, size = f.readline().strip().rsplit("|", 1)
+    name, size = read_text_file(path).split("\n", 1)[0].strip().rsplit("|", 1)
     return name, int(size)
 
 
@@ -126,44 +126,73 @@ def match_paths(paths: list[str], root: str, pattern: str) -> list[str]:
     return sorted(p for p in paths if p.startswith(root) and re.fullmatch(pattern, p[len(root) :].lstrip("/")))
 
 
-def read_token_stream(spark: SparkSession, path: str, length: int, token_bytes: int = 2, skip: int = 0, limit: int | None = None) -> DataFrame:
+def read_token_stream(spark: SparkSession, path: str, length: int, token_bytes: int = 2, skip: int = 0, limit: int | None = None, at_once: int = 1024) -> DataFrame:
     """(file, context, input_ids): contexts of length + 1 tokens without overlap from little-endian token files; the rest of a file is dropped.
 
-    skip and limit count contexts of each file. Files are read whole by the task that has them.
+    skip and limit count contexts of each file. A file is read in ranges of at_once contexts by as many tasks as there are, whatever its size.
     """
     kind, width = np.dtype("<u2" if token_bytes == 2 else "<u4"), length + 1
+    files = list_files(spark, path, r".*\.ds").withColumn("stop", F.floor(F.col("length") / (width * token_bytes)))
+    if limit is not None:
+        files = files.withColumn("stop", F.least("stop", F.lit(skip + limit)))
+    first = F.explode(F.sequence(F.lit(skip).cast("bigint"), F.col("stop") - 1, F.lit(at_once).cast("bigint"))).alias("context")
+    ranges = files.where(F.col("stop") > skip).select("path", first, "stop").withColumn("offset", F.col("context") * width * token_bytes)
+    ranges = ranges.withColumn("size", F.least(F.lit(at_once), F.col("stop") - F.col("context")) * width * token_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.frombuffer(raw.as_buffer(), dtype=kind)
-                stop = len(data) // width if limit is None else min(len(data) // width, skip + limit)
-                for a in range(skip, stop, 1024):
-                    b = min(stop, a + 1024)
-                    flat = data[a * width : b * width].astype(np.int64)
-                    ids = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * width), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a)), pa.array(np.arange(a, b)), ids], names=["file", "context", "input_ids"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ds").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, context bigint, input_ids array<bigint>")
-
-
-def write_indexed(prefix: str, documents: list[np.ndarray], kind: str = "int32") -> None:
-    """Documents as prefix.bin and prefix.idx: magic, version, type, counts, sizes, byte pointers and document boundaries."""
-    code = {v: k for k, v in INDEX_TYPES.items()}[kind]
-    sizes = np.array([len(d) for d in documents], dtype=np.int32)
-    with open(prefix + ".bin", "wb") as f:
+            for name, context, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                flat = np.frombuffer(raw.as_buffer(), dtype=kind).astype(np.int64)
+                n = len(flat) // width
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(flat[: n * width]))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(context, context + n)), ids], names=["file", "context", "input_ids"])
+
+    return read_ranges(ranges.select("path", "context", "offset", "size")).select("path", "context", "data").mapInArrow(run, "file string, context bigint, input_ids array<bigint>")
+
+
+def read_token_folders(spark: SparkSession, folders: list[str], length: int, token_bytes: int = 2, most_tokens: int | None = None, skip_tokens: int = 0) -> DataFrame:
+    """(folder, context, file, file_context, input_ids): the contexts of each folder's files in order of their names, numbered through the folder.
+
+    skip_tokens and most_tokens leave out whole contexts at the start and beyond so many tokens of a folder, across its files. A folder without files fails.
+    """
+    out = []
+    for k, folder in enumerate(folders):
+        files = list_files(spark, folder, r".*\.ds").withColumn("contexts", F.floor(F.col("length") / ((length + 1) * token_bytes)))
+        w = W.orderBy("relative").rowsBetween(W.unboundedPreceding, -1)  # a row a file
+        sizes = files.select(F.col("path").alias("file"), F.coalesce(F.sum("contexts").over(w), F.lit(0)).alias("before"))
+        if not sizes.limit(1).count():
+            raise ValueError(f"{folder} has no token files")
+        rows = read_token_stream(spark, folder, length, token_bytes).join(F.broadcast(sizes), "file")
+        place = F.col("before") + F.col("context") - skip_tokens // (length + 1)
+        rows = rows.select(F.lit(k).alias("folder"), place.alias("context"), "file", F.col("context").alias("file_context"), "input_ids").where(F.col("context") >= 0)
+        out.append(rows if most_tokens is None else rows.where(F.col("context") < most_tokens // (length + 1)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def index_bytes(sizes: np.ndarray, kind: str) -> bytes:
+    """The index of documents of these sizes, one after the other: magic, version, type, counts, sizes, byte pointers and document boundaries."""
+    ends = np.cumsum(sizes.astype(np.int64))
+    pointers = (ends - sizes) * np.dtype(kind).itemsize
+    head = struct.pack("<QBQQ", INDEX_VERSION, {v: k for k, v in INDEX_TYPES.items()}[kind], len(sizes), len(sizes) + 1)
+    return INDEX_MAGIC + head + sizes.astype(np.int32).tobytes() + pointers.astype(np.int64).tobytes() + np.arange(len(sizes) + 1, dtype=np.int64).tobytes()
+
+
+def write_indexed(prefix: str, documents: Iterable[np.ndarray], kind: str = "int32") -> None:
+    """Documents, one after the other, as prefix.bin and prefix.idx; tables are written by sinks.writers.write_indexed_parts."""
+    sizes = []
+    system, at = filesystem(prefix)
+    with system.open_output_stream(at + ".bin") as f:
         for d in documents:
+            sizes.append(len(d))
             f.write(np.asarray(d, dtype=kind).tobytes())
-    pointers = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) * np.dtype(kind).itemsize)[:-1]]) if len(sizes) else np.zeros(0)
-    with open(prefix + ".idx", "wb") as f:
-        f.write(INDEX_MAGIC + struct.pack("<QBQQ", INDEX_VERSION, code, len(sizes), len(sizes) + 1))
-        f.write(sizes.tobytes() + pointers.astype(np.int64).tobytes() + np.arange(len(sizes) + 1, dtype=np.int64).tobytes())
+    with system.open_output_stream(at + ".idx") as f:
+        f.write(index_bytes(np.array(sizes, dtype=np.int32), kind))
 
 
 def read_index(prefix: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     """(type, sizes, pointers, document boundaries) of prefix.idx."""
-    with open(prefix + ".idx", "rb") as f:
+    system, at = filesystem(prefix + ".idx")
+    with system.open_input_stream(at) as f:
         raw = f.read()
     if raw[:9] != INDEX_MAGIC:
         raise ValueError("no indexed token file")
@@ -177,26 +206,27 @@ def read_index(prefix: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def read_indexed(spark: SparkSession, prefix: str, per_task: int = 10_000) -> DataFrame:
-    """(doc, ids) of an indexed token file on a shared file system; tasks seek to their own documents."""
-    _, sizes, _, _ = read_index(prefix)
+    """(doc, ids) of an indexed token file on any storage; the index is read once and dealt out, tasks read their own documents' ranges."""
+    kind, sizes, pointers, _ = read_index(prefix)
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, sizes, pointers, _ = read_index(prefix)
-        with open(prefix + ".bin", "rb") as f:
+        system, at = filesystem(prefix + ".bin")
+        with system.open_input_file(at) as f:
             for batch in batches:
-                out = []
-                for d in batch.column(0).to_pylist():
-                    f.seek(int(pointers[d]))
-                    out.append(np.frombuffer(f.read(int(sizes[d]) * np.dtype(kind).itemsize), dtype=kind).astype(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["doc", "ids"])
+                first, last = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                out = [np.frombuffer(f.read_at(int(n) * width, int(a)), dtype=kind).astype(np.int64) for a, n in zip(first, last)]
+                ends = np.concatenate([[0], np.cumsum(last)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64)))], names=["doc", "ids"])
 
-    return spark.range(0, len(sizes), 1, max(1, -(-len(sizes) // per_task))).withColumnRenamed("id", "doc").mapInArrow(run, "doc bigint, ids array<bigint>")
+    rows = spark.createDataFrame(pa.table({"doc": np.arange(len(sizes)), "pointer": pointers, "size": sizes.astype(np.int64)}))  # 24 bytes a document
+    return rows.repartitionByRange(max(1, -(-len(sizes) // per_task)), "doc").mapInArrow(run, "doc bigint, ids array<bigint>")
 
 
 def document_slice(prefix: str, doc: int, offset: int = 0, length: int | None = None) -> np.ndarray:
     """Tokens of one document, or a part of them, by seeking."""
     kind, sizes, pointers, _ = read_index(prefix)
-    n = int(sizes[doc]) - offset if length is None else length
-    with open(prefix + ".bin", "rb") as f:
-        f.seek(int(pointers[doc]) + offset * np.dtype(kind).itemsize)
-        return np.frombuffer(f.read(n * np.dtype(kind).itemsize), dtype=kind)
+    n, width = (int(sizes[doc]) - offset if length is None else length), np.dtype(kind).itemsize
+    system, at = filesystem(prefix + ".bin")
+    with system.open_input_file(at) as f:
+        return np.frombuffer(f.read_at(n * width, int(pointers[doc]) + offset * width), dtype=kind)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import packing as P
 from millrace.sinks import writers as K
 from millrace.sources import logs, readers, specs
 from millrace.streaming import routing as streams
@@ -146,3 +147,64 @@ def test_event_totals_count_late_rows(spark, tmp_path):
     query = streams.event_totals(stream).writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.events, r.value) for r in spark.table("totals").collect()) == [(1, 2.0), (1, 2.0), (2, 4.0)]
+
+
+def test_files_are_listed_and_streamed_by_ranges(spark, tmp_path):
+    from millrace.sources import files
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name, n in (("x.ds", 10), ("a/y.ds", 70), ("a/b/z.txt", 5), ("a/b/w.ds", 0)):
+        (tmp_path / name).write_bytes(bytes(range(n)))
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        assert sorted(r.relative for r in files.list_files(spark, root).collect()) == ["a/b/z.txt", "a/y.ds", "x.ds"]
+        found = files.list_files(spark, root, r"(a/)?[a-z]\.ds").collect()
+        assert sorted((r.relative, r.length) for r in found) == [("a/y.ds", 70), ("x.ds", 10)]
+        parts = {}
+        for r in sorted(files.stream_file(spark, root, r".*\.ds", chunk=16, offset=3).collect(), key=lambda r: (r.path, r.offset)):
+            assert len(r.data) == r.size <= 16
+            parts[r.path.rsplit("/", 1)[1]] = parts.get(r.path.rsplit("/", 1)[1], b"") + bytes(r.data)
+        assert parts == {"x.ds": bytes(range(3, 10)), "y.ds": bytes(range(3, 70))}
+        assert files.exists(f"{root.rstrip('/')}/x.ds") and not files.exists(f"{root.rstrip('/')}/no.ds")
+
+
+def test_token_folders_count_across_files(spark, tmp_path):
+    import numpy as np
+
+    for k in (0, 1):
+        (tmp_path / "f" / f"{k}.ds").parent.mkdir(exist_ok=True)
+        (tmp_path / "f" / f"{k}.ds").write_bytes(np.arange(100 * k, 100 * k + 11, dtype="<u2").tobytes())
+    rows = sorted(readers.read_token_folders(spark, [str(tmp_path / "f")], 3).collect(), key=lambda r: r.context)
+    assert [(r.context, r.file_context, r.input_ids[0]) for r in rows] == [(0, 0, 0), (1, 1, 4), (2, 0, 100), (3, 1, 104)]
+    some = readers.read_token_folders(spark, [str(tmp_path / "f")], 3, most_tokens=8, skip_tokens=4).collect()
+    assert sorted((r.context, r.input_ids[0]) for r in some) == [(0, 4), (1, 100)]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        readers.read_token_folders(spark, [str(tmp_path / "none")], 3)
+
+
+def test_indexed_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [i, i + 1][: i % 3]) for i in range(20)] + [(99, None)], "k bigint, ids array<int>")
+    report = K.write_indexed_parts(rows, str(tmp_path / "p"), "k", "ids", per_file=8).orderBy("part").collect()
+    back = [r.ids for p in report for r in readers.read_indexed(spark, f"{tmp_path}/p/part-{p.part:05d}").orderBy("doc").collect()]
+    assert back == [[i, i + 1][: i % 3] for i in range(20)] + [[]] and sum(r.documents for r in report) == 21 and len(report) == 3
+
+
+def test_token_rows(spark):
+    rows = spark.createDataFrame([(1, [5, 9, 6, 7, 9, 8], [1, 2]), (2, [9, 9], []), (3, [4], None), (4, [], [1]), (5, None, None)], "k int, ids array<int>, p array<int>")
+    got = {r.k: r for r in rows.select("k", F.inline(F.array(P.collated(F.col("ids"), 9)))).collect()}
+    assert got[1].position_ids == [0, 1, 0, 1, 2] and got[1].label_mask == [True, False, True, True, False] and got[1].label_ids == [9, 6, 7, 9, 8]
+    assert got[2].position_ids == [0] and got[2].label_mask == [False] and got[3].input_ids == [] and got[4].label_mask == [] and got[5].input_ids == []
+    sft = {r.k: r for r in rows.select("k", F.inline(F.array(P.supervised_rows(F.col("p"), F.col("ids"), 4, 9, 0)))).collect()}
+    assert sft[1].input_ids == [1, 2, 5, 9, 6] and sft[1].label_mask == [False, False, True, True, True] and sft[1].position_ids == [0, 1, 2, 3, 4]
+    assert sft[3].input_ids == [4, 9, 0, 0, 0] and sft[3].position_ids == [0, 1, -1, -1, -1] and sft[3].attention_mask == [True, True, False, False, False]
+    assert sft[4].label_mask == [False, True, False, False, False] and sft[5].label_mask == [True, False, False, False, False]
+    padded = {r.k: r for r in P.padded_rows(rows.withColumn("b", F.lit(0)), ["b"], "ids", 0).collect()}
+    assert padded[3].ids == [4, 0, 0, 0, 0, 0] and padded[3].attention_mask == [True] + [False] * 5 and padded[5].ids == [0] * 6
+    x = F.array(*map(F.lit, range(10)))
+    assert sum((rows.limit(1).select(P.context_slice(x, r, 4).alias("s")).first().s for r in range(4)), []) == list(range(10))
+    assert P.one_tokenizer(rows.withColumn("b", F.col("k")), ["b"], "k").count() == 5
+    with pytest.raises(Exception, match="mixes"):
+        P.one_tokenizer(rows.withColumn("b", F.lit(0)), ["b"], "k").collect()
+    ids = F.col("ids")
+    e = rows.where("k = 2").select(P.encoded_document(ids, 1, 2).alias("a"), P.encoded_document(ids, 1).alias("b"), P.encoded_document(ids).alias("c")).first()
+    assert (e.a, e.b, e.c) == ([2, 9, 9, 2], [1, 9, 9], [9, 9])
