@@ -133,16 +133,14 @@ def trailing_mean(value: Column, order: str, width: int, by: list[str] = []) ->
 
 
 def human_format(x: Column) -> Column:
-    """Three significant digits with K, M, B, T, P or E; numbers below 1 as they are, to three digits."""
-    a = F.abs(x.cast("double"))
-    out = F.lit(None).cast("string")
-    for power, unit in ((18, "E"), (15, "P"), (12, "T"), (9, "B"), (6, "M"), (3, "K"), (0, "")):
-        v = x.cast("double") / 10.0**power
-        w = F.abs(v)
-        text = F.when(w >= 99.95, F.format_string("%.0f", v)).when(w >= 9.995, F.format_string("%.1f", v)).otherwise(F.format_string("%.2f", v))
-        text = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-        out = F.coalesce(out, F.when(a >= 10.0**power, F.concat(text, F.lit(unit))))
-    return F.coalesce(out, F.when(x == 0, "0").otherwise(F.round(x.cast("double"), 3).cast("string")))
+    """Three significant digits, rounded half to even, with K, M, B, T, P or E for thousands; numbers below 1 have no unit."""
+    v = x.cast("double")
+    most = F.when(F.abs(v) > 0, F.floor(F.log10(F.abs(v)) + 1e-12)).otherwise(0)  # of the leading digit
+    digits = F.bround(F.when(most >= 2, v / F.pow(F.lit(10.0), most - 2)).otherwise(v * F.pow(F.lit(10.0), 2 - most)))
+    value = F.when(most >= 2, digits * F.pow(F.lit(10.0), most - 2)).otherwise(digits / F.pow(F.lit(10.0), 2 - most))
+    unit = F.least(F.greatest(F.floor(F.log10(F.greatest(F.abs(value), F.lit(1.0))) / 3 + 1e-12), F.lit(0)), F.lit(6)).cast("int")
+    text = F.format_string("%.9f", value / F.pow(F.lit(1000.0), unit))
+    return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.get(F.array(*map(F.lit, ["", "K", "M", "B", "T", "P", "E"])), unit))
 
 
 def format_percent(x: Column) -> Column:
@@ -184,6 +182,18 @@ def parameter_estimate(layers: Column, hidden: Column, vocabulary: Column, inter
     return vocabulary * hidden * (1 if tied else 2) + layers * (4 * hidden * hidden + 3 * hidden * intermediate + 2 * hidden) + hidden
 
 
+def flops_estimate(layers: Column, hidden: Column, heads: Column, kv_heads: Column, vocabulary: Column, length: Column, intermediate: Column, batch: int = 1) -> Column:
+    """Floating-point operations of a training step of a decoder: two for each multiply-add, the backward pass twice the forward one.
+
+    A layer projects to queries, keys and values, compares and mixes every two positions, projects back, and has a gated feed-forward; the
+    vocabulary's projection comes once. Null kv_heads are as many as heads.
+    """
+    wide = heads * F.floor(hidden / heads)
+    projections = hidden * (2 * wide + 2 * F.coalesce(kv_heads, heads) * F.floor(hidden / heads))
+    layer = projections + 2 * length * wide + 3 * hidden * intermediate
+    return 3 * 2 * batch * length * (layers * layer + hidden * vocabulary)
+
+
 def prefix_averages(df: DataFrame, name: str, value: str, prefixes: list[str]) -> DataFrame:
     """(prefix, average) of the values whose name contains 'prefix:'; 0 without any."""
     wanted = df.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")

@@ -101,6 +101,37 @@ def batch_place(index: Column, micro: int, ranks: int) -> tuple[Column, Column,
     return F.floor(index / whole), F.floor(F.pmod(index, F.lit(whole)) / micro).cast("int"), F.pmod(index, F.lit(micro)).cast("int")
 
 
+def micro_place(index: Column, micro: int, ranks: int) -> tuple[Column, Column, Column]:
+    """(micro batch, rank, turn) of an index: micro batches are cut in turn and go to the ranks in turn."""
+    batch = F.floor(index / micro)
+    return batch, F.pmod(batch, F.lit(ranks)).cast("int"), F.floor(batch / ranks)
+
+
+def bucket_sampler(items: DataFrame, key: str, order: str, micro: int, ranks: int, consumed: int = 0, seed: int | None = None) -> DataFrame:
+    """(key, rank, epoch, place, batch): what each rank still reads in the epoch that `consumed` samples, read by all ranks, lead into.
+
+    Each rank owns a contiguous bucket of the items in order, as many whole micro batches as all ranks can have; the rest is left out. It reads
+    its bucket in order, or, with a seed, in the order of a digest of seed, epoch and key. consumed must be whole micro batches of all ranks.
+    Items are numbered by ranges, so no task has all of them; null orders come first.
+    """
+    from millrace.operators.hotkeys import ranked
+
+    total = items.count()
+    bucket, active = total // (micro * ranks) * micro, total // (micro * ranks) * micro * ranks
+    if not active:
+        raise ValueError("there must be a micro batch for each rank")
+    epoch, done = consumed // active, consumed % active
+    if done % (micro * ranks):
+        raise ValueError("consumed samples must be whole micro batches of all ranks")
+    rows = ranked(items.select(key, *({order} - {key}), F.lit(0).alias("_all")), "_all", [order, *({key} - {order})]).withColumn("_at", F.col("position") - 1)
+    rows = rows.where(F.col("_at") < active).withColumn("rank", F.floor(F.col("_at") / bucket).cast("int")).withColumn("place", F.pmod("_at", F.lit(bucket)))
+    if seed is not None:
+        turn = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")), 256)
+        rows = ranked(rows.select(key, "rank", turn.alias("_turn")), "rank", ["_turn", key]).withColumn("place", F.col("position") - 1)
+    left = rows.where(F.col("place") >= done // ranks)
+    return left.select(key, "rank", F.lit(epoch).cast("bigint").alias("epoch"), F.col("place").cast("bigint").alias("place"), F.floor(F.col("place") / micro).alias("batch"))
+
+
 def cyclic_place(index: Column, total: int, rank: int, ranks: int, micro: int) -> tuple[Column, Column]:
     """(epoch, sample) of a rank's index-th row when each rank owns a contiguous bucket and starts over at its end."""
     bucket = total // (micro * ranks) * micro
@@ -109,6 +140,31 @@ def cyclic_place(index: Column, total: int, rank: int, ranks: int, micro: int) -
     return F.floor(index / bucket), F.pmod(index, F.lit(bucket)) + rank * bucket
 
 
+def domain_samples(items: DataFrame, key: str, domain: str, weights: dict[str, float], batch: int, micro: int, ranks: int, seed: int) -> DataFrame:
+    """(key, domain, step, rank, microbatch, place): batches in which each domain has its part, as domain_batch gives it.
+
+    A domain's items are read on in the order of a digest of seed and key; a batch has its domains one after the other, in order of name, and is cut into
+    the ranks' parts and their micro batches. Batches end with the first that a domain has too few items for. weights has a row a domain;
+    items of other domains aren't read.
+    """
+    from millrace.operators.hotkeys import ranked
+
+    if batch % (micro * ranks):
+        raise ValueError("a batch must be whole micro batches of all ranks")
+    names = sorted(d for d, w in weights.items() if w > 0)
+    counts = domain_batch([weights[d] for d in names], batch)
+    spark = items.sparkSession
+    sizes = spark.createDataFrame([(d, n, sum(counts[:k])) for k, (d, n) in enumerate(zip(names, counts))], "_d string, _size int, _first int")
+    rows = items.select(key, domain, F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256).alias("_turn")).join(F.broadcast(sizes), F.col(domain) == F.col("_d"))
+    rows = ranked(rows, domain, ["_turn", key]).withColumn("_at", F.col("position") - 1)
+    full = rows.groupBy(domain).agg(F.floor(F.max("key_rows") / F.max("_size")).alias("n"))  # a row a domain
+    steps = full.agg(F.when(F.count("*") == len(names), F.min("n")).otherwise(0).alias("_steps"))  # one row
+    place = F.col("_first") + F.pmod("_at", F.col("_size"))
+    rows = rows.withColumn("step", F.floor(F.col("_at") / F.col("_size"))).join(F.broadcast(steps)).where(F.col("step") < F.col("_steps")).withColumn("place", place.cast("int"))
+    own = batch // ranks
+    return rows.select(key, domain, "step", F.floor(F.col("place") / own).cast("int").alias("rank"), F.floor(F.pmod("place", F.lit(own)) / micro).cast("int").alias("microbatch"), "place")
+
+
 def domain_batch(weights: list[float], batch: int) -> list[int]:
     """Samples of each domain in a batch: round half to even, at least 1, then one more for the largest shortfalls or one less for the largest surplus
     until exact; ties to the lowest domain."""

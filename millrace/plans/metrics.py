@@ -147,6 +147,13 @@ def worker_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return grid.withColumn("seed", M.worker_seed(F.col("worker"), F.col("rank")))
 
 
+@query("SELECT id, CAST(6 * 4096 * (12 * (256 * (2 * 256 + 2 * 2 * 32) + 2 * 4096 * 256 + 3 * 256 * 704) + 256 * CAST(vocab_size AS BIGINT)) AS BIGINT) AS flops FROM registry")
+def flop_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Operations of a training step on one sequence, for each tokenizer's vocabulary."""
+    n = lambda x: F.lit(x).cast("bigint")
+    return table(spark, folder, "registry").select("id", M.flops_estimate(n(12), n(256), n(8), n(2), F.col("vocab_size").cast("bigint"), n(4096), n(704)).alias("flops"))
+
+
 _TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 

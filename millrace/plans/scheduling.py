@@ -121,9 +121,11 @@ def deficit_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return S.deficit_schedule(spark, 300, S.DeficitSchedule([0.7, 0.2, 0.1], 11))
 
 
-@query("SELECT i AS step, CAST((i + 11) % 3 AS INTEGER) AS tokenizer_id FROM (SELECT unnest(range(0, 300)) AS i)")
+@query("SELECT DISTINCT start_training_step AS step, CAST((start_training_step + 11) % (SELECT count(*) FROM registry) AS INTEGER) AS tokenizer_id FROM data_stages WHERE start_training_step IS NOT NULL")
 def round_robin_schedule(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.range(300).select(F.col("id").alias("step"), S.round_robin(F.col("id"), 3, 11).alias("tokenizer_id"))
+    """The tokenizer in turn at the first step of every stage."""
+    steps = table(spark, folder, "data_stages").where("start_training_step IS NOT NULL").select(F.col("start_training_step").alias("step")).distinct()
+    return steps.withColumn("tokenizer_id", S.round_robin(F.col("step"), table(spark, folder, "registry").count(), 11))
 
 
 @query(f"""WITH s AS ({_DEFICIT}), z AS (SELECT tokenizer_id, count(DISTINCT route_id) AS rows FROM routed_documents WHERE tokenizer_id < 3 GROUP BY 1), u AS (SELECT step, tokenizer_id, row_number() OVER (PARTITION BY tokenizer_id ORDER BY step) - 1 AS turn FROM s)
@@ -146,21 +148,51 @@ def batch_sampler(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", a.alias("batch"), b.alias("rank"), c.alias("place"))
 
 
-@query("SELECT i, i // 248 AS epoch, i % 248 + 2 * 248 AS sample FROM (SELECT unnest(range(0, 1000)) AS i)")
+def _sql_sampler(order: str, rank: str) -> str:
+    return f"""WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, (SELECT count(*) FROM documents) // 12 * 3 AS bucket FROM documents),
+    r AS (SELECT doc_id, pos, bucket, CAST(pos // bucket AS INTEGER) AS rank FROM i WHERE pos < bucket * 4), p AS (SELECT doc_id, rank, row_number() OVER (PARTITION BY rank ORDER BY {order}) - 1 AS place FROM r)
+    SELECT doc_id, rank, CAST(0 AS BIGINT) AS epoch, place, place // 3 AS batch FROM p WHERE place >= 15 {rank}"""
+
+
+@query(_sql_sampler("pos", ""))
 def cyclic_sampler(spark: SparkSession, folder: str) -> DataFrame:
-    e, s = S.cyclic_place(F.col("id"), 1000, 2, 4, 8)
-    return spark.range(1000).select(F.col("id").alias("i"), e.alias("epoch"), s.alias("sample"))
+    """What four ranks still read of all documents in order, micro batches of 3, after 60 samples."""
+    return S.bucket_sampler(table(spark, folder, "documents"), "doc_id", "doc_id", 3, 4, 60)
+
+
+@query(_sql_sampler("sha256('5:0:' || doc_id), doc_id", ""))
+def resumed_sampler(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in an order of the epoch's own."""
+    return S.bucket_sampler(table(spark, folder, "documents"), "doc_id", "doc_id", 3, 4, 60, 5)
 
 
-@query("SELECT i, CAST(i % 4 AS INTEGER) AS rank, i // 4 AS micro FROM (SELECT unnest(range(0, 64)) AS i)")
+@query("SELECT doc_id, pos // 8 AS micro_batch, CAST(pos // 8 % 4 AS INTEGER) AS rank, pos // 32 AS turn FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)")
 def micro_batches(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.range(64).select(F.col("id").alias("i"), F.pmod("id", F.lit(4)).cast("int").alias("rank"), F.floor(F.col("id") / 4).alias("micro"))
+    """All documents in micro batches of 8, which go to four ranks in turn."""
+    rows = ranked(table(spark, folder, "documents").select("doc_id").withColumn("all", F.lit(0)), "all", ["doc_id"])
+    batch, rank, turn = S.micro_place(F.col("position") - 1, 8, 4)
+    return rows.select("doc_id", batch.alias("micro_batch"), rank.alias("rank"), turn.alias("turn"))
 
 
-@query("SELECT CAST(d AS INTEGER) AS domain, CAST([13, 6, 6, 7][d + 1] AS BIGINT) AS samples, CAST([0, 13, 19, 25][d + 1] AS BIGINT) AS first FROM (SELECT unnest(range(0, 4)) AS d)")
+@query("""WITH w AS (SELECT source, target_weight / sum(target_weight) OVER () * 64 AS x FROM mixture_targets WHERE target_weight > 0 AND source IN (SELECT source FROM documents)),
+    r AS (SELECT source, x, greatest(round_even(x, 0), 1) AS s FROM w),
+    a AS (SELECT source, s, 64 - sum(s) OVER () AS d, row_number() OVER (ORDER BY x - s DESC, source) AS up, row_number() OVER (ORDER BY CASE WHEN s > 1 THEN s - x ELSE -99 END DESC, source) AS down FROM r),
+    z AS (SELECT source, CAST(s + CASE WHEN d > 0 AND up <= d THEN 1 WHEN d < 0 AND down <= -d THEN -1 ELSE 0 END AS BIGINT) AS size FROM a), f AS (SELECT source, size, CAST(sum(size) OVER (ORDER BY source) - size AS BIGINT) AS first FROM z),
+    i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('9:' || doc_id), doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL),
+    p AS (SELECT doc_id, i.source, pos // size AS step, CAST(first + pos % size AS INTEGER) AS place FROM i JOIN f ON i.source = f.source WHERE pos // size < (SELECT min(n // size) FROM i JOIN f ON i.source = f.source))
+    SELECT doc_id, source, step, CAST(place // 32 AS INTEGER) AS rank, CAST(place % 32 // 8 AS INTEGER) AS microbatch, place FROM p""")
 def domain_batches(spark: SparkSession, folder: str) -> DataFrame:
-    counts = S.domain_batch([0.4, 0.18, 0.19, 0.23], 32)
-    return spark.createDataFrame([(d, n, sum(counts[:d])) for d, n in enumerate(counts)], "domain int, samples bigint, first bigint")
+    """Batches of 64 documents with the sources' target weights, for two ranks in micro batches of 8, until a source runs out."""
+    docs = table(spark, folder, "documents").where("source IS NOT NULL").select("doc_id", "source")
+    targets = table(spark, folder, "mixture_targets").where("target_weight > 0").join(docs.select("source").distinct(), "source", "left_semi")
+    weights = {r.source: r.target_weight for r in targets.select("source", "target_weight").orderBy("source").collect()}  # a row a source
+    return S.domain_samples(docs, "doc_id", "source", weights, 64, 8, 2, 9)
+
+
+@query("SELECT row_number() OVER (ORDER BY e = 2, sha256('4:' || (e = 2)::INT || ':' || e || ':' || doc_id), doc_id) - 1 AS position, doc_id FROM documents, (SELECT unnest([0, 1, 2]) AS e)")
+def document_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of three epochs, of which the last is used for less than 80 % and so shuffled on its own."""
+    return B.document_index(table(spark, folder, "documents"), "doc_id", 3, B.last_epoch_separate(1000, 2300), 4)
 
 
 @query("""SELECT i AS step, round(CASE WHEN i <= 100 THEN i / 100.0 WHEN i <= 300 THEN 1.0 WHEN i < 900 THEN 0.1 + 0.9 * (1 + cos((i - 300) / 600.0 * pi())) / 2 ELSE 0.1 END, 9) AS cosine,

@@ -94,11 +94,15 @@ def batch_hash(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("run_name", F.expr("doc_id div 64").alias("batch")).agg(F.sha2(F.concat(F.lit("["), joined, F.lit("]")), 256).alias("digest"))
 
 
-@query("""SELECT n, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 1000000 THEN rtrim(rtrim(printf(CASE WHEN n / 1000 >= 99.95 THEN '%.0f' WHEN n / 1000 >= 9.995 THEN '%.1f' ELSE '%.2f' END, n / 1000) || '', ''), '') ELSE printf('%.2f', n / 1000000) END
-    || CASE WHEN n < 1000 THEN '' WHEN n < 1000000 THEN 'K' ELSE 'M' END AS text FROM (SELECT unnest([1, 12, 123, 1234, 12345, 123456, 1234567]) AS n)""")
+@query("""WITH n AS (SELECT DISTINCT n FROM (SELECT raw_bytes AS n FROM routed_documents UNION ALL SELECT CAST(sum(raw_bytes) AS BIGINT) FROM routed_documents GROUP BY tokenizer_id) WHERE n IS NOT NULL),
+    d AS (SELECT n, length(abs(n)::VARCHAR) - 1 AS most FROM n), v AS (SELECT n, CASE WHEN most >= 2 THEN round_even(n / 10.0 ** (most - 2), 0) * 10.0 ** (most - 2) ELSE n END AS v FROM d),
+    u AS (SELECT n, v, CAST((length(CAST(abs(v) AS BIGINT)::VARCHAR) - 1) // 3 AS INTEGER) AS u FROM v)
+    SELECT n, regexp_replace(printf('%.9f', v / 1000.0 ** u), '\\.?0+$', '') || ['', 'K', 'M', 'B', 'T', 'P', 'E'][u + 1] AS text FROM u""")
 def human_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in (1, 12, 123, 1234, 12345, 123456, 1234567)], "n int")
-    return rows.withColumn("text", M.human_format(F.col("n")))
+    """Every number of bytes of a route and of a tokenizer, as it is logged."""
+    rows = table(spark, folder, "routed_documents")
+    sums = rows.groupBy("tokenizer_id").agg(F.sum("raw_bytes").alias("n")).select("n")
+    return rows.select(F.col("raw_bytes").alias("n")).unionByName(sums).where("n IS NOT NULL").distinct().withColumn("text", M.human_format(F.col("n")))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS x FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda s: length(s)) AS w FROM documents WHERE text IS NOT NULL)),

@@ -208,3 +208,24 @@ def test_token_rows(spark):
     ids = F.col("ids")
     e = rows.where("k = 2").select(P.encoded_document(ids, 1, 2).alias("a"), P.encoded_document(ids, 1).alias("b"), P.encoded_document(ids).alias("c")).first()
     assert (e.a, e.b, e.c) == ([2, 9, 9, 2], [1, 9, 9], [9, 9])
+
+
+def test_runs_are_written_and_read_back(spark, tmp_path):
+    from millrace.functions.tokenizers import fit_bpe
+    from millrace.sources import runs
+
+    docs = spark.createDataFrame([(0, "a b", "x", 3, 2, 1, [5, 4], [0.0, 1.0]), (1, "c", "y", 1, 1, 0, [1, 2], [1.0, 0.0])], "doc_id bigint, text string, source string, raw_bytes bigint, budget_tokens bigint, expert_id int, costs array<bigint>, weights array<double>")
+    experts = [fit_bpe(["a b"], 300), fit_bpe(["c"], 300)]
+    for folder in (str(tmp_path / "r"), f"file://{tmp_path}/s"):
+        out = runs.write_run(folder, docs, experts, {"objective": 7.0})
+        assert out["sample_documents"] == 2 and out["experts"][1]["expert_tokens"] == 4 and json.loads((tmp_path / folder[-1] / "summary.json").read_text())["objective"] == 7.0
+        sample = runs.read_sample(spark, folder)
+        assert {r.doc_id: r.text for r in sample.collect()} == {0: "a b", 1: "c"} and runs.read_experts(folder) == experts
+        assert {r.doc_id: r.expert_id for r in runs.read_labels(spark, folder, sample).collect()} == {0: 1, 1: 0}
+        with pytest.raises(ValueError, match="missing.*[[]5[]]"):
+            runs.read_labels(spark, folder, sample.unionByName(spark.createDataFrame([(5, "", 0, 0)], sample.schema)))
+        with pytest.raises(ValueError, match="unexpected.*[[]1[]]"):
+            runs.read_labels(spark, folder, sample.where("doc_id = 0"))
+    for read in (lambda: runs.read_sample(spark, str(tmp_path)), lambda: runs.read_labels(spark, str(tmp_path), sample), lambda: runs.read_experts(str(tmp_path))):
+        with pytest.raises(FileNotFoundError):
+            read()
