@@ -150,6 +150,16 @@ def _sets(rows: str, width: int, least: int) -> str:
     return f"SELECT DISTINCT id, {run} AS s FROM (SELECT id, w, unnest(range(1, len(w) - {width - 2})) AS i FROM ({_words(rows)}) WHERE len(w) >= {least})"
 
 
+def _ordered(rows: str, width: int, least: int) -> str:
+    """(id, i, s): each row's runs of words in order."""
+    return _sets(rows, width, least).replace("SELECT DISTINCT id,", "SELECT id, i,", 1)
+
+
+_CROSS = f"""e AS ({_sets(f'SELECT doc_id AS id, text FROM ({_E})', 3, 30)}), t AS ({_sets("SELECT ord AS id, any_value(text) AS text FROM curated WHERE partition = 'train' GROUP BY ord", 3, 30)}),
+        en AS (SELECT id, count(*) AS n FROM e GROUP BY id), tn AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+        p AS (SELECT e.id AS x, t.id AS y, count(*) AS c FROM e JOIN t ON e.s = t.s GROUP BY 1, 2),
+        g AS (SELECT x, y, c = en.n + tn.n - c AS equal FROM p JOIN en ON en.id = x JOIN tn ON tn.id = y WHERE c * 5 >= (en.n + tn.n - c) * 3)"""
+
 SQL = {
     "p3_found": f"""WITH s AS ({_SLICES}) SELECT b.source, b.lang, b.domain FROM slice_budgets b LEFT JOIN s ON b.source = s.source AND b.lang = s.lang AND b.domain = s.domain
         WHERE coalesce(s.tokens, 0) * 1000000 < b.requested_ppm * (SELECT sum(tokens) FROM s)""",
@@ -162,10 +172,13 @@ SQL = {
     "p5_found": f"""WITH s AS ({_sets(f'SELECT doc_id AS id, text FROM ({_E})', 3, 30)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
         SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE c * 5 >= (a.n + b.n - c) * 3""",
-    "p6_found": f"""WITH e AS ({_sets(f'SELECT doc_id AS id, text FROM ({_E})', 3, 30)}), t AS ({_sets("SELECT ord AS id, any_value(text) AS text FROM curated WHERE partition = 'train' GROUP BY ord", 3, 30)}),
-        en AS (SELECT id, count(*) AS n FROM e GROUP BY id), tn AS (SELECT id, count(*) AS n FROM t GROUP BY id),
-        p AS (SELECT e.id AS x, t.id AS y, count(*) AS c FROM e JOIN t ON e.s = t.s GROUP BY 1, 2)
-        SELECT x AS doc_id, y AS train_ord FROM p JOIN en ON en.id = x JOIN tn ON tn.id = y WHERE c * 5 >= (en.n + tn.n - c) * 3""",
+    "p6_found": f"WITH {_CROSS} SELECT x AS doc_id, y AS train_ord FROM g",
+    "p6_report": f"""WITH {_CROSS}, w AS ({_ordered("SELECT ord AS id, any_value(text) AS text FROM curated WHERE partition = 'train' GROUP BY ord", 3, 30)}),
+        h AS (SELECT g.x, g.y, w.i - row_number() OVER (PARTITION BY g.x, g.y ORDER BY w.i) AS island FROM g JOIN w ON w.id = g.y JOIN e ON e.id = g.x AND e.s = w.s),
+        l AS (SELECT x, y, max(n) + 2 AS longest FROM (SELECT x, y, island, count(*) AS n FROM h GROUP BY ALL) GROUP BY 1, 2),
+        d AS (SELECT g.x, count(*) AS links, max(equal::INT) AS equal, max(longest) AS longest FROM g JOIN l ON g.x = l.x AND g.y = l.y GROUP BY 1)
+        SELECT split, source, count(*) AS records, count(links) AS overlapping, CAST(coalesce(sum(equal), 0) AS BIGINT) AS equal, CAST(coalesce(sum(links), 0) AS BIGINT) AS links, coalesce(max(longest), 0) AS longest_run
+        FROM ({_E}) o LEFT JOIN d ON d.x = o.doc_id WHERE o.doc_id IS NOT NULL GROUP BY 1, 2""",
     "p5_groups": f"""WITH RECURSIVE e AS (SELECT doc_id AS id, md5(text) AS h, text FROM ({_E}) WHERE text IS NOT NULL AND doc_id IS NOT NULL), t AS (SELECT min(id) AS id, any_value(text) AS text, h, count(*) AS copies FROM e GROUP BY h),
         s AS ({_sets('SELECT id, text FROM t', 5, 5)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
