@@ -152,7 +152,7 @@ def match_texts(index: WordIndex, places: np.ndarray, batch: Batch) -> dict[str,
     # occurrences of every such window, by backward search
     words = symbol[batch.windows]
     known = np.flatnonzero(here & (words > 0).all(axis=1))
-    known = known[np.argsort(words[known, -1] << 32 | words[known, -2])]  # neighbours read the same parts of the index
+    known = known[np.lexsort([words[known, k] for k in range(width)])]  # the last word first: neighbours share steps and parts of the index
     low, high = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
     if len(known):
         low[known], high[known] = index.windows(words[known])
@@ -251,7 +251,9 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
     spark = evaluation.sparkSession
     texts, members = text_classes(evaluation, eval_key, text)
     path = stored_path(spark, "index")
-    build_indexes(texts, width, least_words, shard_bytes, path)
+    size = evaluation.agg(F.coalesce(F.sum(F.octet_length(evaluation[text].cast("string"))), F.lit(0))).first()[0]  # copies too, so a shard may hold less
+    # few large shards cost less to search than many small ones; where partitions are larger, tasks part them
+    build_indexes(texts.coalesce(max(1, -(-int(size) // shard_bytes))), width, least_words, 2 * shard_bytes, path)
     built = spark.read.schema(artefacts.PIECE).parquet(path)
     heads = built.where("at = 0 AND array IN ('places', 'size')").groupBy("shard").agg(F.max(F.when(F.col("array") == "places", F.col("length"))).alias("places"), F.max(F.when(F.col("array") == "size", F.conv(F.hex(F.reverse(F.col("raw"))), 16, 10).cast("bigint"))).alias("words"))
     shards = sorted(((r.shard, r.words, r.places) for r in heads.collect()), key=lambda x: (-x[1], x[0]))  # a row for shard_bytes of text

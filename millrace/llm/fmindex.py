@@ -175,13 +175,23 @@ class WordIndex:
         return self._down(symbol, low) + shift, self._down(symbol, high) + shift
 
     def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of each pattern, a line of symbols; an empty range if it occurs nowhere."""
-        low, high = self.start(words[:, -1])
-        for k in range(words.shape[1] - 2, -1, -1):
-            go = np.flatnonzero(low < high)
-            a, b = self.extend(words[go, k], low[go], high[go])
-            low[go], high[go] = a, b
-        return low, high
+        """Rows of each pattern, a line of symbols; an empty range if it occurs nowhere. Lines should be sorted from their end: patterns with the same
+        last words share the steps up to them."""
+        at = np.zeros(len(words), dtype=np.int64)
+        low, high = (x[:1] for x in (np.zeros(1, dtype=np.int64), np.full(1, len(self.first) and self.first[-1])))
+        for k in range(words.shape[1] - 1, -1, -1):
+            new = np.ones(len(words), dtype=bool)
+            new[1:] = (at[1:] != at[:-1]) | (words[1:, k] != words[:-1, k])
+            heads = np.flatnonzero(new)
+            symbol, low, high = words[heads, k], low[at[heads]], high[at[heads]]
+            if k == words.shape[1] - 1:
+                low, high = self.start(symbol)
+            else:
+                go = np.flatnonzero(low < high)
+                low, high = low.copy(), high.copy()
+                low[go], high[go] = self.extend(symbol[go], low[go], high[go])
+            at = np.cumsum(new) - 1
+        return low[at], high[at]
 
     def texts_at(self, rows: np.ndarray) -> np.ndarray:
         """The text of each row's suffix: of the nearest sampled position before it, found by walking back in lockstep."""
