@@ -367,3 +367,52 @@ def test_nucleus_and_draws(spark):
     many = spark.range(4000).select(F.col("id").alias("g"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in ((0, 0.7), (1, 0.3), (2, 0.0))])).alias("s")).select("g", "s.*")
     share = I.drawn(many, "g", "i", "p").groupBy("i").count().collect()
     assert {r.i for r in share} == {0, 1} and abs(next(r["count"] for r in share if r.i == 0) / 4000 - 0.7) < 0.04
+
+
+def test_samplers_refuse_and_resume(spark):
+    items = spark.range(50).select(F.col("id").alias("k"))
+    all_ = S.bucket_sampler(items, "k", "k", 3, 4)
+    assert {(r.k, r.rank, r.place) for r in all_.collect()} == {(12 * r + p, r, p) for r in range(4) for p in range(12)}
+    left = S.bucket_sampler(items, "k", "k", 3, 4, 48 + 24, 1).collect()
+    assert {r.epoch for r in left} == {1} and len(left) == 24 and {r.place for r in left} == set(range(6, 12)) and {r.batch for r in left} == {2, 3}
+    for bad in (lambda: S.bucket_sampler(items, "k", "k", 3, 4, 5), lambda: S.bucket_sampler(items.limit(5), "k", "k", 3, 4)):
+        with pytest.raises(ValueError):
+            bad()
+    rows = items.withColumn("d", F.when(F.col("k") < 30, "a").when(F.col("k") < 45, "b"))
+    got = S.domain_samples(rows, "k", "d", {"a": 0.7, "b": 0.3, "none": 0.0}, 8, 2, 2, 1).collect()
+    assert len(got) == 40 and {(r.d, r.step): 0 for r in got}.keys() == {(d, t) for d in "ab" for t in range(5)} and sorted(r.place for r in got if r.step == 0) == list(range(8))
+    assert all(r.rank == r.place // 4 and r.microbatch == r.place % 4 // 2 for r in got)
+    assert S.domain_samples(rows, "k", "d", {"a": 0.5, "gone": 0.5}, 8, 2, 2, 1).count() == 0
+    with pytest.raises(ValueError):
+        S.domain_samples(rows, "k", "d", {"a": 1.0}, 9, 2, 2, 1)
+
+
+def test_document_index_shuffles_the_last_epoch_alone(spark):
+    items = spark.range(20).select(F.col("id").alias("k"))
+    order = [r.k for r in B.document_index(items, "k", 3, True, 1).orderBy("position").collect()]
+    assert sorted(order[:40]) == sorted(list(range(20)) * 2) and sorted(order[40:]) == list(range(20)) and sorted(order[:20]) != list(range(20))
+    assert B.document_index(items.limit(0), "k", 2, True, 1).count() == 0
+
+
+def test_whole_repeats_keep_the_total(spark):
+    rng = random.Random(2)
+    data = [(g, i, rng.random() if g else 0.0) for g in (0, 1, 2) for i in range(60)] + [(1, 99, None)]
+    rows = frame(spark, data, "g int, k int, w double")
+    out = D.integer_repeats(rows, "g", "k", "w", 2.0, 7)
+    got = out.collect()
+    assert len(got) == len(data)
+    for g in (0, 1, 2):
+        x = [2 * (r.w or 0) for r in got if r.g == g]
+        assert sum(r.repeats for r in got if r.g == g) == round(sum(round(v, 9) for v in x))
+        assert all(math.floor(v) <= r.repeats <= math.floor(v) + 1 for v, r in zip(x, [r for r in got if r.g == g]))
+    texts = D.weighted_rows(out, "g", "k", "w", "repeats").collect()
+    assert [(r.k, r.copy) for r in texts if r.g == 0] == [(0, 1)] and sum(r.g == 1 for r in texts) == sum(r.repeats for r in got if r.g == 1)
+
+
+def test_number_format_and_operations(spark):
+    cases = {0.5: "0.5", 0.001234: "0.00123", 999.0: "999", 999.6: "1K", 1234.0: "1.23K", 12350.0: "12.4K", 12450.0: "12.4K", -25_600_000.0: "-25.6M", 0.0: "0", 9.995e11: "1T"}
+    got = {r.x: r.h for r in frame(spark, [(x,) for x in cases], "x double").select("x", M.human_format(F.col("x")).alias("h")).collect()}
+    assert got == cases
+    n = lambda x: F.lit(x).cast("bigint")
+    a, b = spark.range(1).select(M.flops_estimate(n(1), n(4), n(2), n(None), n(10), n(3), n(5)), M.flops_estimate(n(1), n(4), n(2), n(2), n(10), n(3), n(5))).first()
+    assert a == b == 3 * (2 * 3 * 4 * 4 + 2 * 3 * 4 * 2 * 4 + 2 * 2 * 2 * 3 * 2 * 3 + 2 * 3 * 4 * 4 + 4 * 3 * 4 * 5 + 2 * 3 * 5 * 4 + 2 * 3 * 4 * 10)
