@@ -31,7 +31,7 @@ from millrace.session import spread, stored, stored_path
 EXTRA = 10  # a text has one window in so many located beyond those that every partner must share one of
 _OCCURRENCES = 1_000_000  # located at once
 SHARD_BYTES = 16 << 20  # text in one index; an index takes about 1.3 bytes a byte of text in memory
-TASK_WORDS = 16 << 20  # words of the indices that one task searches and holds
+TASK_BYTES = 32 << 20  # of packed words, of the indices that one task searches and holds; about a third of their size
 
 
 def text_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,7 @@ def build_indexes(texts: DataFrame, width: int, least_words: int, shard_bytes: i
             places = artefacts.filter_places(value[(n >= least_words)[text]])
             del flat, text, value
             index = WordIndex.build(hashes, n, np.concatenate(labels))
-            yield from artefacts.pieces(f"{task}-{number}", {"places": places, "size": np.array([n.sum()])} | index.parts)
+            yield from artefacts.pieces(f"{task}-{number}", {"places": places} | index.parts)
 
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
@@ -240,7 +240,7 @@ def copied(found: dict[str, np.ndarray], which: np.ndarray, keys: np.ndarray) ->
     return {k: keys[by[place]] if k == "key" else v[row] for k, v in found.items()}
 
 
-def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc_id", train_key: str = "ord", text: str = "text", width: int = 3, num: int = 3, den: int = 5, least_words: int = 30, shard_bytes: int = SHARD_BYTES, task_words: int = TASK_WORDS) -> DataFrame:
+def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc_id", train_key: str = "ord", text: str = "text", width: int = 3, num: int = 3, den: int = 5, least_words: int = 30, shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(eval_key, train_key, shared, total, spans, longest): all cross-split pairs of similarity num/den or more.
 
     shared and total count distinct windows in both and in either; spans is the number of maximal runs of the training
@@ -255,8 +255,8 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
     # few large shards cost less to search than many small ones; where partitions are larger, tasks part them
     build_indexes(texts.coalesce(max(1, -(-int(size) // shard_bytes))), width, least_words, 2 * shard_bytes, path)
     built = spark.read.schema(artefacts.PIECE).parquet(path)
-    heads = built.where("at = 0 AND array IN ('places', 'size')").groupBy("shard").agg(F.max(F.when(F.col("array") == "places", F.col("length"))).alias("places"), F.max(F.when(F.col("array") == "size", F.conv(F.hex(F.reverse(F.col("raw"))), 16, 10).cast("bigint"))).alias("words"))
-    shards = sorted(((r.shard, r.words, r.places) for r in heads.collect()), key=lambda x: (-x[1], x[0]))  # a row for shard_bytes of text
+    heads = built.where("at = 0 AND array IN ('places', 'text')").groupBy("shard").agg(*(F.max(F.when(F.col("array") == n, F.col("length"))).alias(n) for n in ("places", "text")))
+    shards = sorted(((r.shard, r.text, r.places) for r in heads.collect()), key=lambda x: (-x[1], x[0]))  # a row for shard_bytes of text
     bits = artefacts.filter_bits(sum(p for *_, p in shards))
     rows = training.select(training[train_key].cast("bigint").alias("k"), training[text].cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
 
@@ -287,12 +287,12 @@ def cross_split(evaluation: DataFrame, training: DataFrame, eval_key: str = "doc
 
     groups: list[list[str]] = [[]]
     filled = 0
-    for shard, words, _ in shards:
-        if groups[-1] and filled + words > task_words:
+    for shard, size, _ in shards:
+        if groups[-1] and filled + size > task_bytes:
             groups.append([])
             filled = 0
         groups[-1].append(shard)
-        filled += words
+        filled += size
     pairs = reduce(DataFrame.unionByName, map(stream, groups)).dropDuplicates(["key", "cls"])
     pairs = stored(pairs.withColumnRenamed("key", "train"), "pairs")
     found = spread_join(members, pairs, ["cls"], members.groupBy("cls").agg(F.count("*").alias("n")))

@@ -96,9 +96,9 @@ def test_cross_split_equals_brute_force(spark, monkeypatch):
     a, b = made(3, 40), made(4, 20) + made(3, 40)[:70] + made(3, 40)[:9] * 2
     s, t = [sets(x, 3, 30) for x in a], [sets(x, 3, 30) for x in b]
     want = sorted((i, j) for i in range(len(s)) for j in range(len(t)) if near(s[i], t[j], 3, 5))
-    for size, occurrences, words in ((1 << 20, 4_000_000, 1 << 20), (4000, 50, 2000)):
+    for size, occurrences, packed in ((1 << 20, 4_000_000, 1 << 20), (4000, 50, 2000)):
         monkeypatch.setattr(crosssplit, "_OCCURRENCES", occurrences)
-        rows = cross_split(frame(spark, a, "doc_id"), frame(spark, b, "ord"), shard_bytes=size, task_words=words).collect()
+        rows = cross_split(frame(spark, a, "doc_id"), frame(spark, b, "ord"), shard_bytes=size, task_bytes=packed).collect()
         assert sorted((r.doc_id, r.ord) for r in rows) == want
         for r in rows:
             assert r.shared == len(s[r.doc_id] & t[r.ord]) and r.total == len(s[r.doc_id] | t[r.ord])
