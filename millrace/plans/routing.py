@@ -86,9 +86,13 @@ def mdl_objective(spark: SparkSession, folder: str) -> DataFrame:
 _ADJ = "[c.costs[1] - 8 * ln(0.5), c.costs[2] - 8 * ln(0.3), c.costs[3] - 8 * ln(0.2)]"
 
 
-@query(f"SELECT doc_id, CAST(list_position(a, list_min(a)) - 1 AS INTEGER) AS expert_id, round(list_min(a), 6) AS cost FROM (SELECT doc_id, {_ADJ} AS a FROM ({_C}) c)")
+@query(f"""WITH b AS (SELECT k.e, coalesce(sum(r.bytes), 0) AS b FROM (SELECT unnest([0, 1, 2]) AS e) k LEFT JOIN ({_R}) r ON r.expert_id = k.e GROUP BY 1),
+    x AS (SELECT list(CASE WHEN ok THEN -8 * ln(prior) ELSE 'inf'::DOUBLE END ORDER BY e) AS extra FROM (SELECT e, (b + 1) / (sum(b) OVER () + 3) AS prior, b / sum(b) OVER () >= 0.05 AS ok FROM b))
+    SELECT doc_id, CAST(list_position(a, list_min(a)) - 1 AS INTEGER) AS expert_id, round(list_min(a), 6) AS cost FROM (SELECT doc_id, list_transform([1, 2, 3], lambda i: c.costs[i] + x.extra[i]) AS a FROM ({_C}) c, x)""")
 def hard_assign(spark: SparkSession, folder: str) -> DataFrame:
-    a = _costs(spark, folder).select("doc_id", R.prior_costs(F.col("costs").cast("array<double>"), [0.5, 0.3, 0.2], [True] * 3).alias("a"))
+    """The cheapest expert of every document by costs and the experts' use; experts with less than a twentieth of the bytes are dropped."""
+    usage = R.priors(_routed(spark, folder), 3, least=0.05).orderBy("expert_id").collect()  # a row an expert
+    a = _costs(spark, folder).select("doc_id", R.prior_costs(F.col("costs").cast("array<double>"), [r.prior for r in usage], [r.active for r in usage]).alias("a"))
     return a.select("doc_id", R.route("a").alias("expert_id"), F.round(F.array_min("a"), 6).alias("cost"))
 
 
