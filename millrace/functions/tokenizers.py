@@ -79,19 +79,22 @@ def bpe_costs(df: DataFrame, key: str, text: str, experts: list[str], name: str
     return df.select(*kept, text).mapInArrow(run, f"{fields}, `{name}` array<bigint>")
 
 
-def bpe_ids(df: DataFrame, key: str, text: str, json_text: str) -> DataFrame:
-    """(key, ids): the text's tokens without special ones; null for null, an empty array for an empty text."""
+def bpe_ids(df: DataFrame, text: str, json_text: str, name: str = "ids") -> DataFrame:
+    """df's other columns and `name`, the text's tokens without special ones; null for null, an empty array for an empty text."""
+    kept = [c for c in df.columns if c != text]
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.select(*kept).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(json_text)
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                texts = batch.column(1).to_pylist()
+                texts = batch.column(len(kept)).to_pylist()
                 found = own.encode_batch([x or "" for x in texts], add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else f.ids for t, f in zip(texts, found)], type=pa.list_(pa.int32()))], names=[key, "ids"])
+                ids = pa.array([None if t is None else f.ids for t, f in zip(texts, found)], type=pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, name])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ids array<int>")
+    return df.select(*kept, text).mapInArrow(run, f"{fields}, `{name}` array<int>")
 
 
 def _fingerprint(content: F.Column, names: F.Column, revision: F.Column, path: F.Column, hash_path: bool) -> F.Column:

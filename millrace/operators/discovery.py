@@ -130,9 +130,13 @@ def fit_experts(df: DataFrame, key: str, text: str, experts: int, options: Optio
     # weights with a fraction are drawn by keys and numbers alone; what isn't there has none
     parts = df.select(key, F.posexplode("weights").alias("e", "w")).where("w > 0")
     rest = lambda w: F.round(w * options.oversample, 9) - F.floor(F.round(w * options.oversample, 9))
-    drawn = integer_repeats(parts.where(rest(F.col("w")) > 0), "e", key, "w", options.oversample, options.seed, "n").select(key, "e", F.col("n").alias("_n"))
+    parts = parts.where(rest(F.col("w")) > 0)
     whole = F.floor(F.round(F.col("w") * options.oversample, 9)).cast("bigint")
-    rows = rows.join(drawn, [key, "e"], "left").withColumn("n", F.coalesce("_n", whole).cast("int")).select(key, text, "e", "w", "n")
+    if parts.limit(1).count():
+        drawn = integer_repeats(parts, "e", key, "w", options.oversample, options.seed, "n").select(key, "e", F.col("n").alias("_n"))
+        whole = F.coalesce("_n", whole)
+        rows = rows.join(drawn, [key, "e"], "left")
+    rows = rows.withColumn("n", whole.cast("int")).select(key, text, "e", "w", "n")
     if options.sample is not None:
         from pyspark.sql import Window as W
 

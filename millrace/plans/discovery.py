@@ -47,8 +47,8 @@ def bpe_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def bpe_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Training sequences of 513 tokens per source, end marks between documents, written as a table of ids."""
-    ids = bpe_ids(spread(_texts(spark, folder)), "doc_id", "text", _bpe(spark, folder, 2048)).withColumn("ids", F.concat("ids", F.array(F.lit(3))))
-    ids = stored(ids.join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id"), "ids")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text").where("text IS NOT NULL")
+    ids = stored(bpe_ids(spread(docs), "text", _bpe(spark, folder, 2048)).withColumn("ids", F.concat("ids", F.array(F.lit(3)))), "ids")
     offsets = token_offsets(ids.select("source", "doc_id", F.size("ids").alias("n")), ["source"], "doc_id", "n", 0)
     return packed_sequences(packed_fragments(offsets, ["source"], "doc_id", 513), ids.select("doc_id", "ids"), ["source"], "doc_id")
 

@@ -233,7 +233,7 @@ def test_tokenizers(spark, tmp_path):
     json_text = fit_bpe(texts, 300)
     assert fit_bpe(texts, 300) == json_text
     rows = frame(spark, [(1, "the cat"), (2, ""), (3, None)], "id int, text string")
-    ids = {r.id: r.ids for r in bpe_ids(rows, "id", "text", json_text).collect()}
+    ids = {r.id: r.ids for r in bpe_ids(rows, "text", json_text).collect()}
     assert load(json_text).decode(ids[1]) == "the cat" and ids[2] == [] and ids[3] is None
     costs = {r.id: r.costs for r in bpe_costs(rows, "id", "text", [json_text, fit_bpe([], 300)]).collect()}
     assert costs[1][0] <= costs[1][1] == 7 and costs[3] is None
