@@ -222,9 +222,9 @@ def test_runs_are_written_and_read_back(spark, tmp_path):
         sample = runs.read_sample(spark, folder)
         assert {r.doc_id: r.text for r in sample.collect()} == {0: "a b", 1: "c"} and runs.read_experts(folder) == experts
         assert {r.doc_id: r.expert_id for r in runs.read_labels(spark, folder, sample).collect()} == {0: 1, 1: 0}
-        with pytest.raises(ValueError, match="missing.*[[]5[]]"):
+        with pytest.raises(ValueError, match=r"missing.*\[5\]"):
             runs.read_labels(spark, folder, sample.unionByName(spark.createDataFrame([(5, "", 0, 0)], sample.schema)))
-        with pytest.raises(ValueError, match="unexpected.*[[]1[]]"):
+        with pytest.raises(ValueError, match=r"unexpected.*\[1\]"):
             runs.read_labels(spark, folder, sample.where("doc_id = 0"))
     for read in (lambda: runs.read_sample(spark, str(tmp_path)), lambda: runs.read_labels(spark, str(tmp_path), sample), lambda: runs.read_experts(str(tmp_path))):
         with pytest.raises(FileNotFoundError):
