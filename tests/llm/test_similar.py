@@ -107,6 +107,31 @@ def test_cross_split_equals_brute_force(spark, monkeypatch):
     assert cross_split(frame(spark, a, "doc_id"), frame(spark, b, "ord").limit(0)).count() == 0
 
 
+def test_texts_of_common_sentences_are_searched_only_where_partners_are():
+    """Every shard holds nearly all windows of all texts, yet a text goes to the shards of its partners and hardly to another."""
+    rng = random.Random(11)
+    sentences = [" ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(150)]
+    made = lambda: [rng.choice(sentences) + f" n{rng.randrange(10**4)}" for _ in range(12)]
+    shards = [[made() for _ in range(80)] for _ in range(12)]
+    texts = [made() for _ in range(200)] + [rng.sample(s := rng.choice(rng.choice(shards)), len(s)) for _ in range(40)]
+    texts = [". ".join(t) for t in texts] + ["the same ten words " * 8]
+    indexes, times = [], np.zeros(1 << 12, dtype=np.uint16)
+    for shard in shards:
+        h, n = word_hashes([". ".join(t) for t in shard] + ["the same ten words " * 8] * (shard is shards[3]))
+        at, count = np.unique(shingles(h, n, 3)[2] >> np.uint64(52), return_counts=True)
+        times[at.astype(np.int64)] += count.astype(np.uint16)
+        indexes.append(WordIndex.build([h], n, np.arange(len(n))))
+    posts = [crosssplit.with_present(crosssplit.postings(times, 12, index, 3, 3, 5, 30)) for index in indexes]
+    good, n, begun = crosssplit.possible(times, 12, *word_hashes(texts), 3, 3, 5, 30)
+    routes = {(t, k) for k, post in enumerate(posts) for t in crosssplit.shards_of(post | {"shard": np.zeros(len(post["key"]), dtype=np.int32)}, n, begun, 3, 5)[0].tolist()}
+    held = [[sets(". ".join(t), 3, 30) for t in shard] + [sets("the same ten words " * 8, 3, 30)] * (shard is shards[3]) for shard in shards]
+    own = [sets(t, 3, 30) for t in texts]
+    want = {(i, k) for i, t in enumerate(own) for k, shard in enumerate(held) if any(near(t, s, 3, 5) for s in shard)}
+    assert len(want) >= 41 and good.sum() > 200  # of 241, and each of those was searched in all twelve
+    assert want <= routes
+    assert len(routes) < 2 * len(want)
+
+
 def test_suffixes_and_backward_search():
     rng = np.random.RandomState(0)
     for n, k in ((1, 1), (7, 1), (60, 2), (200, 5)):
