@@ -6,9 +6,11 @@ A tokenizer travels as its JSON text and is built once per Python worker.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import re
 import sys
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,6 +46,99 @@ def fit_bpe(texts: Iterable[str], vocabulary: int, least: int = 2) -> str:
     return own.to_str()
 
 
+_PAIR = 24  # bits of a symbol in a pair's number
+
+
+def byte_words(texts: list[str]) -> list[list[str]]:
+    """The words of each text as the tokenizers of fit_bpe split it, in their byte alphabet."""
+    from tokenizers import pre_tokenizers
+
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    return [[w for w, _ in split(t)] for t in texts]
+
+
+def fit_bpe_words(words: Iterable[tuple[str, int]], vocabulary: int, least: int = 2) -> str:
+    """fit_bpe of texts that hold these words (distinct, in the byte alphabet) so often; time and memory go by the words, not by their counts.
+
+    The steps are the library's: the most frequent pair, then the smallest; every entry of the queue brings the words that it was pushed for, and a
+    token that two pairs spell has one id.
+    """
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    names = SPECIAL_TOKENS + alphabet
+    ids = {t: i for i, t in enumerate(names)}
+    held = [(w, n) for w, n in words if n > 0]
+    symbols, counts = [[ids[c] for c in w] for w, _ in held], [n for _, n in held]
+    pairs: dict[int, int] = {}
+    where: dict[int, set[int]] = defaultdict(set)
+    for i, (w, n) in enumerate(zip(symbols, counts)):
+        for a, b in zip(w, w[1:]):
+            k = a << _PAIR | b
+            pairs[k] = pairs.get(k, 0) + n
+            where[k].add(i)
+    entries: list = list(where.values())
+    queue = [(-pairs[k], k, at) for at, k in enumerate(where)]
+    heapq.heapify(queue)
+    merges: list[tuple[str, str]] = []
+    low = (1 << _PAIR) - 1
+    while len(ids) < vocabulary and queue:
+        count, k, at = queue[0]
+        if -count != pairs[k]:
+            if pairs[k] > 0:
+                heapq.heapreplace(queue, (-pairs[k], k, at))
+            else:
+                heapq.heappop(queue)
+            continue
+        if -count < max(1, least):
+            break
+        heapq.heappop(queue)
+        a, b = k >> _PAIR, k & low
+        token = names[a] + names[b]
+        new = ids.setdefault(token, len(names))
+        if new == len(names):
+            names.append(token)
+        merges.append((names[a], names[b]))
+        where = defaultdict(set)
+        for i in entries[at]:
+            w, n = symbols[i], counts[i]
+            j, end = 0, len(w) - 1
+            while j < end:
+                if w[j] == a and w[j + 1] == b:
+                    if j:
+                        left = w[j - 1] << _PAIR
+                        pairs[left | a] -= n
+                        pairs[left | new] = pairs.get(left | new, 0) + n
+                        where[left | new].add(i)
+                    w[j : j + 2] = [new]
+                    end -= 1
+                    if j < end:
+                        right = w[j + 1]
+                        pairs[b << _PAIR | right] -= n
+                        pairs[new << _PAIR | right] = pairs.get(new << _PAIR | right, 0) + n
+                        where[new << _PAIR | right].add(i)
+                j += 1
+        entries[at] = ()
+        for pair, touched in where.items():
+            if pairs[pair] > 0:
+                heapq.heappush(queue, (-pairs[pair], pair, len(entries)))
+                entries.append(touched)
+    own = Tokenizer(models.BPE(vocab=ids, merges=merges, unk_token=SPECIAL_TOKENS[0]))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.decoder = decoders.ByteLevel()
+    own.add_special_tokens(SPECIAL_TOKENS)
+    return own.to_str()
+
+
+def word_lengths(json_text: str, words: list[str]) -> np.ndarray:
+    """Tokens of each word of the byte alphabet; the tokenizer isn't kept, as each round has others."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(json_text)
+    split = own.model.tokenize
+    return np.fromiter((len(split(w)) for w in words), dtype=np.int64, count=len(words))
+
+
 def load(json_text: str):
     """The tokenizer of a JSON text, kept by the worker under its digest."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

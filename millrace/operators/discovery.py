@@ -1,13 +1,15 @@
 """Discovery of tokenizer domains: features, clusters, experts fitted in turns with assignments, splits and merges, learned routers.
 
 Documents stay distributed; what the driver holds is one tokenizer for each expert and the sums of each round. Experts are fitted one task each
-on all their documents, which stream through it; costs, assignments, priors and the objective cover all documents.
+on the word counts of all their documents; costs, assignments, priors and the objective cover all documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.tokenizers import bpe_costs, fit_bpe
+from millrace.operators import bags
 from millrace.operators.hotkeys import ranked
 from millrace.operators.routing import prior_costs, priors, route, soft_weights
 from millrace.session import cut
@@ -60,20 +63,31 @@ class Discovery:
 def char_ngram_features(df: DataFrame, key: str, text: str, dimensions: int = 16_384, low: int = 3, high: int = 5) -> DataFrame:
     """(key, features ARRAY<FLOAT>): hashed character n-gram counts, L2 normalised; a text without n-grams, empty or null, has zeros."""
 
+    step = 32  # texts hashed end to end, while the arrays stay in the cache
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
                 out = np.zeros((batch.num_rows, dimensions), dtype=np.float32)
-                for r, t in enumerate(batch.column(1).to_pylist()):
-                    code = np.frombuffer((t or "").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                for r in range(0, len(texts), step):
+                    some = texts[r : r + step]
+                    code = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                    sizes = np.array([len(t) for t in some])
+                    row = np.repeat(np.arange(len(some)) * dimensions, sizes)
+                    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # characters to the text's end
                     for n in range(low, high + 1):
-                        if len(code) >= n:
-                            h = np.full(len(code) - n + 1, n, dtype=np.uint64)
+                        m = len(code) - n + 1
+                        if m > 0:
+                            h = np.full(m, n, dtype=np.uint64)
                             for k in range(n):
-                                h = (h ^ code[k : k + len(h)]) * np.uint64(0x100000001B3)
+                                h ^= code[k : k + m]
+                                h *= np.uint64(0x100000001B3)
                                 h ^= h >> np.uint64(29)
-                            out[r] += np.bincount((h % np.uint64(dimensions)).astype(np.int64), minlength=dimensions)
+                            h = h & np.uint64(dimensions - 1) if dimensions & (dimensions - 1) == 0 else h % np.uint64(dimensions)
+                            at = (row[:m] + h.astype(np.int64))[left[:m] >= n]
+                            out[r : r + step] += np.bincount(at, minlength=len(some) * dimensions).reshape(-1, dimensions)
                 norm = np.linalg.norm(out, axis=1, keepdims=True)
                 out /= np.where(norm > 0, norm, 1)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimensions), pa.array(out.ravel()))
@@ -188,8 +202,40 @@ def _assigned(texts: DataFrame, key: str, text: str, experts: list[str], usage:
 def converge(texts: DataFrame, key: str, text: str, labels: DataFrame, experts: int, options: Options, penalty: float) -> Discovery:
     """Fit and assign in turns until labels and objective settle; experts below the least fraction of bytes are dropped.
 
-    Each round's assignment is cut by a checkpoint. If the rounds run out, the round with the best objective stands.
+    If the rounds run out, the round with the best objective stands. Rounds that drop an expert don't count for that and may be made up for by one more
+    for each expert, as long as no round has kept all of its experts. Fits and costs go by the words of all texts (bags), or by texts if options.sample bounds them.
     """
+    if options.sample is not None:
+        return _converge_texts(texts, key, text, labels, experts, options, penalty)
+    o, found = options, bags.bags_of(texts, key, text)
+    best: tuple | None = None
+    history: list[float] = []
+    state, temperature, extra, whole = bags.stored_labels(found, labels, experts), o.temperature, None, False
+    old: dict[str, dict] | None = None
+    for _ in range(max(o.rounds + experts, 1)):
+        path = bags.fitted(found, state, o.vocabulary, o.least_frequency, o.oversample, o.seed) if old else _fitted(found, state, o)
+        extra = extra or [-o.prior_weight * math.log(1.0 / experts)] * experts
+        new = bags.State(experts, None, path, extra, temperature, min(o.top_k, sum(math.isfinite(x) for x in extra)))
+        now = bags.sums(found, new, state if old else None, o.oversample, o.seed)
+        kept = old is not None and set(now["documents"]) == set(old["documents"])
+        history.append(float(sum(now["tokens"].values())) + penalty * len(now["tokens"]))
+        changed = now["changed"].get(0, 0) / max(now["both"].get(0, 0), 1) if old else 1.0
+        if best is None or history[-1] < best[1]:
+            best = (new, history[-1], False)
+        if old and changed <= o.tolerance and abs(history[-1] - history[-2]) < 1:
+            best = (new, history[-1], True)
+            break
+        whole = whole or kept or len(now["documents"]) == experts
+        if whole and len(history) >= o.rounds:
+            break
+        new.draws = bags.drawn(found, new, now, o.oversample, o.seed)
+        extra = bags.prior_terms(now["bytes"], experts, o.least_fraction, o.prior_weight)
+        state, old, temperature = new, now, temperature * o.decay
+    return Discovery(cut(bags.rows_of(found, best[0])), bags.experts_of(found, best[0].costs), best[1], penalty, best[2], history)
+
+
+def _converge_texts(texts: DataFrame, key: str, text: str, labels: DataFrame, experts: int, options: Options, penalty: float) -> Discovery:
+    """converge by texts; each round's assignment is cut by a checkpoint."""
     state = texts.join(labels, key).withColumn("weights", one_hot(experts))
     best: Discovery | None = None
     history: list[float] = []
@@ -250,50 +296,75 @@ def _sizes(found: Discovery) -> dict[int, tuple[int, int, int]]:
     return {r.expert_id: (r.n, r.t, r.b) for r in found.documents.groupBy("expert_id").agg(F.count("*").alias("n"), F.sum(own).alias("t"), F.sum("bytes").alias("b")).collect()}
 
 
-def _own_costs(own: DataFrame, key: str, text: str, halves: DataFrame, experts: int, o: Options) -> DataFrame:
-    """(key, costs) of own's documents under tokenizers fitted on its parts (key, expert_id)."""
-    return bpe_costs(own, key, text, fit_experts(own.join(halves, key).withColumn("weights", one_hot(experts)), key, text, experts, o))
+def _own_costs(texts: DataFrame, key: str, text: str, parts: DataFrame, experts: int, o: Options) -> DataFrame:
+    """(key, expert_id, costs) of the documents that have a part (key, expert_id), under tokenizers fitted on the parts."""
+    if o.sample is None:
+        found = bags.bags_of(texts, key, text)
+        state = bags.stored_labels(found, parts, experts)
+        return bags.rows_of(found, bags.State(experts, None, _fitted(found, state, o), [0.0] * experts), state).select(key, "expert_id", "costs")
+    own = texts.join(parts, key)
+    return bpe_costs(own, key, text, fit_experts(own.withColumn("weights", one_hot(experts)), key, text, experts, o)).select(key, "expert_id", "costs")
+
+
+def _fitted(found: bags.Bags, state: bags.State, o: Options) -> str:
+    """bags.fitted of labels, which weigh one; only a broken oversample leaves something to draw."""
+    if o.oversample != int(o.oversample):
+        state.draws = bags.drawn(found, state, bags.sums(found, state, None, o.oversample, o.seed), o.oversample, o.seed)
+    return bags.fitted(found, state, o.vocabulary, o.least_frequency, o.oversample, o.seed)
 
 
 def split_labels(texts: DataFrame, key: str, text: str, found: Discovery, o: Options, penalty: float) -> DataFrame | None:
     """(key, expert_id) with the best split of an expert, or nothing if none pays or leaves least_split documents on both sides.
 
-    Experts with the most tokens a byte are tried first. A split's documents go to the side whose tokenizer needs fewer tokens.
+    Experts with the most tokens a byte are tried first; the tokenizers of all splits are fitted together. A split's documents go to the side whose tokenizer needs fewer tokens.
     """
     sizes = _sizes(found)
     if len(sizes) >= o.max_experts:
         return None
-    labels, best = found.documents.select(key, "expert_id"), None
+    labels, best, halves, tried = found.documents.select(key, "expert_id"), None, [], []
     able = [e for e, (n, _, _) in sizes.items() if n >= 2 * o.least_split]
     for e in sorted(able, key=lambda i: (-sizes[i][1] / max(sizes[i][2], 1), -i))[: o.split_candidates]:
-        own = cut(texts.join(labels.where(F.col("expert_id") == e).select(key), key))
-        halves = cut(initial_labels(own, key, text, 2, o))
-        least = lambda d: min([r["count"] for r in d.groupBy("expert_id").count().collect()] + [0] * (2 - d.select("expert_id").distinct().count()))
-        if least(halves) < o.least_split:
-            continue
-        sides = cut(_own_costs(own, key, text, halves, 2, o).select(key, (F.get("costs", F.lit(1)) < F.get("costs", F.lit(0))).cast("int").alias("expert_id"), F.array_min("costs").alias("c")))
-        if least(sides) < o.least_split:
-            continue
-        gain = sizes[e][1] - sides.agg(F.sum("c")).first()[0] - penalty
-        if gain > 0 and (best is None or gain > best[0]):
-            best = (gain, sides.where("expert_id = 1").select(key, F.lit(max(sizes) + 1).alias("_new")))
+        own = cut(initial_labels(texts.join(labels.where(F.col("expert_id") == e).select(key), key), key, text, 2, o))
+        count = [r["count"] for r in own.groupBy("expert_id").count().collect()]
+        if len(count) == 2 and min(count) >= o.least_split:
+            halves.append(own.select(key, (F.col("expert_id") + 2 * len(tried)).alias("expert_id")))
+            tried.append(e)
+    if not tried:
+        return None
+    costs = _own_costs(texts, key, text, reduce(DataFrame.unionByName, halves), 2 * len(tried), o)
+    split = F.floor(F.col("expert_id") / 2).cast("int")
+    pair = costs.select(key, split.alias("split"), F.get("costs", 2 * split).alias("a"), F.get("costs", 2 * split + 1).alias("b"))
+    sides = cut(pair.select(key, "split", (F.col("b") < F.col("a")).cast("int").alias("side"), F.least("a", "b").alias("c")))
+    sums = sides.groupBy("split", "side").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()  # two rows a split
+    for i, e in enumerate(tried):
+        own = [r for r in sums if r.split == i]
+        gain = sizes[e][1] - sum(r.c for r in own) - penalty
+        if len(own) == 2 and min(r.n for r in own) >= o.least_split and gain > 0 and (best is None or gain > best[0]):
+            best = (gain, sides.where((F.col("split") == i) & (F.col("side") == 1)).select(key, F.lit(max(sizes) + 1).alias("_new")))
     return None if best is None else labels.join(best[1], key, "left").select(key, F.coalesce("_new", "expert_id").alias("expert_id"))
 
 
 def merge_labels(texts: DataFrame, key: str, text: str, found: Discovery, o: Options, penalty: float) -> DataFrame | None:
-    """(key, expert_id) with the best merge of the merge_candidates pairs of smallest proxy, or nothing if none pays."""
+    """(key, expert_id) with the best merge of the merge_candidates pairs of smallest proxy, whose tokenizers are fitted together, or nothing if none pays."""
     from millrace.operators.routing import merge_proxies
 
     sizes = _sizes(found)
     if len(sizes) < 2 or o.merge_candidates <= 0:
         return None
     labels, best = found.documents.select(key, "expert_id"), None
-    for p in merge_proxies(found.documents, len(found.experts)).orderBy("proxy", "a", "b").limit(o.merge_candidates).collect():
-        own = cut(texts.join(labels.where(F.col("expert_id").isin(p.a, p.b)).select(key), key))
-        merged = _own_costs(own, key, text, own.select(key, F.lit(0).alias("expert_id")), 1, o).agg(F.sum(F.get("costs", F.lit(0)))).first()[0]
-        gain = sizes[p.a][1] + sizes[p.b][1] + penalty - merged
+    pairs = [(p.a, p.b) for p in merge_proxies(found.documents, len(found.experts)).orderBy("proxy", "a", "b").limit(o.merge_candidates).collect()]
+    if o.sample is None:
+        held = bags.bags_of(texts, key, text)
+        state = bags.stored_labels(held, labels, len(pairs))
+        state.groups = pairs
+        merged = bags.tokens_of(held, state, _fitted(held, state, o))
+    else:
+        own = lambda p: labels.where(F.col("expert_id").isin(*p)).select(key, F.lit(0).alias("expert_id"))
+        merged = {i: _own_costs(texts, key, text, own(p), 1, o).agg(F.sum(F.get("costs", F.lit(0)))).first()[0] for i, p in enumerate(pairs)}
+    for i, (a, b) in enumerate(pairs):
+        gain = sizes[a][1] + sizes[b][1] + penalty - merged[i]
         if gain > 0 and (best is None or gain > best[0]):
-            best = (gain, p.a, p.b)
+            best = (gain, a, b)
     return None if best is None else labels.select(key, F.when(F.col("expert_id") == best[2], best[1]).otherwise(F.col("expert_id")).alias("expert_id"))
 
 
